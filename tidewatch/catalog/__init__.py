@@ -6,6 +6,6 @@ from tidewatch.catalog.registry import QUERIES, Query
 
 
 def registered() -> dict[str, Query]:
-    from tidewatch.catalog import relational  # noqa: F401
+    from tidewatch.catalog import jobs, relational, reports  # noqa: F401
 
     return dict(QUERIES)

@@ -118,7 +118,7 @@ def _chain(summaries, alpha: float, start: EwmaState) -> tuple[dict[int, EwmaSta
     return starts, state
 
 
-def _score(alpha: float, z_limit: float, warmup: int, names: list[str], starts: dict[int, EwmaState]):
+def _score(alpha: float, z_limit: float, warmup: int, names: list[str], starts: dict[int, tuple]):
     def run(batches):
         past, decay = _kernels(alpha)
         q = 1.0 - alpha
@@ -129,7 +129,7 @@ def _score(alpha: float, z_limit: float, warmup: int, names: list[str], starts:
             x = matrix(batch, names)
             if state is None:
                 state = starts[batch.column(batch.schema.get_field_index("_block"))[0].as_py()]
-                n, mean, var = state.n, np.array(state.mean), np.array(state.var)
+                n, mean, var = state[0], np.array(state[1]), np.array(state[2])
             scores = []
             for c in _chunks(x):
                 m = len(c)
@@ -167,6 +167,7 @@ class EwmaBaseline:
         shipped to the tasks are two numbers per feature and block."""
         s = self.settings
         starts, end = _chain(self._summaries(blocks), s.ewma_alpha, start or EwmaState())
-        run = _score(s.ewma_alpha, s.ewma_z, s.ewma_warmup, list(self.features), starts)
+        plain = {block: (at.n, at.mean, at.var) for block, at in starts.items()}
+        run = _score(s.ewma_alpha, s.ewma_z, s.ewma_warmup, list(self.features), plain)
         schema = T.StructType([*blocks.rows.schema.fields, T.StructField("statistical_score", T.DoubleType())])
         return blocks.rows.mapInArrow(run, schema), end
