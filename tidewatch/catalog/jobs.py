@@ -167,7 +167,7 @@ def d_iso(spark, sf) -> DataFrame:
     return IsolationForestModel.load(spark, path).transform(rows).select("uid", _in_unit("isolation_forest_score"))
 
 
-@query("d_iso_contamination", "select 'benign' as part, round(0.01, 2) as above_boundary from {conn} limit 1")
+@query("d_iso_contamination", "select distinct 'benign' as part, cast(0.01 as double) as above_boundary from {conn}")
 def d_iso_share(spark, sf) -> DataFrame:
     """By construction one benign row in a hundred lies beyond the decision boundary."""
     benign = materialise(benign_only(inputs.netflow(spark, sf)))
@@ -249,7 +249,7 @@ def _events_stream(spark: SparkSession, sf: str, closing: bool = False) -> DataF
         path = scratch_path(spark, "events")
         events.unionByName(last).write.parquet(path)
         return spark.readStream.schema(events.schema).parquet(path)
-    return spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet")
+    return spark.readStream.schema(events.schema).parquet(f"{sf}/events*.parquet")
 
 
 def _stream_view(spark: SparkSession, events: DataFrame, name: str) -> DataFrame:

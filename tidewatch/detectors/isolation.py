@@ -37,11 +37,13 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
         part = x[rows]
         low, high = part.min(axis=0), part.max(axis=0)
         usable = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) <= 1 or len(usable) == 0:
+        if depth >= limit or len(usable) == 0:
             nodes[at][5] = depth + average_path(len(rows))
             continue
         f = int(rng.choice(usable))
         cut = rng.uniform(low[f], high[f])
+        if cut >= high[f]:  # neighbouring doubles: rounding must not leave one side empty
+            cut = low[f]
         goes_below = part[:, f] <= cut
         below, above = len(nodes), len(nodes) + 1
         nodes[at][1:5] = [f, float(cut), below, above]
@@ -134,18 +136,22 @@ class IsolationForest:
         if total == 0:
             raise ValueError("no benign rows to fit on")
         wanted = 4 * s.iso_trees * s.iso_sample
-        pool = materialise(x if total <= wanted else x.sample(wanted / total, s.seed))
+        drawn_rows = x if total <= wanted else x.sample(wanted / total, s.seed)
+        pool = materialise(drawn_rows.withColumn("_id", F.monotonically_increasing_id()))
         size = pool.count()
         sample = min(s.iso_sample, size)
+        # lots are drawn on ids alone; only the winners are joined with their 39 columns
         chance = min(1.0, 2.0 * sample / size + 16.0 / size)
-        drawn = (
-            pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(s.iso_trees - 1))).alias("tree"))
-            .withColumn("_u", F.rand(s.seed))
-            .filter(F.col("_u") <= chance)
-            .withColumn("_n", F.row_number().over(Window.partitionBy("tree").orderBy("_u")))
+        lot = F.pmod(F.xxhash64("_id", "tree", F.lit(s.seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+        winners = (
+            pool.select("_id", F.explode(F.sequence(F.lit(0), F.lit(s.iso_trees - 1))).alias("tree"))
+            .withColumn("_lot", lot)
+            .filter(F.col("_lot") <= chance)
+            .withColumn("_n", F.row_number().over(Window.partitionBy("tree").orderBy("_lot", "_id")))
             .filter(F.col("_n") <= sample)
-            .drop("_u", "_n")
+            .select("_id", "tree")
         )
+        drawn = winners.join(pool, "_id")
         names, seed, limit = list(self.features), s.seed, max(1, math.ceil(math.log2(max(sample, 2))))
 
         def build(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -155,7 +161,7 @@ class IsolationForest:
             out.insert(0, "tree", tree)
             return out
 
-        nodes = drawn.groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
+        nodes = drawn.drop("_id").groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
         model = IsolationForestModel(nodes, sample, 0.0, names)
         scores = materialise(x.select((-model.isolation()).alias("v")))
         model.offset = float(exact_percentile(scores, "v", s.iso_contamination))

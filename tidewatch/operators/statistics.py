@@ -100,19 +100,24 @@ def exact_percentile(df: DataFrame, column: str, p: float, bins: int = 4096, sma
         return None
     rank = p * (span.n - 1)
     low = math.floor(rank)
-    a = _order_statistic(values, low, float(span.lo), float(span.hi), span.n, bins, small)
+    bounds = (float(span.lo), float(span.hi), span.n, bins, small)
+    a, b = _order_statistics(values, low, *bounds)
     if low == rank:
         return a
-    b = _order_statistic(values, low + 1, float(span.lo), float(span.hi), span.n, bins, small)
+    if b is None:
+        b = _order_statistics(values, low + 1, *bounds)[0]
     return a + (b - a) * (rank - low)
 
 
-def _order_statistic(values: DataFrame, k: int, lo: float, hi: float, n: int, bins: int, small: int) -> float:
+def _order_statistics(
+    values: DataFrame, k: int, lo: float, hi: float, n: int, bins: int, small: int
+) -> tuple[float, float | None]:
+    """The k-th smallest value (from 0), and the next one when it turned up in the same last bin."""
     before = 0
     while n > small and hi > lo:
         width = (hi - lo) / bins
-        if width <= 0 or lo + width == lo:
-            break
+        if lo + width == lo:
+            break  # a few neighbouring doubles are left
         inside = values.filter((F.col("v") >= lo) & (F.col("v") <= hi))
         slot = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1))
         counts = (
@@ -127,7 +132,7 @@ def _order_statistic(values: DataFrame, k: int, lo: float, hi: float, n: int, bi
                 break
             before += row.n
     if hi == lo:
-        return lo
+        return lo, lo if k + 1 < before + n else None
     distinct = (
         values.filter((F.col("v") >= lo) & (F.col("v") <= hi))
         .groupBy("v")
@@ -135,8 +140,12 @@ def _order_statistic(values: DataFrame, k: int, lo: float, hi: float, n: int, bi
         .orderBy("v")
         .collect()
     )
+    found = None
     for row in distinct:
         before += row.n
-        if k < before:
-            return float(row.v)
-    raise AssertionError("rank outside the values")
+        if found is None and k < before:
+            found = float(row.v)
+        if found is not None and k + 1 < before:
+            return found, float(row.v)
+    assert found is not None, "rank outside the values"
+    return found, None
