@@ -1,44 +1,32 @@
-import sys, time, traceback, hashlib, math
-sys.path.insert(0,'/root/repo')
-import duckdb, pandas as pd, glob, os
-import __spark_entry__ as E
-from tidewatch.session import build_session
-sf=sys.argv[1]; only=sys.argv[2:] 
-spark=build_session()
-con=duckdb.connect()
-for f in glob.glob(sf+'/*.parquet'):
-    con.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
-con.execute("set timezone='UTC'")
-Q=E.queries(); O=E.oracle_sql()
-def norm(v):
-    if v is None: return None
-    if isinstance(v,float):
-        if math.isnan(v): return 'nan'
-        return repr(v)
-    if isinstance(v,(list,tuple)) or hasattr(v,'tolist') and not isinstance(v,(str,)) and getattr(v,'ndim',0)>0: return str([norm(x) for x in v])
-    return str(v)
-bad=0
-for n,q in Q.items():
-    if only and not any(n.startswith(o) for o in only): continue
-    try:
-        t=time.time(); df=q(spark,sf); rows=[tuple(r) for r in df.collect()]; ts=time.time()-t
-        cols=df.columns
-        if n not in O: print(f"{n:34s} rows={len(rows)} {ts:.1f}s NO ORACLE", cols[:6], rows[:1]); continue
-        t=time.time(); r=con.execute(O[n]); oc=[d[0] for d in r.description]; od=[str(d[1]) for d in r.description]; orow=r.fetchall(); to=time.time()-t
-        order=sorted(cols)
-        if sorted(oc)!=order: print(n,"COLUMNS",sorted(set(cols)^set(oc))); bad+=1; continue
-        a=sorted([tuple(norm(x[cols.index(c)]) for c in order) for x in rows],key=str)
-        b=sorted([tuple(norm(x[oc.index(c)]) for c in order) for x in orow],key=str)
-        st=dict(df.dtypes); dt=dict(zip(oc,od))
-        MAP={'bigint':'BIGINT','int':'INTEGER','double':'DOUBLE','string':'VARCHAR','boolean':'BOOLEAN','date':'DATE'}
-        tm=[(c,st[c],dt[c]) for c in order if MAP.get(st[c])!=dt[c]]
-        ok=a==b
-        print(f"{n:34s} {'ok ' if ok else 'BAD'} rows={len(rows)}/{len(orow)} spark={ts:.1f}s duck={to:.1f}s {'TYPES '+str(tm) if tm else ''}",flush=True)
-        if not ok or tm: bad+=1
-        if not ok:
-            sa,sb=set(a),set(b)
-            print('  cols',order); print('  only spark',[x for x in a if x not in sb][:2]); print('  only duck ',[x for x in b if x not in sa][:2])
-    except Exception as e:
-        bad+=1; print(n,'ERROR',str(e)[:700]); 
-        if only: traceback.print_exc()
-print('bad',bad)
+"""Check registered queries against DuckDB: check_queries.py SF_DIR [name prefix ...]"""
+
+import os
+import sys
+import time
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from compare import connect, differences  # noqa: E402
+
+from tidewatch.catalog import registered  # noqa: E402
+from tidewatch.session import build_session  # noqa: E402
+
+
+def main(sf, prefixes):
+    spark, con, bad = build_session(), connect(sf), 0
+    for name, q in registered().items():
+        if prefixes and not any(name.startswith(p) for p in prefixes):
+            continue
+        start = time.time()
+        try:
+            found = differences(q.build(spark, sf), con, q.oracle) if q.oracle else [] * q.build(spark, sf).count()
+        except Exception as exc:  # report every query, then fail
+            found = [f"ERROR {str(exc)[:500]}"]
+        bad += bool(found)
+        print(f"{name:32s} {'BAD' if found else 'ok'} {time.time() - start:.1f}s", *found, flush=True)
+    print("bad", bad)
+    return bad
+
+
+if __name__ == "__main__":
+    sys.exit(bool(main(sys.argv[1], sys.argv[2:])))

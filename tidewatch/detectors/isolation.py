@@ -161,7 +161,10 @@ class IsolationForest:
             out.insert(0, "tree", tree)
             return out
 
-        nodes = drawn.drop("_id").groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
+        # growing costs time, not bytes: without a number, small partitions would be merged into one task
+        lanes = min(s.iso_trees, benign.sparkSession.sparkContext.defaultParallelism)
+        placed = drawn.drop("_id").repartition(lanes, "tree")
+        nodes = placed.groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
         model = IsolationForestModel(nodes, sample, 0.0, names)
         scores = materialise(x.select((-model.isolation()).alias("v")))
         model.offset = float(exact_percentile(scores, "v", s.iso_contamination))

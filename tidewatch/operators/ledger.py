@@ -17,7 +17,7 @@ from tidewatch.operators.risk import identities
 from tidewatch.sources.storage import materialise
 
 MANUAL_SCORE = 100
-_CARRIED, _ALERT, _MANUAL = -1, 0, 1
+_CARRIED, _ALERT, _MANUAL, _UNBLOCK = -1, 0, 1, 2
 LEDGER_SCHEMA = (
     "ip string, start_us bigint, expiry_us bigint, end_us bigint, score int, source string, ended_by string, carried boolean"
 )
@@ -66,22 +66,35 @@ def _ends(t: int, duration: int, unblocks: np.ndarray) -> tuple[int, bool]:
 
 
 def _walk(duration: int):
-    def run(starts: pd.DataFrame, unblocks: pd.DataFrame) -> pd.DataFrame:
-        starts = starts.sort_values("t")
-        t = starts["t"].to_numpy(np.int64)
-        u = np.sort(unblocks["t"].to_numpy(np.int64))
-        kinds, uids = starts["kind"].to_numpy(), starts["uid"].to_numpy()
-        scores, ip = starts["score"].to_numpy(), starts["ip"].iloc[0] if len(starts) else None
-        out, i = [], 0
-        while i < len(t):
-            at, kind = int(t[i]), int(kinds[i])
-            end, unblocked = _ends(at, duration, u)
-            source = uids[i] if kind == _CARRIED else ("auto" if kind == _ALERT else "manual")
-            ended = "unblock" if unblocked else "expiry"
-            out.append((ip, at, at + duration, end, int(scores[i]), source, ended, kind == _CARRIED))
-            i = int(np.searchsorted(t, end + 1 if unblocked else end, "left"))
-        names = ["ip", "start_us", "expiry_us", "end_us", "score", "source", "ended_by", "carried"]
-        return pd.DataFrame(out, columns=names)
+    """Runs over rows sorted by (ip, t, kind) and holds one open block, so neither the number of
+    addresses nor the rows of one address cost memory or per-group overhead."""
+    names = ["ip", "start_us", "expiry_us", "end_us", "score", "source", "ended_by", "carried"]
+
+    def run(batches):
+        ip = block = None  # block: (start, score, source, carried)
+
+        def closed(end: int, ended_by: str) -> tuple:
+            start, score, source, carried = block
+            return ip, start, start + duration, end, score, source, ended_by, carried
+
+        for batch in batches:
+            out = []
+            columns = (batch[c].tolist() for c in ("ip", "t", "kind", "uid", "score"))
+            for row_ip, t, kind, uid, score in zip(*columns, strict=True):
+                if block is not None and (row_ip != ip or t >= block[0] + duration):
+                    out.append(closed(block[0] + duration, "expiry"))
+                    block = None
+                ip = row_ip
+                if kind == _UNBLOCK:
+                    if block is not None:
+                        out.append(closed(t, "unblock"))
+                        block = None
+                elif block is None:
+                    source = uid if kind == _CARRIED else ("auto" if kind == _ALERT else "manual")
+                    block = (t, int(score), source, kind == _CARRIED)
+            yield pd.DataFrame(out, columns=names, dtype=object)
+        if block is not None:
+            yield pd.DataFrame([closed(block[0] + duration, "expiry")], columns=names, dtype=object)
 
     return run
 
@@ -119,24 +132,20 @@ def _unsettled(duration: int, slot: int):
                     next_b = int(lo[j]) if from_b <= lo[j] else int(hi[j])
                 a, b = next_a, max(next_a, next_b)
         ip = slots["ip"].iloc[0] if len(slots) else None
-        return pd.DataFrame({"ip": [ip] * len(wanted), "s": sorted(wanted)})
+        return pd.DataFrame({"ip": pd.Series([ip] * len(wanted), dtype=object), "s": sorted(wanted)})
 
     return run
 
 
-def _paired(left: DataFrame, unblocks: DataFrame, run, schema: str) -> DataFrame:
-    return left.groupBy("ip").cogroup(unblocks.groupBy("ip")).applyInPandas(run, schema)
-
-
 def thin_out(starts: DataFrame, unblocks: DataFrame, duration: int, slot: int) -> DataFrame:
     """Drop rows that cannot open a block, exactly: keep each time slot's first row, and all rows of
     the slots in which a block start is not settled by the slot bounds. Slots per address are bounded
     by the time range, whatever the number of alerts."""
     slotted = starts.withColumn("s", F.floor(F.col("t") / slot))
     bounds = slotted.groupBy("ip", "s").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    needed = _paired(bounds, unblocks, _unsettled(duration, slot), "ip string, s bigint")
-    firsts = bounds.select("ip", "s", F.col("lo"))
-    kept = slotted.join(firsts, ["ip", "s"]).join(needed.withColumn("_open", F.lit(True)), ["ip", "s"], "left")
+    by_ip = bounds.groupBy("ip").cogroup(unblocks.groupBy("ip"))
+    needed = by_ip.applyInPandas(_unsettled(duration, slot), "ip string, s bigint")
+    kept = slotted.join(bounds.select("ip", "s", "lo"), ["ip", "s"]).join(needed.withColumn("_open", F.lit(True)), ["ip", "s"], "left")
     return kept.filter((F.col("t") == F.col("lo")) | F.col("_open")).select(*starts.columns)
 
 
@@ -169,7 +178,9 @@ def block_ledger(
         for slot in (1_000_000, 1_000):
             busy = materialise(thin_out(busy, unblocks, duration, slot))
         candidates = starts.join(hot, "ip", "left_anti").unionByName(busy)
-    return _paired(candidates, unblocks, _walk(duration), LEDGER_SCHEMA).filter(F.col("start_us").isNotNull())
+    ends = unblocks.select("ip", "t", F.lit(_UNBLOCK).alias("kind"), F.lit("").alias("uid"), F.lit(0).alias("score"))
+    in_order = candidates.unionByName(ends).repartition("ip").sortWithinPartitions("ip", "t", "kind")
+    return in_order.mapInPandas(_walk(duration), LEDGER_SCHEMA)
 
 
 def active_blocks(ledger: DataFrame, at_us: int) -> DataFrame:

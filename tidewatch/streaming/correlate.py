@@ -94,7 +94,7 @@ def correlate_early(logs: dict[str, DataFrame], settings: Settings = DEFAULTS) -
                 state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
             elif state.exists:
                 state.remove()
-        yield pd.DataFrame(found, columns=["uid", *names])
+        yield pd.DataFrame(found, columns=["uid", *names], dtype=object)
 
     merged = packed.groupBy("uid").applyInPandasWithState(
         step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
