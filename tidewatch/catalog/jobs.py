@@ -26,7 +26,7 @@ from tidewatch.plans.train import train
 from tidewatch.sources.intel_feed import load_feed, read_feed, refresh_snapshot
 from tidewatch.sources.logs import read_conn_log, read_log, read_ssl_log, stream_log, write_text_log
 from tidewatch.sources.sinks import write_by_day, write_json
-from tidewatch.sources.storage import materialise, scratch_path
+from tidewatch.sources.storage import materialise, scratch_path, spread
 from tidewatch.sources.training import read_training_csv
 from tidewatch.streaming.correlate import correlate_early, correlate_stream
 from tidewatch.streaming.live import LiveScoring
@@ -161,7 +161,7 @@ def _in_unit(c: str):
 
 @query("d_iso_scores", "select uid, true as in_range from {conn}")
 def d_iso(spark, sf) -> DataFrame:
-    rows = materialise(inputs.netflow(spark, sf))
+    rows = spread(materialise(inputs.netflow(spark, sf)))
     path = scratch_path(spark, "isolation")
     IsolationForest().fit(benign_only(rows)).save(spark, path)
     return IsolationForestModel.load(spark, path).transform(rows).select("uid", _in_unit("isolation_forest_score"))
@@ -177,7 +177,7 @@ def d_iso_share(spark, sf) -> DataFrame:
 
 
 def _forest(spark, sf):
-    rows = materialise(inputs.netflow(spark, sf))
+    rows = spread(materialise(inputs.netflow(spark, sf)))
     return AttackForest(_QUICK).fit(rows), rows
 
 

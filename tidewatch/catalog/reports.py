@@ -241,7 +241,7 @@ def w4(spark, sf) -> DataFrame:
 
 
 def _activity_rows(spark, sf) -> DataFrame:
-    t = inputs.scored(spark, sf)
+    t = view(spark, sf, "conn")
     who = identities(t)
     return t.select(
         who["src_ip"].alias("src_ip"), who["dst_ip"].alias("dst_ip"), who["dst_port"].alias("dst_port"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.functions.fixed_values import FEATURE_NAMES
 from tidewatch.operators.statistics import exact_percentile
-from tidewatch.sources.storage import materialise
+from tidewatch.sources.storage import materialise, spread
 
 _NODE_SCHEMA = "tree int, node int, feature int, threshold double, below int, above int, path double"
 _EULER = 0.5772156649015329
@@ -62,44 +62,47 @@ class IsolationForestModel:
     features: list[str]
 
     def _packed(self):
+        """The trees as complete binary trees of equal depth, so that a step is index arithmetic:
+        ``feature`` and ``threshold`` per inner place, ``path`` per place of the last level."""
+        nodes = {(t, n): (f, c, lo, hi, p) for t, n, f, c, lo, hi, p in self.nodes.itertuples(index=False)}
         trees = int(self.nodes["tree"].max()) + 1
-        width = int(self.nodes["node"].max()) + 1
-        feature = np.full((trees, width), -1, np.int32)
-        threshold, path = np.zeros((trees, width)), np.zeros((trees, width))
-        below, above = np.zeros((trees, width), np.int32), np.zeros((trees, width), np.int32)
-        t, n = self.nodes["tree"].to_numpy(), self.nodes["node"].to_numpy()
-        for target, name in (
-            (feature, "feature"), (threshold, "threshold"), (path, "path"), (below, "below"), (above, "above"),
-        ):
-            target[t, n] = self.nodes[name].to_numpy()
-        return feature, threshold, below, above, path
+        depth = max(1, math.ceil(math.log2(max(self.sample, 2))))
+        feature, threshold = np.zeros((trees, 2**depth - 1), np.int64), np.full((trees, 2**depth - 1), np.inf)
+        path = np.zeros((trees, 2**depth))
+        pending = [(t, 0, 0, 0) for t in range(trees)]  # tree, node, level, place in level
+        while pending:
+            t, n, level, place = pending.pop()
+            f, cut, below, above, length = nodes[t, n]
+            if f < 0:
+                span = 2 ** (depth - level)
+                path[t, place * span : (place + 1) * span] = length
+            else:
+                feature[t, 2**level - 1 + place], threshold[t, 2**level - 1 + place] = f, cut
+                pending += [(t, below, level + 1, 2 * place), (t, above, level + 1, 2 * place + 1)]
+        return feature, threshold, path, depth
 
     def isolation(self) -> Column:
         """2^(-E[h] / c(sample)) of every row: near 1 is easily isolated."""
-        packed = self._packed()
+        feature, threshold, path, depth = self._packed()
+        trees, inner = feature.shape
         scale = average_path(self.sample) or 1.0
+        flat_feature, flat_threshold, flat_path = feature.ravel(), threshold.ravel(), path.ravel()
 
-        @F.pandas_udf("double")
         def score(*columns: pd.Series) -> pd.Series:
-            feature, threshold, below, above, path = packed
             x = np.column_stack([c.to_numpy(np.float64) for c in columns])
             out = np.empty(len(x))
-            lanes = np.arange(feature.shape[0])[None, :]
-            for start in range(0, len(x), 2048):
-                part = x[start : start + 2048]
-                at = np.zeros((len(part), feature.shape[0]), np.int32)
-                rows = np.arange(len(part))[:, None]
-                while True:
-                    f = feature[lanes, at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    step = np.where(part[rows, np.maximum(f, 0)] <= threshold[lanes, at], below[lanes, at], above[lanes, at])
-                    at = np.where(inner, step, at)
-                out[start : start + 2048] = 2.0 ** (-path[lanes, at].mean(axis=1) / scale)
+            tree_base, leaf_base = np.arange(trees) * inner, np.arange(trees) * 2**depth
+            for start in range(0, len(x), 1024):
+                part = x[start : start + 1024]
+                values, row_base = part.ravel(), (np.arange(len(part)) * part.shape[1])[:, None]
+                place = np.zeros((len(part), trees), np.int64)
+                for level in range(depth):
+                    at = place + (tree_base + (2**level - 1))
+                    place = 2 * place + (values.take(flat_feature.take(at) + row_base) > flat_threshold.take(at))
+                out[start : start + 1024] = 2.0 ** (-flat_path.take(place + leaf_base).mean(axis=1) / scale)
             return pd.Series(out)
 
-        return score(*[F.col(c).cast("double") for c in self.features])
+        return F.pandas_udf(score, "double")(*[F.col(c).cast("double") for c in self.features])
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Add ``isolation_forest_score``: 0.5 at the decision boundary, higher is more anomalous."""
@@ -131,7 +134,7 @@ class IsolationForest:
         whose size depends on the settings only; the boundary is the contamination percentile of the
         scores of all training rows."""
         s = self.settings
-        x = benign.select(*[F.col(c).cast("double").alias(c) for c in self.features])
+        x = spread(materialise(benign.select(*[F.col(c).cast("double").alias(c) for c in self.features])))
         total = x.count()
         if total == 0:
             raise ValueError("no benign rows to fit on")

@@ -15,17 +15,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.detectors.ewma import matrix
 from tidewatch.functions.fixed_values import FEATURE_NAMES
-from tidewatch.operators.ordered import OrderedBlocks, ordered_blocks, sliding_windows
-from tidewatch.operators.sampling import split_by_block
+from tidewatch.operators.ordered import OrderedBlocks, ordered_blocks
+from tidewatch.operators.sampling import split_by_block, unit_hash
 from tidewatch.operators.statistics import collect_moments, exact_percentile
-from tidewatch.sources.storage import materialise
+from tidewatch.sources.storage import materialise, spread
 
 Rebuild = Callable[[np.ndarray], np.ndarray]
 
@@ -101,36 +101,43 @@ class SequenceDetector:
     features: tuple[str, ...] = tuple(FEATURE_NAMES)
     components: int = 16
     block: int = 1000
+    least_blocks: int = 20
 
     def fit(self, benign: DataFrame, order: tuple[str, ...] = ("ts", "uid"), blocks: OrderedBlocks | None = None) -> SequenceModel:
-        """Fit on benign rows in event order: windows are taken over all of them, then split by whole
-        blocks of positions, so that no window shares rows with one on the other side. The threshold
-        is the 95th percentile of the held-out error of the model that is kept."""
+        """Fit on benign rows in event order. A share of the blocks of consecutive rows is drawn, and
+        split by block into training and held-out windows, so that no window shares rows with one on
+        the other side. The threshold is the 95th percentile of the held-out error of the model kept."""
         s, names = self.settings, list(self.features)
         ordered = blocks or ordered_blocks(benign.select(*order, *names), order)
         stats = collect_moments(ordered.rows, names)
         mean, std = [stats[n][0] for n in names], [stats[n][1] for n in names]
-        windows = sliding_windows(ordered, s.sequence_length, names)
         flat = F.flatten("window")
         repeated = [F.lit(float(v)) for v in mean * s.sequence_length], [F.lit(float(v)) for v in std * s.sequence_length]
         centred = F.zip_with(
             F.zip_with(flat, F.array(*repeated[0]), lambda x, m: x - m), F.array(*repeated[1]), lambda d, sd: d / sd
         )
-        inside = F.col("_position") % self.block >= s.sequence_length - 1
-        data = windows.filter(inside).select("_position", centred.alias("x"))
+        # whole blocks of positions are drawn before any window is built, and windows stay inside them
+        share = max(s.sequence_fraction, self.least_blocks * self.block / max(ordered.total, 1))
+        block = F.floor(F.col("_position") / self.block)
+        chosen = ordered.with_position().filter(unit_hash(block, s.seed + 1) < min(1.0, share))
+        inside = Window.partitionBy(block).orderBy("_position").rowsBetween(1 - s.sequence_length, 0)
+        windows = chosen.select(
+            "_position", F.collect_list(F.array(*[F.col(c).cast("double") for c in names])).over(inside).alias("window")
+        ).filter(F.size("window") == s.sequence_length)
+        data = spread(materialise(windows.select("_position", centred.alias("x"))))
         train, held_out = split_by_block(data, F.col("_position"), self.block, s.sequence_validation_fraction, s.seed)
         k = min(self.components, len(names) * s.sequence_length)
-        vectors = materialise(train.select(array_to_vector("x").alias("v")))
+        vectors = train.select(array_to_vector("x").alias("v"))
         pca = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
         components = pca.pc.toArray()
         model = SequenceModel(mean, std, components.tolist(), s.sequence_threshold, s.sequence_length, names)
         projected = model._rebuild()
 
-        @F.pandas_udf("double")
-        def error(x: pd.Series) -> pd.Series:
+        def squared_error(x: pd.Series) -> pd.Series:
             w = np.stack(x.to_numpy())
             return pd.Series(((w - projected(w)) ** 2).mean(axis=1))
 
+        error = F.pandas_udf(squared_error, "double")
         errors = materialise(held_out.select(error("x").alias("e")))
         limit = exact_percentile(errors, "e", 0.95)
         if limit is None:

@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.fixed_values import FEATURE_NAMES, PROTOCOL_NUMBERS, SERVICE_IDS
 from tidewatch.functions.history import retransmissions, tcp_flags
-from tidewatch.functions.numeric import field, finite, nonzero_or
+from tidewatch.functions.numeric import field, finite, finite_field, nonzero_or
 
 
 def code_of(text: Column, codes: dict[str, float], default: float = 0.0) -> Column:
-    """Case-insensitive lookup of a short fixed code table."""
-    key = F.lower(text)
-    out = None
+    """Case-insensitive lookup in a short fixed code table."""
+    entries: list[Column] = []
     for name, code in codes.items():
-        out = F.when(key == name, code) if out is None else out.when(key == name, code)
-    return out.otherwise(default)
+        entries += [F.lit(name), F.lit(code)]
+    return F.coalesce(F.create_map(*entries)[F.lower(text)], F.lit(default))
 
 
 def in_bytes(df: DataFrame) -> Column:
@@ -29,13 +28,17 @@ def out_bytes(df: DataFrame) -> Column:
 
 def with_features(df: DataFrame) -> DataFrame:
     """Append the features to every flow. Row-local: no shuffle, no Python, one codegen stage."""
+    history = field(df, "history", "string")
     base = df.withColumns(
         {
-            "_ib": finite(in_bytes(df)),
-            "_ip": finite(field(df, "orig_pkts", "bigint")),
-            "_ob": finite(out_bytes(df)),
-            "_op": finite(field(df, "resp_pkts", "bigint")),
+            "_ib": finite_field(df, "orig_ip_bytes", "orig_bytes"),
+            "_ip": finite_field(df, "orig_pkts"),
+            "_ob": finite_field(df, "resp_ip_bytes", "resp_bytes"),
+            "_op": finite_field(df, "resp_pkts"),
             "_d": finite(field(df, "duration", "double")),
+            "_client": tcp_flags(history, "client"),
+            "_server": tcp_flags(history, "server"),
+            "_rt": retransmissions(history).cast("double"),
         }
     ).withColumns(
         {
@@ -44,7 +47,6 @@ def with_features(df: DataFrame) -> DataFrame:
             "_sd": F.greatest(F.col("_d"), F.lit(0.001)),
         }
     )
-    history = field(df, "history", "string")
     ib, ip, ob, op = F.col("_ib"), F.col("_ip"), F.col("_ob"), F.col("_op")
     d, ai, sd = F.col("_d"), F.col("_ai"), F.col("_sd")
     sent = ip > 0
@@ -71,9 +73,9 @@ def with_features(df: DataFrame) -> DataFrame:
             "IN_PKTS": ip,
             "OUT_BYTES": ob,
             "OUT_PKTS": op,
-            "TCP_FLAGS": tcp_flags(history),
-            "CLIENT_TCP_FLAGS": tcp_flags(history, "client"),
-            "SERVER_TCP_FLAGS": tcp_flags(history, "server"),
+            "TCP_FLAGS": F.col("_client").bitwiseOR(F.col("_server")),
+            "CLIENT_TCP_FLAGS": F.col("_client"),
+            "SERVER_TCP_FLAGS": F.col("_server"),
             "FLOW_DURATION_MILLISECONDS": d * 1000,
             "DURATION_IN": F.when(sent, d * 1000 / 2).otherwise(0.0),
             "DURATION_OUT": F.when(op > 0, d * 1000 / 2).otherwise(0.0),
@@ -85,8 +87,8 @@ def with_features(df: DataFrame) -> DataFrame:
             "MAX_IP_PKT_LEN": longest,
             "SRC_TO_DST_SECOND_BYTES": ib / sd,
             "DST_TO_SRC_SECOND_BYTES": ob / sd,
-            "RETRANSMITTED_IN_PKTS": retransmissions(history),
-            "RETRANSMITTED_OUT_PKTS": retransmissions(history),
+            "RETRANSMITTED_IN_PKTS": F.col("_rt"),
+            "RETRANSMITTED_OUT_PKTS": F.col("_rt"),
             "SRC_TO_DST_AVG_THROUGHPUT": ib * 8 / sd,
             "DST_TO_SRC_AVG_THROUGHPUT": ob * 8 / sd,
             "NUM_PKTS_UP_TO_128_BYTES": size_bin(None, 128),

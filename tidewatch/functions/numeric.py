@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 # Fixed value: largest finite 32-bit float, the clipping range of training features.
 FLOAT32_MAX = 3.4028234663852886e38
@@ -21,7 +22,18 @@ def _not_finite(v: Column) -> Column:
 def finite(c: Column, default: float = 0.0) -> Column:
     """Parse as double; text that is no number, NULL, NaN and infinities become ``default``."""
     v = c.try_cast("double")
-    return F.when(v.isNull() | _not_finite(v), F.lit(default)).otherwise(v)
+    # a difference with itself is 0 for finite numbers only
+    return F.when(v - v == 0, v).otherwise(F.lit(default))
+
+
+def finite_field(df: DataFrame, *names: str) -> Column:
+    """``finite`` of a field, or of the first of two that is not zero. Whole-number fields need no
+    test for infinities, which keeps the generated code small enough to be compiled."""
+    types = [df.schema[n].dataType for n in names if n in df.columns]
+    whole = all(isinstance(t, IntegralType) for t in types)
+    columns = [field(df, n, "bigint") for n in names]
+    value = columns[0] if len(columns) == 1 else nonzero_or(columns[0], columns[1])
+    return F.coalesce(value.cast("double"), F.lit(0.0)) if whole else finite(value)
 
 
 def nonzero_or(first: Column, second: Column) -> Column:

@@ -65,28 +65,37 @@ def weak_cipher(cipher: Column) -> Column:
 
 
 def shannon_entropy(text: Column) -> Column:
-    """Bits per character of the lower-cased text."""
-    chars = F.split(F.lower(text), "")
-    chars = F.filter(chars, lambda c: c != "")
-    n = F.size(chars).cast("double")
+    """Bits per character of the lower-cased text. Occurrences are counted by taking a character out
+    of the text, which is one native string operation per distinct character."""
 
-    def minus_p_log_p(c: Column) -> Column:
-        p = F.size(F.filter(chars, lambda other: other == c)) / n
-        return -p * F.log2(p)
+    def of_lower(lower: Column) -> Column:
+        n = F.length(lower)
 
-    terms = F.transform(F.array_distinct(chars), minus_p_log_p)
-    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
+        def minus_p_log_p(c: Column) -> Column:
+            p = (n - F.length(F.replace(lower, c, F.lit("")))) / n
+            return -p * F.log2(p)
 
+        distinct = F.array_distinct(F.filter(F.split(lower, ""), lambda c: c != ""))
+        return F.aggregate(F.transform(distinct, minus_p_log_p), F.lit(0.0), lambda acc, t: acc + t)
 
-def server_name_risk(name: Column) -> Column:
-    """Highest of the host-name findings; 0 for an unremarkable name, NULL for none."""
-    labels = F.size(F.split(name, r"\."))
+    # bound through a one-element array, so that the text is lower-cased once and not per character
+    return F.transform(F.array(F.lower(text)), of_lower)[0]
+
+
+def label_entropy(name: Column) -> Column:
+    """Entropy of a first label of more than 20 characters; NULL for shorter ones, which are not judged."""
     first = F.substring_index(name, ".", 1)
+    return F.when(F.length(first) > 20, shannon_entropy(first))
+
+
+def server_name_risk(name: Column, entropy: Column | None = None) -> Column:
+    """Highest of the host-name findings; 0 for an unremarkable name, NULL for none. ``entropy``: the
+    ``label_entropy``, when it has been computed into a column."""
+    labels = F.size(F.split(name, r"\."))
     suspicious = F.lit(False)
     for tld in SUSPICIOUS_TLDS:
         suspicious = suspicious | name.endswith(tld)
-    # cheap test first: the entropy is only computed for long labels
-    random_label = F.when(F.length(first) > 20, shannon_entropy(first) > 3.5).otherwise(F.lit(False))
+    random_label = (label_entropy(name) if entropy is None else entropy) > 3.5
     return F.when(
         name.isNotNull(),
         F.greatest(

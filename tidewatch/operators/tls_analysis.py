@@ -111,17 +111,21 @@ def with_tls_risk(flows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         server.isNotNull(),
         F.concat(F.coalesce(client_name, F.lit("")), F.lit(" + "), server, F.lit(" (server)")),
     ).otherwise(client_name)
+    no_text = F.array().cast("array<string>")
+    # the entropy is the one expression without generated code: in a column of its own it leaves the
+    # rest of the analysis in whole-stage codegen
     return (
-        flows.withColumn("_name_risk", tls.server_name_risk(name))
+        flows.withColumn("_entropy", tls.label_entropy(name))
+        .withColumn("_name_risk", tls.server_name_risk(name, F.col("_entropy")))
         .withColumns(
             {
                 "tls_malicious": malicious,
                 "tls_threat": threat,
                 "tls_risk": F.greatest(F.lit(0.0), *[F.when(test, weight).otherwise(0.0) for test, _, weight in reasons]),
-                "tls_risk_factors": F.array_compact(F.array(*[F.when(test, text) for test, text, _ in reasons])),
+                "tls_risk_factors": F.concat(*[F.when(test, F.array(text)).otherwise(no_text) for test, text, _ in reasons]),
             }
         )
-        .drop("_name_risk")
+        .drop("_name_risk", "_entropy")
     )
 
 

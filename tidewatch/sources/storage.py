@@ -36,6 +36,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(stored: DataFrame) -> DataFrame:
+    """For passes that cost time rather than bytes: a stored table of fewer partitions than there are
+    cores is dealt out evenly. Tables large enough to occupy the cluster pass through unchanged."""
+    lanes = stored.sparkSession.sparkContext.defaultParallelism
+    return stored.repartition(lanes) if stored.rdd.getNumPartitions() < lanes else stored
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table; never reused, never cleared by us."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
