@@ -136,3 +136,24 @@ def test_absent_fields_are_missing(spark):
     assert {r for r in with_features(df).select(*FEATURE_NAMES).first()} == {0.0}
     r = with_fingerprint(df).first()
     assert r.ja3 == NO_TLS_FINGERPRINT and not r.has_tls and r.ja3s is None
+
+
+def test_443_rule_is_off_by_default(spark):
+    from datetime import datetime
+
+    from tidewatch.config import Settings
+
+    df = spark.createDataFrame([("u", datetime(2024, 1, 1), 443, None)], "uid string, ts timestamp, id_resp_p int, service string")
+    on = analyse_tls(df, threat_table(spark), Settings(flag_443_without_tls=True)).first()
+    off = analyse_tls(df, threat_table(spark)).first()
+    assert on.tls_risk == 0.4 and off.tls_risk == 0.15 and len(on.tls_risk_factors) == 2
+
+
+def test_netflow_identities(spark):
+    from tidewatch.operators.risk import identities
+
+    row = ("9.9.9.9", "", 0, 443, 6.0, "1.1.1.1", "2.2.2.2", 1000, "udp")
+    schema = "IPV4_SRC_ADDR string, IPV4_DST_ADDR string, L4_SRC_PORT int, L4_DST_PORT int, PROTOCOL double, id_orig_h string, id_resp_h string, id_orig_p int, proto string"
+    df = spark.createDataFrame([row], schema)
+    got = df.select(*[c.alias(k) for k, c in identities(df).items()]).first()
+    assert tuple(got) == ("9.9.9.9", "2.2.2.2", 1000, 443, "6")

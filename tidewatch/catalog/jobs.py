@@ -216,14 +216,15 @@ def k5(spark, sf) -> DataFrame:
     return model.importances(spark).orderBy(F.desc("importance"), "feature").limit(5)
 
 
-@query("d_seq_scores", "select uid, true as in_range, rn < 9 as is_warmup from {ewma_rows}")
+@query("d_seq_scores", "select uid, true as in_range, case when rn < 9 then cast(0.5 as double) end as warmup_score from {ewma_rows}")
 def d_seq(spark, sf) -> DataFrame:
     rows = inputs.netflow(spark, sf)
     ordered = ordered_blocks(rows)
     model = SequenceDetector().fit(benign_only(ordered.rows.drop("_block", "_row")))
     placed = ordered.with_position().select("uid", "_position")
-    scored = model.transform(ordered).select("uid", _in_unit("sequence_score"))
-    return scored.join(placed, "uid").select("uid", "in_range", (F.col("_position") < 9).alias("is_warmup"))
+    scored = model.transform(ordered).select("uid", "sequence_score").join(placed, "uid")
+    warmup = F.when(F.col("_position") < 9, F.col("sequence_score")).alias("warmup_score")
+    return scored.select("uid", _in_unit("sequence_score"), warmup)
 
 
 @query("r7_train_all")

@@ -80,8 +80,10 @@ class SequenceModel:
     def transform(self, blocks: OrderedBlocks, before: dict[int, list[list[float]]] | None = None) -> DataFrame:
         """Rows with ``sequence_score``: error over threshold, at most 1; 0.5 without a full window.
         ``before``: rows preceding each block, when they have been read already."""
-        score = F.least(F.lit(1.0), F.col("_mse") / F.lit(self.threshold))
-        return self._with_error(blocks, before).withColumn("sequence_score", F.coalesce(score, F.lit(0.5))).drop("_mse")
+        # least() skips NULLs, so rows without a window are told apart first
+        capped = F.least(F.lit(1.0), F.col("_mse") / F.lit(self.threshold))
+        score = F.when(F.col("_mse").isNull(), F.lit(0.5)).otherwise(capped)
+        return self._with_error(blocks, before).withColumn("sequence_score", score).drop("_mse")
 
     def save(self, spark: SparkSession, path: str) -> None:
         schema = "mean array<double>, std array<double>, components array<array<double>>, threshold double, length int, features array<string>"

@@ -28,23 +28,21 @@ def blocklist_hashes() -> list[str]:
     return [line.split()[0] for line in JA3_BLOCKLIST.strip().splitlines()]
 
 
-def curated_threats(spark: SparkSession) -> DataFrame:
+def _fixed_entries() -> list[tuple]:
+    """Curated entries, then those of the blocklist that are not curated."""
     rows = [tuple(line.split("|")) for line in CURATED_THREATS.strip().splitlines()]
-    return _inline(spark, rows, THREAT_COLUMNS)
-
-
-def blocklist_threats(spark: SparkSession) -> DataFrame:
-    rows = []
+    curated = {r[0] for r in rows}
     for line in JA3_BLOCKLIST.strip().splitlines():
         ja3, _, family = line.partition(" ")
-        rows.append((ja3, family or BLOCKLIST_DEFAULT_FAMILY))
-    named = _inline(spark, rows, ["ja3", "malware"])
-    return named.select(
-        "ja3",
-        "malware",
-        F.lit("critical").alias("severity"),
-        F.concat(F.lit("Matched abuse.ch SSLBL — "), F.col("malware")).alias("description"),
-    )
+        family = family or BLOCKLIST_DEFAULT_FAMILY
+        if ja3 not in curated:
+            rows.append((ja3, family, "critical", f"Matched abuse.ch SSLBL — {family}"))
+    return rows
+
+
+def fixed_threats(spark: SparkSession) -> DataFrame:
+    """The entries known without a feed: a literal table of about a hundred rows."""
+    return _inline(spark, _fixed_entries(), THREAT_COLUMNS)
 
 
 def feed_threats(feed: DataFrame) -> DataFrame:
@@ -68,10 +66,8 @@ def merge_by_precedence(sources: list[DataFrame]) -> DataFrame:
 
 def threat_table(spark: SparkSession, feed: DataFrame | None = None) -> DataFrame:
     """Curated entries, then the blocklist, then the feed."""
-    sources = [curated_threats(spark), blocklist_threats(spark)]
-    if feed is not None:
-        sources.append(feed_threats(feed))
-    return merge_by_precedence(sources)
+    fixed = fixed_threats(spark)
+    return fixed if feed is None else merge_by_precedence([fixed, feed_threats(feed)])
 
 
 def lookup_threats(flows: DataFrame, threats: DataFrame) -> DataFrame:

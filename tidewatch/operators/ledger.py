@@ -17,6 +17,8 @@ from tidewatch.operators.risk import identities
 from tidewatch.sources.storage import materialise
 
 MANUAL_SCORE = 100
+_SLOTS = (60_000_000, 1_000_000, 1_000)
+_BROADCAST_ADDRESSES = 100_000
 _CARRIED, _ALERT, _MANUAL, _UNBLOCK = -1, 0, 1, 2
 LEDGER_SCHEMA = (
     "ip string, start_us bigint, expiry_us bigint, end_us bigint, score int, source string, ended_by string, carried boolean"
@@ -160,8 +162,8 @@ def block_ledger(
     (ip, ts, action) with action block or unblock; ``open_blocks``: ledger rows of an earlier run
     that were still open, which come back marked ``carried``.
 
-    Addresses of more than ``hot_rows`` instants are thinned out first, by seconds and then by
-    milliseconds, so that the walk over one address always gets a group of bounded size.
+    Addresses of more than ``hot_rows`` instants are thinned out first, by minutes, seconds and then
+    milliseconds, so that what one task gets of an address is bounded by the time range.
     """
     spark = events.sparkSession
     duration = settings.block_seconds * 1_000_000
@@ -172,11 +174,16 @@ def block_ledger(
         unblocks = spark.createDataFrame([], "ip string, t bigint")
     hot = starts.groupBy("ip").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select("ip")
     candidates = starts
-    if not hot.isEmpty():
-        hot = materialise(hot)
+    hot = materialise(hot)
+    busy_addresses = hot.count()
+    if busy_addresses:
+        # telling busy addresses apart must not gather their rows by address again
+        if busy_addresses <= _BROADCAST_ADDRESSES:
+            hot = F.broadcast(hot)
         busy = starts.join(hot, "ip", "left_semi")
-        for slot in (1_000_000, 1_000):
-            busy = materialise(thin_out(busy, unblocks, duration, slot))
+        for slot in _SLOTS:
+            if slot * 10 <= duration:
+                busy = materialise(thin_out(busy, unblocks, duration, slot))
         candidates = starts.join(hot, "ip", "left_anti").unionByName(busy)
     ends = unblocks.select("ip", "t", F.lit(_UNBLOCK).alias("kind"), F.lit("").alias("uid"), F.lit(0).alias("score"))
     in_order = candidates.unionByName(ends).repartition("ip").sortWithinPartitions("ip", "t", "kind")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,23 +25,26 @@ def feature_matrix(training: DataFrame, keep: list[str] | None = None) -> DataFr
 
 
 def moments(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Mean and population standard deviation (plus a floor) per column, as rows. One pass."""
+    """Mean and population standard deviation (plus a floor) per column, as rows. One pass, one
+    aggregate over the whole vector: dozens of separate ones outgrow what the JVM compiles. A missing
+    value counts as 0, as everywhere in training."""
     names = columns or FEATURE_NAMES
-    wide = df.agg(
-        *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(names)],
-        *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(names)],
+    vector = array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]))
+    summary = df.select(vector.alias("_v")).agg(
+        Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")
     )
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.col(f"m_{i}").alias("mean"),
-                (F.col(f"s_{i}") + F.lit(_STD_FLOOR)).alias("std"),
-            )
-            for i, c in enumerate(names)
-        ]
+    n = F.col("s.count").cast("double")
+    arrays = summary.select(
+        vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance"), n.alias("n")
+    )
+    rows = arrays.select(F.posexplode("mean").alias("i", "mean"), "variance", "n").withColumn(
+        "_sample", F.element_at("variance", F.col("i") + 1)
+    )
+    return rows.select(
+        F.element_at(F.array(*[F.lit(c) for c in names]), F.col("i") + 1).alias("feature"),
+        "mean",
+        (F.sqrt(F.col("_sample") * (F.col("n") - 1) / F.col("n")) + F.lit(_STD_FLOOR)).alias("std"),
     )
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def collect_moments(df: DataFrame, columns: list[str] | None = None) -> dict[str, tuple[float, float]]:
