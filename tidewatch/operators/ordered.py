@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.fixed_values import FEATURE_NAMES
-from tidewatch.sources.storage import materialise
+from tidewatch.sources.storage import materialise, stored_table
 
 ORDER = ("ts", "uid")
 _ROW_BITS = (1 << 33) - 1
@@ -82,7 +82,7 @@ def ordered_blocks(
     stored before and the blocks are stored after.
     """
     spark = df.sparkSession
-    source = df if stored else materialise(df)
+    source = df if stored else stored_table(df, "unordered")
     count = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*order, "_place"]
     sorted_rows = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.detectors.ensemble import DetectorSet, evaluate_classifier, fit_detectors
 from tidewatch.operators.statistics import feature_matrix
-from tidewatch.sources.storage import materialise
+from tidewatch.sources.storage import stored_table
 
 
 @dataclass
@@ -28,7 +28,7 @@ def prepare(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     independently; the sample is stored, which fixes it for every later pass."""
     f = settings.train_fraction
     drawn = rows if f >= 1.0 else rows.sample(f, settings.seed)
-    return materialise(feature_matrix(drawn, keep=["Attack", "Label"]))
+    return stored_table(feature_matrix(drawn, keep=["Attack", "Label"]), "training")
 
 
 def train(

@@ -36,6 +36,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """As ``materialise``, but columnar: for tables that several later passes read some columns of."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(stored: DataFrame) -> DataFrame:
     """For passes that cost time rather than bytes: a stored table of fewer partitions than there are
     cores is dealt out evenly. Tables large enough to occupy the cluster pass through unchanged."""

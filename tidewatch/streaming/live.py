@@ -22,7 +22,7 @@ from tidewatch.operators.ledger import block_ledger, blocking_events
 from tidewatch.operators.ordered import ordered_blocks
 from tidewatch.operators.risk import alert_records, flow_records
 from tidewatch.plans.replay import score_flows
-from tidewatch.sources.storage import materialise
+from tidewatch.sources.storage import materialise, stored_table
 
 _BLOCK = "ip string, start_us bigint, expiry_us bigint, end_us bigint, score int, source string, ended_by string"
 
@@ -67,7 +67,7 @@ class LiveScoring:
         ordered = ordered_blocks(with_features(flows))
         scored, after, tail = self.detectors.transform_ordered(ordered, start, lead)
         known = self._before(spark, "fingerprints", batch)
-        risky = materialise(score_flows(scored, self.threats, self.settings, known))
+        risky = stored_table(score_flows(scored, self.threats, self.settings, known), "scored")
 
         top = self.detectors.top_features(3)
         self._put(alerts_only(alert_records(risky, top, self.settings), self.settings), "alerts", batch)
