@@ -68,6 +68,12 @@ def test_copies_of_one_record_spread_over_blocks(spark):
     assert blocks.total == 3000 and len(blocks.sizes) == 6 and max(n for _, n in blocks.sizes) < 1500
 
 
+def test_block_count():
+    from tidewatch.operators.ordered import block_count
+
+    assert block_count(1000, 8) == 8 and block_count(10**9, 8) == 101 and block_count(10**12, 200) == 20_000
+
+
 # ---- windows
 
 

@@ -49,9 +49,9 @@ class DetectorSet:
             out = self.forest.transform(out).drop("class_probability")
         return out
 
-    def transform(self, flows: DataFrame, blocks: int | None = None) -> DataFrame:
+    def transform(self, flows: DataFrame, blocks: int | None = None, stored: bool = False) -> DataFrame:
         """All scores. Flows are ordered and stored once for both order-dependent detectors."""
-        return self.transform_ordered(ordered_blocks(flows, blocks=blocks))[0]
+        return self.transform_ordered(ordered_blocks(flows, blocks=blocks, stored=stored))[0]
 
     def transform_ordered(
         self, ordered: OrderedBlocks, start: EwmaState | None = None, lead: list[list[float]] | None = None

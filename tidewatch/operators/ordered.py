@@ -16,6 +16,8 @@ from tidewatch.sources.storage import materialise, stored_table
 
 ORDER = ("ts", "uid")
 _ROW_BITS = (1 << 33) - 1
+_BLOCK_ROWS = 10_000_000
+_MOST_BLOCKS = 20_000
 
 
 @dataclass(frozen=True)
@@ -72,6 +74,12 @@ class OrderedBlocks:
         return out, before
 
 
+def block_count(rows: int, least: int) -> int:
+    """Blocks of about ten million rows, but no more than the driver chains with ease: it holds a few
+    numbers per feature and block, and a block beyond its memory share is sorted with spilling."""
+    return max(least, min(_MOST_BLOCKS, rows // _BLOCK_ROWS + 1))
+
+
 def ordered_blocks(
     df: DataFrame, order: tuple[str, ...] = ORDER, blocks: int | None = None, stored: bool = False
 ) -> OrderedBlocks:
@@ -83,7 +91,7 @@ def ordered_blocks(
     """
     spark = df.sparkSession
     source = df if stored else stored_table(df, "unordered")
-    count = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = blocks or block_count(source.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = [*order, "_place"]
     sorted_rows = (
         source.withColumn("_place", F.monotonically_increasing_id())
