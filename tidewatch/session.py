@@ -20,6 +20,8 @@ def build_session(app: str = "tidewatch", master: str | None = None) -> SparkSes
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # call sites are not recorded per column expression: that is most of the time a wide plan takes to build
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
