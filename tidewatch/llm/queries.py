@@ -5,19 +5,83 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.llm import common
+from tidewatch.llm.language import judged, train
+from tidewatch.llm.mixing import assigned
 from tidewatch.llm.neardup import jaccard_join
+from tidewatch.llm.packing import pack
 from tidewatch.session import pin_utc
 
 Build = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assigned(common.documents(spark, sf_dir)).drop("passes")
+
+
+OP1_SQL = r"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    md5(coalesce(doc_id::varchar, '')) as turn
+  from documents
+), s as (
+  select source, row_number() over (order by source nulls last) - 1 as place, sum(size)::bigint as source_size from d group by source
+), w as (
+  select *, [3, 1, 2][place % 3 + 1] as weight, 2.0::double * source_size as cap from s
+), l as (
+  select *, (1.5::double * sum(source_size) over ()
+      - coalesce(sum(cap) over (order by cap / weight, place rows between unbounded preceding and 1 preceding), 0.0::double))
+    / sum(weight) over (order by cap / weight, place rows between current row and unbounded following) as level
+  from w
+), t as (
+  select source, place, source_size, coalesce(least(cap, weight * (select arg_min(level, (cap / weight, place)) from l where cap / weight > level)), cap) as target
+  from l
+), p as (
+  select d.doc_id, d.size, t.source_size, t.target, t.place, round(t.target)::bigint as stop,
+    coalesce(sum(d.size) over (partition by d.source order by d.turn, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as beg
+  from d join t on d.source is not distinct from t.source
+), u as (
+  select *, greatest(0, least(size, stop - beg))::bigint as one, greatest(0, least(size, stop - beg - source_size))::bigint as two,
+    case when target > 0 then beg / target else 1.0::double end as u
+  from p
+)
+select doc_id, size, source_size, target, one + two as taken,
+  case when one > 0 then case place % 3
+    when 0 then case when u * 1.125::double < 0.75 then 2 * (u * 1.125::double) / (2 + sqrt(4 + 2 * -2.0::double * (u * 1.125::double)))
+      else 0.5::double + 2 * (u * 1.125::double - 0.75::double) / (1 + sqrt(1 + 2 * -1.0::double * (u * 1.125::double - 0.75::double))) end
+    when 1 then case when u * 1.125::double < 0.375 then 2 * (u * 1.125::double) / (0.5::double + sqrt(0.25::double + 2 * 1.0::double * (u * 1.125::double)))
+      else 0.5::double + 2 * (u * 1.125::double - 0.375::double) / (1 + sqrt(1 + 2 * 2.0::double * (u * 1.125::double - 0.375::double))) end
+    else 2 * u / (1 + sqrt(1::double)) end end as first_due
+from u
+"""
+
+
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(common.documents(spark, sf_dir), tokenizer(), with_ids=False)
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, third = common.documents(spark, sf_dir), common.remainder(F.col("doc_id"), 3)
+    model = train(docs, third != 1)
+    return judged(docs, model).select("doc_id", (third == 1).alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(common.documents(spark, sf_dir))
 
 
 _ALL: list[tuple[Build, str | None]] = [
+    (op1_mix_sources, OP1_SQL),
+    (op5_pack_sequences, None),
+    (op9_language_id, None),
     (op10_ngram_jaccard_join, None),
 ]
 
