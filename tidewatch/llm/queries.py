@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
+from tidewatch.llm.fingerprint import edited_next
 from tidewatch.llm.language import judged, train
 from tidewatch.llm.mixing import assigned
 from tidewatch.llm.neardup import jaccard_join
@@ -58,6 +59,52 @@ from u
 """
 
 
+def op4_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_next(common.documents(spark, sf_dir))
+
+
+OP4_SQL = """
+with d as (
+  select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n from documents
+), x as (
+  select *, coalesce(lead(text) over (order by doc_id desc), first_value(text) over (order by doc_id desc rows between unbounded preceding and unbounded following)) as after,
+    coalesce(lead(doc_id) over (order by doc_id desc), first_value(doc_id) over (order by doc_id desc rows between unbounded preceding and unbounded following)) as next_id
+  from d
+), e as (
+  select doc_id, next_id, n, text, substr(text, 1, n - n // 2) || substr(after, 1, n // 2) as edited from x
+), v as (
+  select doc_id, 0 as version, text from e union all select doc_id, 1, edited from e
+), p as (
+  select doc_id, version, md5(unnest(string_split(replace(replace(replace(text, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10)), chr(10)))) as h from v
+), w as (
+  select doc_id, version, [('0x' || substr(h, 1, 8))::bigint, ('0x' || substr(h, 9, 8))::bigint, ('0x' || substr(h, 17, 8))::bigint, ('0x' || substr(h, 25, 8))::bigint] as w from p
+), sums as (
+  select doc_id, version, count(*) as n, [sum(w[1]) % 4294967296, sum(w[2]) % 4294967296, sum(w[3]) % 4294967296, sum(w[4]) % 4294967296] as e from w group by all
+), lanes as (
+  -- lane 2 * i + j of word pair k is bit i of word 2 * k + j
+  select doc_id, version, 64 * k + 2 * i + j as lane, sum((w[2 * k + j + 1] >> i) & 1)::bigint as c
+  from w, (select unnest(range(2)) as k), (select unnest(range(32)) as i), (select unnest(range(2)) as j) group by all
+), f as (
+  select s.doc_id, s.version, any_value(s.n) as n,
+    lpad(printf('%x', any_value(s.n)::bigint), 8, '0')
+      || any_value(lpad(printf('%x', e[1]::bigint), 8, '0') || lpad(printf('%x', e[2]::bigint), 8, '0') || lpad(printf('%x', e[3]::bigint), 8, '0') || lpad(printf('%x', e[4]::bigint), 8, '0'))
+      || string_agg(lpad(printf('%x', c % 65536), 4, '0'), '' order by lane) as fp,
+    list(2 * c - s.n order by lane) as signs
+  from sums s join lanes l on s.doc_id = l.doc_id and s.version = l.version group by s.doc_id, s.version
+), a as (
+  select e.doc_id, e.n, e.edited, o.fp as fp, t.fp as efp, o.signs as s0, t.signs as s1, z.signs as s2
+  from e join f o on o.doc_id = e.doc_id and o.version = 0 join f t on t.doc_id = e.doc_id and t.version = 1
+    join f z on z.doc_id = e.next_id and z.version = 0
+)
+select doc_id, n::bigint as n_chars, sha256(edited) as edited_sha256, fp as fingerprint, efp as edited_fingerprint,
+  case when s0 = s1 then 1.0::double else greatest(0.0::double, least(1.0::double, 2.0::double * list_dot_product(s0::double[], s1::double[])
+    / (list_dot_product(s0::double[], s0::double[]) + list_dot_product(s1::double[], s1::double[])))) end as near_edited,
+  case when s0 = s2 then 1.0::double else greatest(0.0::double, least(1.0::double, 2.0::double * list_dot_product(s0::double[], s2::double[])
+    / (list_dot_product(s0::double[], s0::double[]) + list_dot_product(s2::double[], s2::double[])))) end as near_next
+from a
+"""
+
+
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.documents(spark, sf_dir), tokenizer(), with_ids=False)
 
@@ -80,6 +127,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL: list[tuple[Build, str | None]] = [
     (op1_mix_sources, OP1_SQL),
+    (op4_multiset_fingerprints, OP4_SQL),
     (op5_pack_sequences, None),
     (op9_language_id, None),
     (op10_ngram_jaccard_join, None),
