@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
+from tidewatch.llm.embeddings import cosine_links
 from tidewatch.llm.fingerprint import edited_next
 from tidewatch.llm.language import judged, train
 from tidewatch.llm.mixing import assigned
@@ -59,6 +60,31 @@ from u
 """
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_links(common.table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings
+), u as (
+  select vec_id, label, e from v
+  where label is not null and e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    and list_sum(list_transform(e, lambda x: x * x)) > 0
+), l as (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93
+), c(id, low) as (
+  select vec_id, vec_id from v
+  union
+  select l.a, c.low from c join l on l.b = c.id where c.low < l.a
+)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, m.low as component_id, v.vec_id = m.low as kept
+from v join (select id, min(low) as low from c group by id) m on m.id = v.vec_id
+  left join (select a, count(*) as n from l group by a) n on n.a = v.vec_id
+"""
+
+
 def op4_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_next(common.documents(spark, sf_dir))
 
@@ -127,6 +153,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL: list[tuple[Build, str | None]] = [
     (op1_mix_sources, OP1_SQL),
+    (op3_embedding_near_dedup, OP3_SQL),
     (op4_multiset_fingerprints, OP4_SQL),
     (op5_pack_sequences, None),
     (op9_language_id, None),
