@@ -14,6 +14,7 @@ from tidewatch.llm.language import judged, train
 from tidewatch.llm.mixing import assigned
 from tidewatch.llm.neardup import jaccard_join
 from tidewatch.llm.packing import pack
+from tidewatch.llm.warc import archived
 from tidewatch.session import pin_utc
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +142,23 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(common.table(spark, sf_dir, "pages"))
+
+
+OP8_SQL = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as bytes, sha1(coalesce(html, '')) as digest from pages
+), k as (
+  select digest, bytes, max(page_id) as keeper from p where bytes >= 1000 group by all having count(*) > 1
+)
+select p.page_id, p.bytes::bigint as payload_bytes, p.digest as payload_digest,
+  case when keeper is null or keeper = page_id then 'response' else 'revisit' end as record_type,
+  case when keeper <> page_id then keeper end as refers_to
+from p left join k on k.digest = p.digest and k.bytes = p.bytes
+"""
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, third = common.documents(spark, sf_dir), common.remainder(F.col("doc_id"), 3)
     model = train(docs, third != 1)
@@ -156,6 +174,7 @@ _ALL: list[tuple[Build, str | None]] = [
     (op3_embedding_near_dedup, OP3_SQL),
     (op4_multiset_fingerprints, OP4_SQL),
     (op5_pack_sequences, None),
+    (op8_warc_captures, OP8_SQL),
     (op9_language_id, None),
     (op10_ngram_jaccard_join, None),
 ]
