@@ -14,6 +14,7 @@ from tidewatch.llm.language import judged, train
 from tidewatch.llm.mixing import assigned
 from tidewatch.llm.neardup import jaccard_join
 from tidewatch.llm.packing import pack
+from tidewatch.llm.urls import filter_urls
 from tidewatch.llm.warc import archived
 from tidewatch.session import pin_utc
 
@@ -142,6 +143,13 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(common.table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(common.table(spark, sf_dir, "pages"))
 
@@ -174,6 +182,7 @@ _ALL: list[tuple[Build, str | None]] = [
     (op3_embedding_near_dedup, OP3_SQL),
     (op4_multiset_fingerprints, OP4_SQL),
     (op5_pack_sequences, None),
+    (op7_url_filter, None),
     (op8_warc_captures, OP8_SQL),
     (op9_language_id, None),
     (op10_ngram_jaccard_join, None),
