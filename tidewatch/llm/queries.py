@@ -11,6 +11,7 @@ from tidewatch.llm import common
 from tidewatch.llm.embeddings import cosine_links
 from tidewatch.llm.fingerprint import edited_next
 from tidewatch.llm.language import judged, train
+from tidewatch.llm.licenses import scan
 from tidewatch.llm.mixing import assigned
 from tidewatch.llm.neardup import jaccard_join
 from tidewatch.llm.packing import pack
@@ -143,6 +144,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(common.documents(spark, sf_dir)).drop("paragraph_text")
+
+
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
@@ -182,6 +187,7 @@ _ALL: list[tuple[Build, str | None]] = [
     (op3_embedding_near_dedup, OP3_SQL),
     (op4_multiset_fingerprints, OP4_SQL),
     (op5_pack_sequences, None),
+    (op6_license_scan, None),
     (op7_url_filter, None),
     (op8_warc_captures, OP8_SQL),
     (op9_language_id, None),
