@@ -5,7 +5,7 @@ logistic regression over the families and a class for everything else is trained
 corpus: at most about ``sample_docs`` documents drawn by a hash of their id, at most ``sample_chars`` characters of each, less
 the lines that resemble a template. A quarter of both calibrates the probabilities (a temperature) and the least probability at which
 no more than one in a thousand calibration lines of the corpus is taken for a licence. A predicted family is confirmed if the paragraph holds at least ``confirm`` of the
-word pairs of one of its templates; else the paragraph is reported as an unknown licence.
+word pairs of one of its templates, and reported as an unknown licence if it holds at least ``resemble``; else it is no licence.
 
 Every paragraph of every whole text is classified. Defined results: a null or empty text has no paragraphs that could match; an empty table
 gives no rows (the model then knows templates only); repeated rows are reported once each; a null id stays null. Extra columns are ignored.
@@ -82,7 +82,7 @@ def _paragraphs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def _features(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words of each line, of the pairs that begin at each word (0: none), and the first word of each line."""
-    words, _, first = word_hashes(_PLAIN[data], cuts)
+    words, _, _, first = word_hashes(_PLAIN[data], cuts)
     pairs = np.zeros(len(words), dtype=np.uint64)
     if len(words) > 1:
         pairs[:-1] = mixed(words[:-1] * np.uint64(3) + words[1:])
@@ -193,7 +193,7 @@ def train(docs: DataFrame, sample_docs: int = 600, sample_chars: int = 4000) ->
     return LicenceModel([line for r in rows for line in r["t"].split("\n") if line.strip()])
 
 
-def scan(docs: DataFrame, model: LicenceModel | None = None, confirm: float = 0.6) -> DataFrame:
+def scan(docs: DataFrame, model: LicenceModel | None = None, confirm: float = 0.6, resemble: float = 0.2) -> DataFrame:
     """One row per licence paragraph: doc_id, paragraph (from 0), start and length (bytes of UTF-8), family, confidence, likeness, paragraph_text."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs) if model is None else model)
     schema = "doc_id long, paragraph long, start long, length long, family string, confidence double, likeness double, paragraph_text string"
@@ -212,6 +212,8 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, confirm: float = 0.
                     for k in np.flatnonzero(kind):
                         text = own[cuts[k] : cuts[k + 1]].tobytes().decode("utf-8").rstrip("\n")
                         _, like = model.likeness(text, int(kind[k]))
+                        if like < resemble:
+                            continue
                         name = model.classes[kind[k]] if like >= confirm else UNKNOWN
                         nth = int(k - np.searchsorted(row, row[k]))
                         rows.append((ids[a + row[k]], nth, int(cuts[k] - starts[row[k]]), len(text.encode("utf-8")), name, float(chance[k]), like, text))

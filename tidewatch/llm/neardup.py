@@ -54,7 +54,7 @@ def _signing(shingle: int, trees: int, depth: int, seed: int = 11):
             for batch in batches:
                 data, offsets = text_bytes(batch.column(1))
                 for a, b in chunks(offsets):
-                    words, _, first = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    words, _, _, first = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                     shingles, start = shingle_hashes(words, first, shingle)
                     x, n = (shingles >> np.uint64(32)).astype(np.uint32), b - a
                     signature = np.zeros((n, trees * depth), dtype=np.uint32)
@@ -175,7 +175,7 @@ def _verified(shingle: int, threshold: float):
                     data, offsets = text_bytes(t.column("text").slice(a, b - a))
                     sets = []
                     for p, q in chunks(offsets):
-                        words, _, first = word_hashes(data[offsets[p] : offsets[q]], offsets[p : q + 1] - offsets[p])
+                        words, _, _, first = word_hashes(data[offsets[p] : offsets[q]], offsets[p : q + 1] - offsets[p])
                         s, start = shingle_hashes(words, first, shingle)
                         sets += [np.unique(s[start[k] : start[k + 1]]) for k in range(q - p)]
                     if len(sets) < 2:

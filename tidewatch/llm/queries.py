@@ -15,6 +15,7 @@ from tidewatch.llm.licenses import scan
 from tidewatch.llm.mixing import assigned
 from tidewatch.llm.neardup import jaccard_join
 from tidewatch.llm.packing import pack
+from tidewatch.llm.scoring import score_texts, tenth_held_out
 from tidewatch.llm.urls import filter_urls
 from tidewatch.llm.warc import archived
 from tidewatch.session import pin_utc
@@ -63,6 +64,10 @@ from u
 """
 
 
+def op2_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(common.documents(spark, sf_dir), tenth_held_out())
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cosine_links(common.table(spark, sf_dir, "embeddings"))
 
@@ -184,6 +189,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL: list[tuple[Build, str | None]] = [
     (op1_mix_sources, OP1_SQL),
+    (op2_maxent_scores, None),
     (op3_embedding_near_dedup, OP3_SQL),
     (op4_multiset_fingerprints, OP4_SQL),
     (op5_pack_sequences, None),

@@ -66,11 +66,12 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         a = b
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every word, the place after its last byte, and per row the offset of its first word."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word, the places of its first byte and after its last, and per row the offset of its first word."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(len(offsets), dtype=np.int64)
+        nothing = np.zeros(0, dtype=np.int64)
+        return nothing.astype(np.uint64), nothing, nothing, np.zeros(len(offsets), dtype=np.int64)
     ink = np.zeros(n + 2, dtype=bool)
     ink[1:-1] = _INK[data]
     first = ink[1:-1] & ~ink[:-2]
@@ -83,7 +84,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_OF_BYTE[data] * up[:n], out=total[1:])
     h = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    return h, end, np.searchsorted(start, offsets)
+    return h, start, end, np.searchsorted(start, offsets)
 
 
 def shingle_hashes(words: np.ndarray, row_first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
