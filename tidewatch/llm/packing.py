@@ -25,36 +25,86 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.words import chunks, text_bytes
+
 CAPACITY = 4096
+_AT_ONCE = 2 << 20
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class WordIds(dict):
-    """Token ids of words as bytes (little-endian, 32 bits each), for tokenizers that never join words over
-    white space. The less recent half is forgotten when too many words are held."""
+class WordIds:
+    """Token ids of texts as bytes (little-endian, 32 bits each), for tokenizers that never join words over
+    white space. Ids of words are held; the less recent half is forgotten when there are too many."""
 
     def __init__(self, path: str, most: int = 700_000) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            if word[-1:] in (b".", b",") and word[-2:-1].isalpha():  # a mark after a letter is a token of its own
-                ids = self[word[:-1]] + self[word[-1:]]
-            elif word.isascii() and (low := word.lower()) != word and low.isalpha():
-                ids = self[low]
-            else:
-                ids = np.array(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.held: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:  # then the ids of many words can be told apart after one call
+            self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word; words of letters only go through the tokenizer together."""
+        texts = [w.decode("utf-8") for w in words]
+        plain = [k for k, t in enumerate(texts) if t.isalpha()] if self.ends is not None else []
+        out: list[bytes | None] = [None] * len(words)
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in plain])], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(plain) and cuts[-1] == len(ids):  # else some word has several ends: each goes alone
+                flat, last = ids.tobytes(), 0
+                for k, cut in zip(plain, (cuts * 4).tolist(), strict=True):
+                    out[k] = flat[last:cut]
+                    last = cut
+        for k, t in enumerate(texts):
+            if out[k] is None:
+                out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        held, old = self.held, self.old
+        words -= held.keys()
+        bases: dict[bytes, bytes] = {}
+        wanted: set[bytes] = set()
+        for w in words:
+            if w in old:
+                held[w] = old[w]
+                continue
+            base = w.rstrip(_MARKS)  # marks after letters are a token run of their own
+            if base.isalpha():
+                base = base.lower()
+            elif not base or not base.decode("utf-8").isalpha():
+                base = w
+            bases[w] = base
+            wanted.add(base)
+            if len(base) < len(w):
+                wanted.add(w[len(base) :])
+        fresh = []
+        for w in wanted:
+            if w not in held:
+                if w in old:
+                    held[w] = old[w]
+                else:
+                    fresh.append(w)
+        held.update(zip(fresh, self._encoded(fresh), strict=True))
+        for w, base in bases.items():
+            if len(base) < len(w):
+                held[w] = held[base] + held[w[len(base) :]]
+            elif base != w:
+                held[w] = held[base]
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.held) >= self.most:
+            self.old, self.held = self.held, {}
+        split = [t.split() for t in texts]
+        self._learn(set().union(*split))
+        get = self.held.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 _HELD: dict[str, WordIds] = {}  # for the life of a Python worker, so later tasks find the words of earlier ones
@@ -152,13 +202,16 @@ def pack(
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held_text = text.as_buffer().to_pybytes() if text.is_valid else b""
-                ids.append(words.of(held_text) + end)
-                keys.append(key)
-                held += len(ids[-1]) // 4
-                if held >= block_tokens:
-                    yield flush()
+            data, offsets = text_bytes(batch.column(1))
+            names = batch.column(0).to_pylist()
+            for a, b in chunks(offsets, _AT_ONCE):
+                texts = [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(a, b)]
+                for key, own in zip(names[a:b], words.of(texts), strict=True):
+                    ids.append(own + end)
+                    keys.append(key)
+                    held += len(ids[-1]) // 4
+                    if held >= block_tokens:
+                        yield flush()
         if ids:
             yield flush()
 
