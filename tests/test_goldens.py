@@ -157,3 +157,59 @@ def test_netflow_identities(spark):
     df = spark.createDataFrame([row], schema)
     got = df.select(*[c.alias(k) for k, c in identities(df).items()]).first()
     assert tuple(got) == ("9.9.9.9", "2.2.2.2", 1000, 443, "6")
+
+
+def test_logs_are_read_by_their_own_headers(spark, tmp_path):
+    from tidewatch.sources.logs import read_conn_log, stream_log
+
+    folder = tmp_path / "conn"
+    folder.mkdir()
+    (folder / "a.log").write_text("#separator x\n#fields\tts\tuid\tid.orig_h\tproto\n1704067200.5\tC1\t10.0.0.1\ttcp\n#close\n")
+    (folder / "b.log").write_text("#fields\tuid\tsite\tts\tproto\tid.orig_h\nC2\tb\t1704067201.25\tudp\t-\n")
+    expected = {("C1", 1704067200500000, "10.0.0.1", "tcp"), ("C2", 1704067201250000, None, "udp")}
+    columns = ["uid", "unix_micros(ts) as ts_us", "id_orig_h", "proto"]
+    assert {tuple(r) for r in read_conn_log(spark, str(folder)).selectExpr(*columns).collect()} == expected
+    stream = stream_log(spark, str(folder), "conn").selectExpr(*columns)
+    query = stream.writeStream.format("memory").queryName("by_header").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {tuple(r) for r in spark.table("by_header").collect()} == expected
+
+
+def test_a_log_without_header_raises(spark, tmp_path):
+    import pytest
+
+    from tidewatch.sources.logs import read_conn_log
+
+    (tmp_path / "a.log").write_text("#fields\tts\tuid\n1\tC1\n")
+    (tmp_path / "b.log").write_text("1\tC2\n")
+    with pytest.raises(ValueError, match="no #fields line"):
+        read_conn_log(spark, str(tmp_path))
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    import pytest
+
+    from tidewatch.sources.storage import shared_dir
+
+    class Away:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getConf = staticmethod(lambda: {})
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Away())
+
+
+def test_late_alert_gives_no_overlapping_block(spark):
+    from tidewatch.operators.ledger import block_ledger
+
+    at = lambda s: f"timestamp_seconds({s})"
+    first = block_ledger(spark.sql(f"select '1.1.1.1' as ip, {at(1000)} as ts, 'C1' as uid, 80 as score"))
+    late = spark.sql(f"select * from values ('1.1.1.1', {at(500)}, 'C0', 90), ('1.1.1.1', {at(2900)}, 'C2', 90) as t(ip, ts, uid, score)")
+    second = block_ledger(late, open_blocks=first)
+    rows = {(r.start_us, r.end_us, r.carried) for r in second.collect()}
+    assert rows == {(1_000_000_000, 2_800_000_000, True), (2_900_000_000, 4_700_000_000, False)}

@@ -1,7 +1,7 @@
 """Shared storage: reliable checkpoints and written intermediate tables.
 
-Both live under ``spark.checkpoint.dir``, the folder every executor can reach. Only when the
-session names none (tests, local runs) is a temporary folder used instead.
+Both live under ``spark.checkpoint.dir``, the folder every executor can reach. Only in a local session
+(tests), where driver and executors are one process, may a temporary folder stand in for it.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
     fallback = tempfile.mkdtemp(prefix="tidewatch-")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
@@ -50,6 +52,14 @@ def spread(stored: DataFrame) -> DataFrame:
     return stored.repartition(lanes) if stored.rdd.getNumPartitions() < lanes else stored
 
 
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables of ours that nothing reads any more, wherever the file system is."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written table; never reused, never cleared by us."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
