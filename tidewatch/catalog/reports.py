@@ -315,7 +315,7 @@ def k9(spark, sf) -> DataFrame:
 @query("k9_benign_sample", f"select uid from {{train_labels}} where label = 0 and {_UNIT} < 0.01")
 def k9_benign(spark, sf) -> DataFrame:
     benign = view(spark, sf, "train_labels").filter("label = 0")
-    return sampling.sample_fraction(benign, DEFAULTS.sequence_fraction, DEFAULTS.seed).select("uid")
+    return sampling.sample_fraction(benign, 0.01, DEFAULTS.seed).select("uid")
 
 
 @query("k10_train_test_split", f"select uid, label, case when {_UNIT} < 0.2 then 'test' else 'train' end as part from {{train_labels}}")
@@ -331,7 +331,7 @@ def k10(spark, sf) -> DataFrame:
  from {ewma_rows} where rn >= 9) t group by part""",
 )
 def k10_sequences(spark, sf) -> DataFrame:
-    windows = sliding_windows(ordered_blocks(inputs.features(spark, sf)), 10, ["IN_BYTES"])
+    windows = sliding_windows(ordered_blocks(inputs.features(spark, sf)), 10)
     split = partial(sampling.split_by_block, position=F.col("_position"), block=1000, fraction=0.1, seed=42)
     train, held = split(windows)
     both = sampling.concatenate([df.select(F.lit(p).alias("part")) for df, p in ((train, "train"), (held, "validation"))])

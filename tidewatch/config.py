@@ -1,4 +1,7 @@
-"""Tunable settings, passed to operators explicitly (no module state)."""
+"""Tunable settings, passed to operators explicitly (no module state).
+
+Fixed values: the defaults are those that results must agree with.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ class Settings:
     # correlation
     uid_ttl_seconds: int = 120
     coalesce_seconds: int = 2
+    early_lateness_seconds: int = 2
     live_min_packets: int = 3
     flow_window_seconds: int = 30
 
@@ -60,9 +64,8 @@ class Settings:
     ewma_z: float = 3.5
     ewma_warmup: int = 30
 
-    # training
-    train_fraction: float = 0.05
-    sequence_fraction: float = 0.01
+    # training: the anomaly detectors see all benign rows; the classifier a hash sample of about so many labelled rows
+    classifier_rows: int = 5_000_000
     test_fraction: float = 0.2
     sequence_validation_fraction: float = 0.1
 

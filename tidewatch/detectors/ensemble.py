@@ -22,10 +22,14 @@ def _load(loader, spark: SparkSession, path: str):
     """A saved model, or None when there is none at the path."""
     try:
         return loader(spark, path)
-    except (AnalysisException, FileNotFoundError):
+    except FileNotFoundError:
         return None
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     except Exception as exc:  # Spark ML reports a missing path through the JVM
-        if "does not exist" in str(exc):
+        if "Input path does not exist" in str(exc):
             return None
         raise
 
@@ -93,8 +97,9 @@ def fit_detectors(
     settings: Settings = DEFAULTS,
     order: tuple[str, ...] | None = None,
     with_sequence: bool = True,
+    labelled: DataFrame | None = None,
 ) -> DetectorSet:
-    """Anomaly detectors on the benign rows, the classifier on all. Both labels sit on the row, so
+    """Anomaly detectors on the benign rows, the classifier on all (or on ``labelled``, a sample of them). Both labels sit on the row, so
     they cannot fall out of step. ``order`` names the event order; without one (a training CSV has
     no time) the stored order of the rows counts."""
     benign = benign_only(training)
@@ -102,7 +107,7 @@ def fit_detectors(
     ordered = ordered_blocks(benign.select(*keys, *FEATURE_NAMES), keys)
     return DetectorSet(
         IsolationForest(settings).fit(ordered.rows),
-        AttackForest(settings).fit(training),
+        AttackForest(settings).fit(training if labelled is None else labelled),
         SequenceDetector(settings).fit(benign, keys, ordered) if with_sequence else None,
         EwmaBaseline(settings).fit(ordered),
         settings,

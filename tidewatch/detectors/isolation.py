@@ -130,31 +130,27 @@ class IsolationForest:
     features: tuple[str, ...] = tuple(FEATURE_NAMES)
 
     def fit(self, benign: DataFrame) -> IsolationForestModel:
-        """Grow on benign rows. Each tree sees ``iso_sample`` random rows, drawn from a stored pool
-        whose size depends on the settings only; the boundary is the contamination percentile of the
+        """Grow on benign rows. Each tree draws ``iso_sample`` of all rows by a hash of their content and the tree's
+        number, the same from any partitioning; the boundary is the contamination percentile of the
         scores of all training rows."""
         s = self.settings
         x = spread(materialise(benign.select(*[F.col(c).cast("double").alias(c) for c in self.features])))
         total = x.count()
         if total == 0:
             raise ValueError("no benign rows to fit on")
-        wanted = 4 * s.iso_trees * s.iso_sample
-        drawn_rows = x if total <= wanted else x.sample(wanted / total, s.seed)
-        pool = materialise(drawn_rows.withColumn("_id", F.monotonically_increasing_id()))
-        size = pool.count()
-        sample = min(s.iso_sample, size)
-        # lots are drawn on ids alone; only the winners are joined with their 39 columns
-        chance = min(1.0, 2.0 * sample / size + 16.0 / size)
-        lot = F.pmod(F.xxhash64("_id", "tree", F.lit(s.seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-        winners = (
-            pool.select("_id", F.explode(F.sequence(F.lit(0), F.lit(s.iso_trees - 1))).alias("tree"))
-            .withColumn("_lot", lot)
-            .filter(F.col("_lot") <= chance)
-            .withColumn("_n", F.row_number().over(Window.partitionBy("tree").orderBy("_lot", "_id")))
+        sample = min(s.iso_sample, total)
+        # every row meets every tree's draw; those far from winning go before anything moves
+        chance = min(1.0, 2.0 * sample / total + 16.0 / total)
+        content = F.xxhash64(*[F.col(c) for c in self.features])
+        lot = lambda tree: F.pmod(F.xxhash64(F.col("_key"), tree, F.lit(s.seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+        trees = F.filter(F.sequence(F.lit(0), F.lit(s.iso_trees - 1)), lambda t: lot(t) <= F.lit(chance))
+        drawn = (
+            x.withColumn("_key", content)
+            .withColumn("tree", F.explode(trees))
+            .withColumn("_n", F.row_number().over(Window.partitionBy("tree").orderBy(lot(F.col("tree")), "_key")))
             .filter(F.col("_n") <= sample)
-            .select("_id", "tree")
+            .drop("_n", "_key")
         )
-        drawn = winners.join(pool, "_id")
         names, seed, limit = list(self.features), s.seed, max(1, math.ceil(math.log2(max(sample, 2))))
 
         def build(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -166,7 +162,7 @@ class IsolationForest:
 
         # growing costs time, not bytes: without a number, small partitions would be merged into one task
         lanes = min(s.iso_trees, benign.sparkSession.sparkContext.defaultParallelism)
-        placed = drawn.drop("_id").repartition(lanes, "tree")
+        placed = drawn.repartition(lanes, "tree")
         nodes = placed.groupBy("tree").applyInPandas(build, _NODE_SCHEMA).toPandas()
         model = IsolationForestModel(nodes, sample, 0.0, names)
         scores = materialise(x.select((-model.isolation()).alias("v")))

@@ -23,9 +23,9 @@ from tidewatch.config import DEFAULTS, Settings
 from tidewatch.detectors.ewma import matrix
 from tidewatch.functions.fixed_values import FEATURE_NAMES
 from tidewatch.operators.ordered import OrderedBlocks, ordered_blocks
-from tidewatch.operators.sampling import split_by_block, unit_hash
+from tidewatch.operators.sampling import split_by_block
 from tidewatch.operators.statistics import collect_moments, exact_percentile
-from tidewatch.sources.storage import materialise, spread
+from tidewatch.sources.storage import materialise
 
 Rebuild = Callable[[np.ndarray], np.ndarray]
 
@@ -103,12 +103,11 @@ class SequenceDetector:
     features: tuple[str, ...] = tuple(FEATURE_NAMES)
     components: int = 16
     block: int = 1000
-    least_blocks: int = 20
 
     def fit(self, benign: DataFrame, order: tuple[str, ...] = ("ts", "uid"), blocks: OrderedBlocks | None = None) -> SequenceModel:
-        """Fit on benign rows in event order. A share of the blocks of consecutive rows is drawn, and
-        split by block into training and held-out windows, so that no window shares rows with one on
-        the other side. The threshold is the 95th percentile of the held-out error of the model kept."""
+        """Fit on all benign rows in event order, split by blocks of consecutive rows into training and
+        held-out windows, so that no window shares rows with one on the other side. Windows are ten times the
+        rows and are not stored: the covariance and the errors are each one pass over them. The threshold is the 95th percentile of the held-out error of the model kept."""
         s, names = self.settings, list(self.features)
         ordered = blocks or ordered_blocks(benign.select(*order, *names), order)
         stats = collect_moments(ordered.rows, names)
@@ -118,15 +117,13 @@ class SequenceDetector:
         centred = F.zip_with(
             F.zip_with(flat, F.array(*repeated[0]), lambda x, m: x - m), F.array(*repeated[1]), lambda d, sd: d / sd
         )
-        # whole blocks of positions are drawn before any window is built, and windows stay inside them
-        share = max(s.sequence_fraction, self.least_blocks * self.block / max(ordered.total, 1))
+        # windows stay inside blocks of positions
         block = F.floor(F.col("_position") / self.block)
-        chosen = ordered.with_position().filter(unit_hash(block, s.seed + 1) < min(1.0, share))
         inside = Window.partitionBy(block).orderBy("_position").rowsBetween(1 - s.sequence_length, 0)
-        windows = chosen.select(
+        windows = ordered.with_position().select(
             "_position", F.collect_list(F.array(*[F.col(c).cast("double") for c in names])).over(inside).alias("window")
         ).filter(F.size("window") == s.sequence_length)
-        data = spread(materialise(windows.select("_position", centred.alias("x"))))
+        data = windows.select("_position", centred.alias("x"))
         train, held_out = split_by_block(data, F.col("_position"), self.block, s.sequence_validation_fraction, s.seed)
         k = min(self.components, len(names) * s.sequence_length)
         vectors = train.select(array_to_vector("x").alias("v"))

@@ -46,8 +46,10 @@ def flow_rate(flows: DataFrame, seconds: int = 1) -> DataFrame:
 
 def rate_history(flows: DataFrame, seconds: int = 1, samples: int = 60) -> DataFrame:
     """The newest ``samples`` windows, empty ones as 0. The axis is built from the newest event."""
-    rates = flow_rate(flows, seconds)
     newest = flows.agg((F.floor(F.max("timestamp") / seconds) * seconds).alias("newest"))
+    shown = newest.select((F.col("newest") - F.lit((samples - 1) * seconds)).alias("since"))
+    # only what the windows show is grouped; the newest instant is one row
+    rates = flow_rate(flows.join(F.broadcast(shown), F.col("timestamp") >= F.col("since")).drop("since"), seconds)
     axis = newest.select(
         F.explode(
             F.sequence(F.col("newest") - F.lit((samples - 1) * seconds), F.col("newest"), F.lit(seconds).cast("bigint"))

@@ -49,6 +49,9 @@ def _starts(events: DataFrame, actions: DataFrame | None, open_blocks: DataFrame
         carried = open_blocks.select(
             "ip", F.col("start_us").alias("t"), F.lit(_CARRIED).alias("kind"), F.col("source").alias("uid"), "score"
         )
+        # an alert or manual block from before a carried block's start is late: that block stands, and it is in the ledger
+        known = carried.groupBy("ip").agg(F.max("t").alias("_since"))
+        rows = rows.join(known, "ip", "left").filter(F.col("_since").isNull() | (F.col("t") >= F.col("_since"))).drop("_since")
         rows = rows.unionByName(carried)
     first = F.min(F.struct("kind", "uid", "score")).alias("p")
     return (
@@ -160,7 +163,8 @@ def block_ledger(
 ) -> DataFrame:
     """Ledger of all blocks. ``events``: (ip, ts, uid, score) of blocking alerts; ``actions``:
     (ip, ts, action) with action block or unblock; ``open_blocks``: ledger rows of an earlier run
-    that were still open, which come back marked ``carried``.
+    that were still open, which come back marked ``carried``. Whatever would open a block of an address before the start
+    of its carried one comes too late and is ignored, so an address has one block at a time.
 
     Addresses of more than ``hot_rows`` instants are thinned out first, by minutes, seconds and then
     milliseconds, so that what one task gets of an address is bounded by the time range.

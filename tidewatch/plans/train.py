@@ -1,4 +1,4 @@
-"""Training job: sample, clean, split, fit, keep, evaluate."""
+"""Training job: clean, split, fit, keep, evaluate."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.detectors.ensemble import DetectorSet, evaluate_classifier, fit_detectors
+from tidewatch.operators.sampling import unit_hash
 from tidewatch.operators.statistics import feature_matrix
 from tidewatch.sources.storage import stored_table
 
@@ -23,12 +24,12 @@ class Training:
         return evaluate_classifier(self.detectors.forest, self.test)
 
 
-def prepare(rows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Row sample of the raw training data, cleaned. A training CSV has no key, so rows are drawn
-    independently; the sample is stored, which fixes it for every later pass."""
-    f = settings.train_fraction
-    drawn = rows if f >= 1.0 else rows.sample(f, settings.seed)
-    return stored_table(feature_matrix(drawn, keep=["Attack", "Label"]), "training")
+def prepare(rows: DataFrame, settings: Settings = DEFAULTS, key: tuple[str, ...] = ()) -> DataFrame:
+    """All rows, cleaned and stored, with ``_u``: a number in [0, 1) by hash of the key, so that splits agree on every
+    run and partitioning. A training CSV has no key: the row's whole content takes its place, and copies go together."""
+    by = [F.col(c) for c in key] if key else [F.xxhash64(*[F.col(c) for c in sorted(rows.columns)])]
+    drawn = rows.withColumn("_u", unit_hash(F.concat_ws("|", *by), settings.seed))
+    return stored_table(feature_matrix(drawn.drop("uid", "ts"), keep=["Attack", "Label"]), "training")
 
 
 def train(
@@ -37,12 +38,15 @@ def train(
     save_to: str | None = None,
     order: tuple[str, ...] | None = None,
     with_sequence: bool = True,
+    key: tuple[str, ...] = (),
 ) -> Training:
-    data = prepare(rows, settings).withColumn("_u", F.rand(settings.seed))
-    train_rows = data.filter(F.col("_u") >= settings.test_fraction).drop("_u")
-    test_rows = data.filter(F.col("_u") < settings.test_fraction).drop("_u")
-    detectors = fit_detectors(train_rows, settings, order, with_sequence)
+    """Anomaly detectors see all benign training rows, the classifier about ``classifier_rows`` of the labelled ones."""
+    data = prepare(rows, settings, key)
+    train_rows, test_rows = data.filter(F.col("_u") >= settings.test_fraction), data.filter(F.col("_u") < settings.test_fraction).drop("_u")
+    kept = settings.test_fraction + (1 - settings.test_fraction) * min(1.0, settings.classifier_rows / max(train_rows.count(), 1))
+    labelled = train_rows.filter(F.col("_u") < kept).drop("_u")
+    detectors = fit_detectors(train_rows.drop("_u"), settings, order, with_sequence, labelled)
     if save_to:
         spark: SparkSession = rows.sparkSession
         detectors.save(spark, save_to)
-    return Training(detectors, train_rows, test_rows)
+    return Training(detectors, train_rows.drop("_u"), test_rows)

@@ -20,9 +20,12 @@ from tidewatch.config import DEFAULTS, Settings
 from tidewatch.operators.correlate import flatten_sources, latest_per_log, tagged_union
 
 
-def _watermarked(logs: dict[str, DataFrame], settings: Settings) -> DataFrame:
+_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}  # the default would cut to milliseconds
+
+
+def _watermarked(logs: dict[str, DataFrame], delay_seconds: int) -> DataFrame:
     rows = tagged_union(logs).filter(F.col("uid").isNotNull() & (F.col("uid") != ""))
-    return rows.withWatermark("ts", f"{settings.uid_ttl_seconds} seconds")
+    return rows.withWatermark("ts", f"{delay_seconds} seconds")
 
 
 def correlate_stream(logs: dict[str, DataFrame], settings: Settings = DEFAULTS) -> DataFrame:
@@ -33,7 +36,7 @@ def correlate_stream(logs: dict[str, DataFrame], settings: Settings = DEFAULTS)
     """
     spark = next(iter(logs.values())).sparkSession
     spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
-    return correlate_tagged(_watermarked(logs, settings), logs, settings)
+    return correlate_tagged(_watermarked(logs, settings.uid_ttl_seconds), logs, settings)
 
 
 def correlate_tagged(rows: DataFrame, logs: dict[str, DataFrame], settings: Settings = DEFAULTS) -> DataFrame:
@@ -52,11 +55,13 @@ def correlate_early(logs: dict[str, DataFrame], settings: Settings = DEFAULTS) -
 
     Emits when conn and ssl are both present, else once the watermark is past the coalescing delay
     and a conn record is there. Without one the entry is dropped a TTL after its last record. A side
+    Event time runs ``early_lateness_seconds`` behind the newest record, so a connection without TLS
+    waits that long and the coalescing delay, not the TTL. A side
     record that comes after the flow was emitted opens an entry of its own and is dropped in time.
     """
     names = list(logs)
-    packed = _watermarked(logs, settings).select(
-        "uid", "ts", *[F.when(F.col(n).isNotNull(), F.to_json(n)).alias(n) for n in names]
+    packed = _watermarked(logs, settings.early_lateness_seconds).select(
+        "uid", "ts", *[F.when(F.col(n).isNotNull(), F.to_json(n, _EXACT)).alias(n) for n in names]
     )
     delay_ms, ttl_ms = settings.coalesce_seconds * 1000, settings.uid_ttl_seconds * 1000
     out_schema = T.StructType([T.StructField("uid", T.StringType()), *[T.StructField(n, T.StringType()) for n in names]])
@@ -100,5 +105,5 @@ def correlate_early(logs: dict[str, DataFrame], settings: Settings = DEFAULTS) -
         step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
     )
     bodies = {n: T.StructType([f for f in df.schema.fields if f.name != "uid"]) for n, df in logs.items()}
-    parsed = merged.select("uid", *[F.from_json(n, bodies[n]).alias(n) for n in names])
+    parsed = merged.select("uid", *[F.from_json(n, bodies[n], _EXACT).alias(n) for n in names])
     return flatten_sources(parsed, logs)

@@ -45,8 +45,10 @@ class LiveScoring:
         """All rows of a state table from earlier batches."""
         try:
             rows = spark.read.option("basePath", f"{self.out}/{table}").parquet(f"{self.out}/{table}")
-        except AnalysisException:
-            return None
+        except AnalysisException as exc:
+            if exc.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
         return rows.filter(F.col("batch") < batch)
 
     def _last(self, spark, table: str, batch: int) -> DataFrame | None:
