@@ -57,7 +57,7 @@ def _grams(texts: DataFrame, order: int) -> DataFrame:
     """The n-grams of 1 to order + 1 characters that end at each place."""
     padded = F.concat(F.lit(START * order), F.col("reads"))
     places = texts.withColumn("place", F.explode(F.sequence(F.lit(1), F.length("reads"))))
-    grams = [F.substring(padded, F.lit(order + 1 - m) + F.col("place"), F.lit(m + 1)).alias(f"g{m}") for m in range(order + 1)]
+    grams = [F.substring(padded, F.lit(order - m) + F.col("place"), F.lit(m + 1)).alias(f"g{m}") for m in range(order + 1)]
     return places.select("*", *grams)
 
 
@@ -101,11 +101,10 @@ def scored(texts: DataFrame, ratios: DataFrame, contexts: DataFrame, order: int
     rows = _grams(texts.select("reads").distinct(), order)
     for m in range(order + 1):
         rows = rows.join(F.broadcast(ratios.select(F.col("gram").alias(f"gram{m}"), F.col("ratio").alias(f"r{m}"))), F.col(f"g{m}") == F.col(f"gram{m}"), "left")
-        if m:
-            own = contexts.select(F.col("context").alias(f"context{m}"), F.col("ratio").alias(f"b{m}"))
-            rows = rows.join(F.broadcast(own), F.expr(f"substring(g{m}, 1, {m})") == F.col(f"context{m}"), "left")
-    value = F.coalesce("r0", F.lit(0.0))
-    for m in range(1, order + 1):
+        own = contexts.select(F.col("context").alias(f"context{m}"), F.col("ratio").alias(f"b{m}"))
+        rows = rows.join(F.broadcast(own), F.expr(f"substring(g{m}, 1, {m})") == F.col(f"context{m}"), "left")
+    value = F.lit(0.0)
+    for m in range(order + 1):
         value = F.when(F.col(f"r{m}").isNotNull(), F.col(f"r{m}")).otherwise(F.coalesce(F.col(f"b{m}"), F.lit(0.0)) + value)
     return rows.select("reads", value.alias("value")).groupBy("reads").agg(F.avg("value").alias("score"))
 
