@@ -11,7 +11,7 @@ from tidewatch.catalog.relational import _J2_SQL, j2_columns
 from tidewatch.catalog.reports import _CHAIN, _DAY_US, _LAST_STATE, baseline_rows
 from tidewatch.catalog.views import VIEWS, view
 from tidewatch.config import DEFAULTS, Settings
-from tidewatch.detectors.ensemble import DetectorSet
+from tidewatch.detectors.ensemble import DetectorSet, fit_detectors
 from tidewatch.detectors.ewma import EwmaBaseline, EwmaState
 from tidewatch.detectors.forest import AttackForest, attack_score, best_class, best_other_class
 from tidewatch.detectors.isolation import IsolationForest, IsolationForestModel
@@ -30,7 +30,7 @@ from tidewatch.sources.sinks import write_by_day, write_json
 from tidewatch.sources.storage import materialise, scratch_path, spread
 from tidewatch.sources.training import read_training_csv
 from tidewatch.streaming.correlate import correlate_early, correlate_stream
-from tidewatch.streaming.live import LiveScoring
+from tidewatch.streaming.live import LiveScoring, live_flows
 from tidewatch.streaming.reports import dedup_stream, flow_rate_stream, new_fingerprints, source_activity_stream
 from tidewatch.streaming.run import drain_to_table
 
@@ -352,6 +352,38 @@ def live_alerts(spark, sf) -> DataFrame:
     return spark.read.parquet(f"{run_live(spark, sf)}/alerts").select("uid", "severity")
 
 
+_CLOSING = 900_000_000_000_008  # id of a far-future event whose connection has packets enough not to be noise
+
+
+@query(
+    "live_end_to_end",
+    "select uid, true as in_range, true as alert_rule from {conn} where coalesce(orig_pkts,0) + coalesce(resp_pkts,0) >= 3",
+)
+def live_all(spark, sf) -> DataFrame:
+    """Four log streams in several batches, noise filter, correlation, four fitted detectors, alerts and traffic: complete,
+    every risk in range, and an alert for exactly the flows at or above the threshold."""
+    base, events = scratch_path(spark, "live-all"), view(spark, sf, "events")
+    bounds = events.agg(F.expr("min(unix_micros(cast(ts as timestamp))) as low"), F.expr("max(unix_micros(cast(ts as timestamp))) as high")).first()
+    us, third = F.unix_micros(F.col("ts").cast("timestamp")), (bounds["high"] - bounds["low"]) // 3 + 1
+    last = events.agg(F.max("ts").alias("ts")).select(
+        F.lit(_CLOSING).cast("bigint").alias("event_id"), (F.col("ts") + F.expr("interval 10 days")).cast("timestamp_ntz").alias("ts"),
+        F.lit(0).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"), F.lit(0.0).alias("value"), F.lit('{"k": 1}').alias("props"),
+    )
+    for part in range(3):  # files arrive in the order of time
+        rows = events.filter(F.floor((us - F.lit(bounds["low"])) / third) == part)
+        (rows.unionByName(last) if part == 2 else rows).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    logs = {n: _stream_view(spark, stream, n) for n in ("conn", "ssl", "dns", "weird")}
+    detectors = fit_detectors(inputs.netflow(spark, sf), order=("ts", "uid"))
+    job = LiveScoring(f"{base}/out", threat_table(spark), detectors)
+    job.start(live_flows(logs), f"{base}/progress", available_now=True).awaitTermination()
+    alerts = spark.read.parquet(f"{base}/out/alerts").select("uid", F.lit(True).alias("alerted")).distinct()
+    flows = spark.read.parquet(f"{base}/out/traffic").filter(F.col("uid") != f"C{_CLOSING}").join(alerts, "uid", "left")
+    return flows.select(
+        "uid", F.col("risk_score").between(0, 100).alias("in_range"), ((F.col("risk_score") >= DEFAULTS.alert_threshold) == F.coalesce("alerted", F.lit(False))).alias("alert_rule")
+    )
+
+
 @query(
     "w7_ledger_resumed",
     _CHAIN.replace("@D", str(_DAY_US)),

@@ -17,16 +17,22 @@ from tidewatch.config import DEFAULTS, Settings
 from tidewatch.detectors.ensemble import DetectorSet
 from tidewatch.detectors.ewma import EwmaState
 from tidewatch.functions.flow_features import with_features
-from tidewatch.operators.filters import alerts_only
+from tidewatch.operators.filters import alerts_only, drop_noise
 from tidewatch.operators.ledger import block_ledger, blocking_events
 from tidewatch.operators.ordered import ordered_blocks
 from tidewatch.operators.risk import alert_records, flow_records
 from tidewatch.plans.replay import score_flows
 from tidewatch.sources.storage import materialise, stored_table
+from tidewatch.streaming.correlate import correlate_stream
 
 _BLOCK = "ip string, start_us bigint, expiry_us bigint, end_us bigint, score int, source string, ended_by string"
 
 
+def live_flows(logs: dict[str, DataFrame], settings: Settings = DEFAULTS) -> DataFrame:
+    """Correlated flows of the live logs (conn and side logs); connections of too few packets are noise and go first."""
+    return correlate_stream(logs | {"conn": drop_noise(logs["conn"], settings.live_min_packets)}, settings)
+
+
 @dataclass
 class LiveScoring:
     out: str
