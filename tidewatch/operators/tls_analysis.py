@@ -49,27 +49,39 @@ def _sighting(df: DataFrame) -> Column:
     )
 
 
+def _instant() -> Column:
+    """Event time as a number; a missing time comes before all others."""
+    return F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 63)))
+
+
 def first_sightings(flows: DataFrame) -> DataFrame:
-    """One row per fingerprint: its earliest sighting. Map-side combined, so a fingerprint shared
-    by most flows (the no-TLS one) costs one row per task in the shuffle."""
-    return flows.groupBy("ja3").agg(F.min(_sighting(flows)).alias("_first"))
+    """One row per fingerprint: its earliest sighting.
+
+    The earliest instant is a map-side combined minimum of a number, so a fingerprint shared
+    by most flows (the no-TLS one) costs one row per task in the shuffle; only the rows of that instant, found by
+    fingerprint and instant together, are compared further.
+    """
+    rows = flows.select("ja3", _instant().alias("_t"), _sighting(flows).alias("_s"))
+    earliest = rows.groupBy("ja3").agg(F.min("_t").alias("_t"))
+    return rows.join(earliest, ["ja3", "_t"]).groupBy("ja3").agg(F.min("_s").alias("_first"))
 
 
 def with_first_seen(flows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Add ``first_seen``: this row is the first of its fingerprint over all flows.
 
-    ``known`` (column ja3) holds fingerprints of earlier runs, which are no longer new. The flag is
-    joined back on fingerprint *and* uid: uids spread evenly where fingerprints would not. Repeated
-    copies of one and the same record are one sighting and share the flag.
+    ``known`` (column ja3) holds fingerprints of earlier runs, which are no longer new. The marks, one per
+    fingerprint, are joined back by uid: uids spread evenly where fingerprints would not, and flows that a join
+    by uid made stay where they are. Repeated copies of one and the same record are one sighting and share the flag.
     """
     firsts = first_sightings(flows)
     if known is not None:
         firsts = firsts.join(known.select("ja3").distinct(), "ja3", "left_anti")
-    marks = firsts.select("ja3", F.col("_first.uid").alias("uid"), "_first")
-    marked = flows.withColumn("_sighting", _sighting(flows)).join(marks, ["ja3", "uid"], "left")
-    return marked.withColumn("first_seen", F.coalesce(F.col("_sighting") == F.col("_first"), F.lit(False))).drop(
-        "_sighting", "_first"
-    )
+    marks = firsts.select(F.col("ja3").alias("_ja3"), F.col("_first.uid").alias("_uid"), "_first")
+    # the fingerprint is compared outside the join key, which would deal the flows anew
+    same = F.xxhash64("ja3").bitwiseXOR(F.xxhash64("_ja3")) == 0
+    marked = flows.withColumn("_sighting", _sighting(flows)).join(marks, (F.col("uid") == F.col("_uid")) & same, "left")
+    first = (F.col("_sighting") == F.col("_first")) & (F.col("ja3") == F.col("_ja3"))
+    return marked.withColumn("first_seen", F.coalesce(first, F.lit(False))).drop("_sighting", "_first", "_ja3", "_uid")
 
 
 def with_tls_risk(flows: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
