@@ -25,6 +25,7 @@ from tidewatch.llm.common import stored_table
 _BITS, _WORDS = 128, 4
 _WIDE, _NARROW = 1 << 32, 1 << 16
 _ROWS_IN_BLOCK = 50_000
+_NO_ID = -(1 << 63)
 
 
 def pieces(text: Column) -> Column:
@@ -72,7 +73,8 @@ def written(fp: Column) -> Column:
 
 
 def signs(fp: Column) -> Column:
-    """The sum of +1 and -1 of each bit, small against 2**16 for any text and so known from counts modulo 2**16."""
+    """The sum of +1 and -1 of each bit, known from counts modulo 2**16 while it is below 2**16. Only texts that repeat a piece
+    tens of thousands of times go beyond; their likeness says nothing, while equality still holds."""
     n, whole = fp["n"], F.lit(2 * _NARROW)
     return F.transform(fp["c"], lambda c: F.pmod(F.lit(2) * c - n + F.lit(_NARROW), whole) - F.lit(_NARROW))
 
@@ -105,35 +107,34 @@ def next_rows(rows: DataFrame) -> DataFrame:
 def edited_next(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     where the edited text is the text with its second half replaced by as much of the next document."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    base = base.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    # no column but these three, which both uses of the texts need: then they are moved by id once
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key")
+    base = docs.select(key, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    base = base.withColumn("mark", F.md5(F.col("text").cast("binary")))
+    after = next_rows(_numbered(base.select("key", "mark", F.length("text").alias("n_chars"))))
     base = _numbered(base)
-    after = next_rows(base.select("key", "nth", F.length("text").alias("n_chars")))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     lent = base.select(F.col("key").alias("from_key"), F.col("nth").alias("from_nth"), F.col("text").alias("lent"))
     # the number of an id's row is compared outside the join key, so that the texts' partitioning by id serves twice
     lent = lent.join(after, (F.col("from_key") == F.col("next_key")) & (F.col("from_nth") - F.col("next_nth") == 0))
-    lent = lent.select(F.col("key").alias("to_key"), F.col("nth").alias("to_nth"), "n_chars", F.substring("lent", F.lit(1), half).alias("lent"))
+    lent = lent.select(F.col("key").alias("to_key"), F.col("nth").alias("to_nth"), "n_chars", "next_key", "next_nth", F.substring("lent", F.lit(1), half).alias("lent"))
     both = base.join(lent, (F.col("key") == F.col("to_key")) & (F.col("nth") - F.col("to_nth") == 0))
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.col("lent"))
-    both = both.select("doc_id", "key", "nth", F.col("n_chars").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
+    keys = ["key", "nth", "n_chars", "next_key", "next_nth"]
+    both = both.select(*keys, "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
+    keys.append("edited_sha256")
     versions = F.array(*[F.struct(F.lit(v).alias("version"), F.col(c).alias("text")) for v, c in enumerate(("text", "edited"))])
-    both = both.select("doc_id", "key", "nth", "n_chars", "edited_sha256", F.explode(versions).alias("v"))
-    keys = ["doc_id", "key", "nth", "n_chars", "edited_sha256", "version"]
-    made = fingerprints(both.select(*keys[:-1], "v.version", "v.text"), keys, "text")
-    made = stored_table(made, "fingerprints")
-    first = made.filter("version = 0").select("doc_id", "key", "nth", "n_chars", "edited_sha256", F.col("fp").alias("own"))
-    second = made.filter("version = 1").select(F.col("key").alias("k1"), F.col("nth").alias("m1"), F.col("fp").alias("of_edited"))
-    other = made.filter("version = 0").select(F.col("key").alias("k2"), F.col("nth").alias("m2"), F.col("fp").alias("of_next"))
-    links = after.select(F.col("key").alias("k3"), F.col("nth").alias("m3"), "next_key", "next_nth")
-    other = other.join(links, (F.col("k2") == F.col("next_key")) & (F.col("m2") - F.col("next_nth") == 0)).select("k3", "m3", "of_next")
-    joined = first.join(second, (F.col("key") == F.col("k1")) & (F.col("nth") - F.col("m1") == 0))
-    joined = joined.join(other, (F.col("key") == F.col("k3")) & (F.col("nth") - F.col("m3") == 0))
+    both = both.select(*keys, F.explode(versions).alias("v")).select(*keys, "v.version", "v.text")
+    made = fingerprints(both, [*keys, "version"], "text")
+    # both versions of a text are in one partition: bringing them into one row moves nothing
+    made = made.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("version", "fp"))).alias("v"))
+    made = stored_table(made.select(*keys, F.col("v")[0]["fp"].alias("own"), F.col("v")[1]["fp"].alias("of_edited")), "fingerprints")
+    other = made.select(F.col("key").alias("k2"), F.col("nth").alias("m2"), F.col("own").alias("of_next"))
+    joined = made.join(other, (F.col("next_key") == F.col("k2")) & (F.col("next_nth") - F.col("m2") == 0))
     joined = joined.withColumns({"s0": signs(F.col("own")), "s1": signs(F.col("of_edited")), "s2": signs(F.col("of_next"))})
     return joined.select(
-        "doc_id",
-        "n_chars",
+        F.when(F.col("key") != _NO_ID, F.col("key")).alias("doc_id"),
+        F.col("n_chars").cast("long").alias("n_chars"),
         "edited_sha256",
         written(F.col("own")).alias("fingerprint"),
         written(F.col("of_edited")).alias("edited_fingerprint"),
@@ -144,4 +145,4 @@ def edited_next(docs: DataFrame) -> DataFrame:
 
 def _numbered(base: DataFrame) -> DataFrame:
     """Rows of one id are told apart by the md5 of their text; of equal rows any may come first."""
-    return base.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.md5(F.col("text").cast("binary")))))
+    return base.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("mark")))
