@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.sources.storage import stored_table
 
 WORD = r"[^\x20\x09-\x0D]+"
+_HUB_PARTS = 8
 
 __all__ = ["WORD", "components", "documents", "forest", "remainder", "runs", "stored_table", "table"]
 
@@ -76,7 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
     component named by its smallest id.
 
     Large stars and small stars in turn; every half round is a map-side combined minimum and a join on
-    the id, so a hub with a third of all links is split like any skewed join, and each round is stored.
+    the id. The links of a hub, which may hold a third of all, are dealt to several tasks. Each round is stored.
     """
     spark = edges.sparkSession
     ends = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -85,7 +86,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = links.select(F.explode(ends).alias("e")).select("e.u", "e.v")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        # a hub's links are dealt to several tasks: its minimum is sent to each
+        dealt = both.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(_HUB_PARTS)))
+        low = low.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_HUB_PARTS - 1))))
+        large = dealt.join(low, ["u", "part"]).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = (
