@@ -35,6 +35,7 @@ SCHEDULES: tuple[Schedule, ...] = (
 )
 _ROWS_IN_SLOT = 128
 _EARLIER = Window.unboundedPreceding, -1
+_NO_SOURCE = "n"
 
 
 def due(share: Column, schedule: Schedule) -> Column:
@@ -57,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     Weights raise all targets alike until sources reach their cap, those with the least cap per weight first, so
     the common level follows from running sums in that order.
     """
-    ranked = sizes.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranked = sizes.withColumn("place", F.row_number().over(Window.orderBy(F.col("source") == _NO_SOURCE, "source")) - 1)
     ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")))
     ranked = ranked.withColumn("cap", F.lit(float(most)) * F.col("source_size"))
     full = Window.orderBy(F.col("cap") / F.col("weight"), "place")
@@ -75,10 +76,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """The rows as a struct ``row``, beside it source, size in words and the hash that gives a document its turn."""
+    """The rows as a struct ``row``, beside it the source as a key that is never null (so that joins and windows by
+    it share one partitioning), the size in words and the hash that gives a document its turn."""
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col("source").cast("string").alias("source"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(_NO_SOURCE)).alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("turn"),
     )
@@ -97,8 +99,8 @@ def _starts(rows: DataFrame, weights: tuple[int, ...], share: float, most: float
     slots = slots.withColumn("slot_start", F.coalesce(F.sum("words").over(in_block), F.lit(0)))
     targets = stored_table(source_targets(sources, weights, share, most), "targets")
     s, b, t = slots.alias("s"), blocks.alias("b"), targets.alias("t")
-    starts = s.join(b, F.col("s.source").eqNullSafe(F.col("b.source")) & (F.col("s.block") == F.col("b.block")))
-    starts = starts.join(t, F.col("s.source").eqNullSafe(F.col("t.source")))
+    starts = s.join(b, (F.col("s.source") == F.col("b.source")) & (F.col("s.block") == F.col("b.block")))
+    starts = starts.join(t, F.col("s.source") == F.col("t.source"))
     begin = (F.col("slot_start") + F.col("block_start")).alias("begin")
     starts = starts.select(F.col("s.source").alias("of"), F.col("s.slot").alias("in_slot"), begin, "source_size", "place", "target")
     return stored_table(starts, "starts"), digits
@@ -106,7 +108,7 @@ def _starts(rows: DataFrame, weights: tuple[int, ...], share: float, most: float
 
 def _assigned(rows: DataFrame, starts: DataFrame, digits: int, most: float, schedules: tuple[Schedule, ...]) -> DataFrame:
     rows = rows.withColumn("slot", F.substring("turn", 1, digits))
-    placed = rows.join(starts, rows["source"].eqNullSafe(starts["of"]) & (rows["slot"] == starts["in_slot"]))
+    placed = rows.join(starts, (rows["source"] == starts["of"]) & (rows["slot"] == starts["in_slot"]))
     own = Window.partitionBy("source", "slot").orderBy("turn", "size").rowsBetween(*_EARLIER)
     placed = placed.withColumn("begin", F.col("begin") + F.coalesce(F.sum("size").over(own), F.lit(0)))
     stop, reads = F.round("target").cast("long"), []
