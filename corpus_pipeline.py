@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm.common import stored_table
+from tidewatch.llm.common import small_batches, stored_table
 from tidewatch.llm.language import identified
 from tidewatch.llm.mixing import mixed
 from tidewatch.llm.neardup import one_of_each
@@ -20,11 +20,13 @@ ORACLE_SQL = None  # trained models, minimum hashes and token ids have no SQL; t
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text fits a learned language stay, and get that language."""
+    small_batches(spark)
     return identified(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
+    small_batches(spark)
     return one_of_each(docs)
 
 
@@ -34,8 +36,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in sequences of at most 4096."""
-    return pack(docs, tokenizer())
+    """Token ids in sequences of at most 4096. Workers serve other stages too, so they remember fewer words."""
+    small_batches(spark)
+    return pack(docs, tokenizer(), held_words=60_000)
 
 
 STAGES = [("language_id", language_id), ("near_copies", near_copies), ("mixture", mixture), ("packing", packing)]

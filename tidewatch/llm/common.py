@@ -14,13 +14,19 @@ from tidewatch.sources.storage import stored_table
 WORD = r"[^\x20\x09-\x0D]+"
 _HUB_PARTS = 8
 
-__all__ = ["WORD", "components", "documents", "forest", "remainder", "runs", "stored_table", "table"]
+__all__ = ["WORD", "components", "documents", "forest", "remainder", "runs", "small_batches", "stored_table", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Whole texts go to Python by the thousand at most: ten thousand, the default, cost executors hundreds of MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

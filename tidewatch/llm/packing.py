@@ -36,7 +36,7 @@ class WordIds:
     """Token ids of texts as bytes (little-endian, 32 bits each), for tokenizers that never join words over
     white space. Ids of words are held; the less recent half is forgotten when there are too many."""
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -107,13 +107,13 @@ class WordIds:
         return [b"".join(map(get, words)) for words in split]
 
 
-_HELD: dict[str, WordIds] = {}  # for the life of a Python worker, so later tasks find the words of earlier ones
+_HELD: dict[tuple[str, int], WordIds] = {}  # for the life of a Python worker, so later tasks find the words of earlier ones
 
 
-def _word_ids(path: str) -> WordIds:
-    if path not in _HELD:
-        _HELD[path] = WordIds(path)
-    return _HELD[path]
+def _word_ids(path: str, most: int) -> WordIds:
+    if (path, most) not in _HELD:
+        _HELD[path, most] = WordIds(path, most)
+    return _HELD[path, most]
 
 
 def _capacities(tokens: int, capacity: int) -> np.ndarray:
@@ -166,13 +166,15 @@ def pack(
     quadratic: float = 1 / 2048,
     block_tokens: int = 1 << 21,
     with_ids: bool = True,
+    held_words: int = 300_000,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, ids."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if wanted, ids.
+    ``held_words`` bounds what a worker remembers (some 200 bytes a word, twice that while it works): more memory, less tokenizing."""
     end = np.array([end_id], dtype="<u4").tobytes()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, context = _word_ids(tokenizer), TaskContext.get()
+        words, context = _word_ids(tokenizer, held_words), TaskContext.get()
         first = (context.partitionId() if context else 0) << 32
         ids: list[bytes] = []
         keys: list[int | None] = []
@@ -214,5 +216,6 @@ def pack(
                         yield flush()
         if ids:
             yield flush()
+        words.old = {}  # the worker may serve other stages next
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(packed, schema)

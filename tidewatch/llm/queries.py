@@ -203,6 +203,6 @@ _ALL: list[tuple[Build, str | None]] = [
 
 def llm_queries() -> dict[str, tuple[Build, str | None]]:
     def pinned(build: Build) -> Build:
-        return lambda spark, sf_dir: build(pin_utc(spark), sf_dir)
+        return lambda spark, sf_dir: build(common.small_batches(pin_utc(spark)), sf_dir)
 
     return {build.__name__: (pinned(build), sql) for build, sql in _ALL}
