@@ -244,6 +244,37 @@ def test_licence_scan_finds_planted_lines_only(spark, sf, odd, empty):
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
 
 
+def _documents(spark, texts):
+    return spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+PLAIN = "The committee met on Tuesday and agreed on the plan for the new bridge over the river"
+FILLER = ["\n".join(f"{PLAIN} number {i * 7 + k} {w}." for k, w in enumerate("see the notice of the use in a list".split())) for i in range(40)]
+
+
+def test_all_five_notices_are_found(spark, sf):
+    docs = common.documents(spark, sf.replace("sf0.001", "sf0.01"))
+    planted = {"cc-by-nc": "Licensed under CC BY-NC 4.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "apache": "Licensed under the Apache License, Version 2.0.", "mit": "Released under the MIT License.", "proprietary": "All rights reserved."}
+    expected = Counter()
+    for r in docs.collect():
+        for n, line in enumerate(r["text"].split("\n")):
+            for family, text in planted.items():
+                expected[r["doc_id"], n, family] += line == text
+    found = Counter((r["doc_id"], r["paragraph"], r["family"]) for r in licenses.scan(docs).collect())
+    assert found == +expected and len({k[2] for k in found}) == 5
+
+
+def test_standard_paragraphs_wrapped_or_not(spark):
+    software = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    law = "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    texts = [f"{PLAIN}.\n\n{software}\n\n{PLAIN}.", law.replace("\n", " "), f"{PLAIN}.\n{law}\n{PLAIN}.", "All rights reserved.\nAll rights reserved."]
+    found = {(r["doc_id"], r["paragraph"]): (r["family"], r["paragraph_text"]) for r in licenses.scan(_documents(spark, texts + FILLER)).collect()}
+    assert found.pop((0, 2)) == ("mit", software) and found.pop((1, 0)) == ("apache", law.replace("\n", " "))
+    assert found.pop((3, 0)) == found.pop((3, 1)) == ("proprietary", "All rights reserved.")
+    (place, (family, text)), = found.items()
+    assert place[0] == 2 and family == "apache" and law in text
+
+
 # ---- languages
 
 

@@ -1,11 +1,11 @@
 """Licence scans: a trained paragraph classifier names licence families, templates confirm it.
 
-Each paragraph (line) is a sparse vector of its words and word pairs, hashed, case and punctuation apart. A multinomial
+Each paragraph (line, or neighbouring lines over which a template's wording runs on) is a sparse vector of its words and word pairs, hashed, case and punctuation apart. A multinomial
 logistic regression over the families and a class for everything else is trained on variations of the templates below and on a bounded sample of the
 corpus: at most about ``sample_docs`` documents drawn by a hash of their id, at most ``sample_chars`` characters of each, less
 the lines that resemble a template. A quarter of both calibrates the probabilities (a temperature) and the least probability at which
 no more than one in a thousand calibration lines of the corpus is taken for a licence. A predicted family is confirmed if the paragraph holds at least ``confirm`` of the
-word pairs of one of its templates, and reported as an unknown licence if it holds at least ``resemble``; else it is no licence.
+word pairs of one of its templates, or that share of its own pairs, four at least, are the template's, and reported as an unknown licence if it holds at least ``resemble``; else it is no licence.
 
 Every paragraph of every whole text is classified. Defined results: a null or empty text has no paragraphs that could match; an empty table
 gives no rows (the model then knows templates only); repeated rows are reported once each; a null id stays null. Extra columns are ignored.
@@ -24,23 +24,32 @@ from tidewatch.llm.words import chunks, mixed, text_bytes, word_hashes
 
 UNKNOWN = "unknown"
 _BINS = 1 << 16
+_PART = 4
 
 # Short public notices of licence families, as licensors write them.
 TEMPLATES: dict[str, list[str]] = {
     "agpl": [
         "Licensed under the GNU Affero General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+        "See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0",
         "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+        "See the License for the specific language governing permissions and limitations under the License",
     ],
     "bsd": [
         "Released under the BSD 3-Clause License",
         "Licensed under the BSD 2-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
     ],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-nc": [
@@ -55,19 +64,31 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the GNU General Public License, version 2 or later",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details",
+        "You should have received a copy of the GNU General Public License along with this program",
+    ],
+    "lgpl": [
+        "Licensed under the GNU Lesser General Public License, version 2.1",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+        "See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library",
     ],
-    "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-only"],
     "mit": [
         "Released under the MIT License",
         "Licensed under the MIT license",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "Licensed under the Mozilla Public License 2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0",
     ],
-    "proprietary": ["All rights reserved. No part of this work may be reproduced without the prior written permission of the publisher", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited"],
+    "proprietary": ["All rights reserved", "All rights reserved. No part of this work may be reproduced without the prior written permission of the publisher", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited"],
 }
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -96,6 +117,9 @@ class LicenceModel:
     def __init__(self, corpus_lines: list[str], seed: int = 5, rounds: int = 10) -> None:
         self.classes = ["", *sorted(TEMPLATES)]
         self.sets = [(k, set(self._bins(t)[1].tolist())) for k, name in enumerate(self.classes) if name for t in TEMPLATES[name]]
+        self.known = np.zeros(_BINS, dtype=bool)  # word pairs of any template
+        for _, pairs in self.sets:
+            self.known[list(pairs)] = True
         rng = np.random.default_rng(seed)
         lines, labels = [], []
         for k, name in enumerate(self.classes[1:], 1):
@@ -157,10 +181,18 @@ class LicenceModel:
             words = extra + words if rng.random() < 0.5 else words + extra
         return " ".join(words).upper() if rng.random() < 0.1 else " ".join(words)
 
-    def likeness(self, text: str, family: int | None = None) -> tuple[int, float]:
-        """The class of the template of which the text holds the largest share of word pairs, and that share."""
+    def likeness(self, text: str, family: int | None = None) -> tuple[int, float, float]:
+        """The class of the template most like the text, that likeness, and the largest share of a template's word pairs that
+        the text holds. Likeness is containment in either direction; a part of a template has ``_PART`` word pairs of it at least."""
         own = set(self._bins(text)[1].tolist())
-        return max(((k, len(own & s) / max(len(s), 1)) for k, s in self.sets if family is None or k == family), key=lambda x: x[1], default=(0, 0.0))
+        best = 0, 0.0, 0.0
+        for k, s in self.sets:
+            if family is None or k == family:
+                shared = len(own & s)
+                whole = shared / max(len(s), 1)
+                like = max(whole, shared / len(own) if shared >= _PART else 0.0)
+                best = (k if like > best[1] else best[0]), max(like, best[1]), max(whole, best[2])
+        return best
 
     def _probabilities(self, z: np.ndarray) -> np.ndarray:
         p = np.exp((z - z.max(axis=1, keepdims=True)) / self.temperature)
@@ -184,6 +216,23 @@ class LicenceModel:
         return kind, chance
 
 
+def _joined(words: np.ndarray, pairs: np.ndarray, first: np.ndarray, row: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For each line whether the next one may go on with its paragraph: neither is blank, and the word pair over the line
+    break is one of a template, or at least half of the pairs of both are."""
+    n = len(first) - 1
+    go_on = np.zeros(n, dtype=bool)
+    if n < 2 or not len(words):
+        return go_on
+    here = known[(pairs >> np.uint64(48)).astype(np.int64)] & (pairs != 0)
+    held = np.diff(np.concatenate([[0], np.cumsum(here)])[first])
+    size = np.diff(first)
+    dense = (held >= 2) & (2 * held >= size - 1)
+    at = np.flatnonzero((size[:-1] > 0) & (size[1:] > 0) & (row[:-1] == row[1:]))
+    across = mixed(words[first[at + 1] - 1] * np.uint64(3) + words[first[at + 1]])
+    go_on[at] = known[(across >> np.uint64(48)).astype(np.int64)] | (dense[at] & dense[at + 1])
+    return go_on
+
+
 def train(docs: DataFrame, sample_docs: int = 600, sample_chars: int = 4000) -> LicenceModel:
     n = docs.count()
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("licence")), F.lit(1 << 30))
@@ -193,6 +242,20 @@ def train(docs: DataFrame, sample_docs: int = 600, sample_chars: int = 4000) ->
     return LicenceModel([line for r in rows for line in r["t"].split("\n") if line.strip()])
 
 
+_Found = tuple[bool, float, str, float, float, str]  # confirmed, share of a template, family, confidence, likeness, text
+
+
+def _found(model: LicenceModel, data: np.ndarray, cuts: np.ndarray, kind: np.ndarray, chance: np.ndarray, confirm: float, resemble: float) -> dict[int, _Found]:
+    """What is reported of the pieces between the cuts, by their number."""
+    found = {}
+    for k in np.flatnonzero(kind):
+        text = data[cuts[k] : cuts[k + 1]].tobytes().decode("utf-8").rstrip("\n")
+        _, like, share = model.likeness(text, int(kind[k]))
+        if like >= resemble:
+            found[int(k)] = like >= confirm, share, model.classes[kind[k]] if like >= confirm else UNKNOWN, float(chance[k]), like, text
+    return found
+
+
 def scan(docs: DataFrame, model: LicenceModel | None = None, confirm: float = 0.6, resemble: float = 0.2) -> DataFrame:
     """One row per licence paragraph: doc_id, paragraph (from 0), start and length (bytes of UTF-8), family, confidence, likeness, paragraph_text."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs) if model is None else model)
@@ -208,15 +271,24 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, confirm: float = 0.
                     own = data[offsets[a] : offsets[b]]
                     starts = offsets[a : b + 1] - offsets[a]
                     cuts, row = _paragraphs(own, starts)
-                    kind, chance = model.judge(*_features(own, cuts))
-                    for k in np.flatnonzero(kind):
-                        text = own[cuts[k] : cuts[k + 1]].tobytes().decode("utf-8").rstrip("\n")
-                        _, like = model.likeness(text, int(kind[k]))
-                        if like < resemble:
-                            continue
-                        name = model.classes[kind[k]] if like >= confirm else UNKNOWN
+                    words, pairs, first = _features(own, cuts)
+                    lines = _found(model, own, cuts, *model.judge(words, pairs, first), confirm, resemble)
+                    # neighbouring lines that run on as a template does are a paragraph, reported in place of its lines where it is more like one
+                    go_on = _joined(words, pairs, first, row, model.known)
+                    if go_on.any():
+                        begin = np.flatnonzero(~np.concatenate([[False], go_on[:-1]]))
+                        whole = np.append(cuts[begin], cuts[-1])
+                        kind, chance = model.judge(*_features(own, whole))
+                        kind[~go_on[begin]] = 0
+                        for u, found in _found(model, own, whole, kind, chance, confirm, resemble).items():
+                            parts = range(begin[u], np.searchsorted(cuts, whole[u + 1]))
+                            if found[:2] > max((lines[k][:2] for k in parts if k in lines), default=(False, 0.0)):
+                                for k in parts:
+                                    lines.pop(k, None)
+                                lines[int(begin[u])] = found
+                    for k, (_, _, name, p, like, text) in sorted(lines.items()):
                         nth = int(k - np.searchsorted(row, row[k]))
-                        rows.append((ids[a + row[k]], nth, int(cuts[k] - starts[row[k]]), len(text.encode("utf-8")), name, float(chance[k]), like, text))
+                        rows.append((ids[a + row[k]], nth, int(cuts[k] - starts[row[k]]), len(text.encode("utf-8")), name, p, like, text))
                 names = [c.split()[0] for c in schema.split(", ")]
                 types = [pa.int64()] * 4 + [pa.string(), pa.float64(), pa.float64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
