@@ -348,6 +348,24 @@ def test_one_of_each_keeps_columns_and_rows(spark, odd, empty):
     assert {r["doc_id"] for r in kept.collect()} == {1, 3, 4, 5, 6, 7, 9, 10, 11, None}
 
 
+def test_one_row_of_each_class_whatever_the_ids(spark):
+    words_of = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    near = words_of("a", 80) + " end"
+    rows = [
+        (1, words_of("a", 80)), (1, words_of("a", 80)), (1, words_of("b")), (1, words_of("b")), (2, near), (2, words_of("c")),
+        (None, words_of("d", 80)), (None, words_of("d", 80)), (None, words_of("d", 80) + " end"), (None, words_of("b")), (7, words_of("e")), (None, words_of("e")),
+        (None, words_of("f")), (8, None), (8, None), (9, words_of("c") + " \n"),
+    ]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(4)
+    kept = Counter((r["doc_id"], (r["text"] or "-").split()[0]) for r in neardup.one_of_each(docs).collect())
+    assert kept == Counter({(1, "a0"): 1, (1, "b0"): 1, (2, "c0"): 1, (None, "d0"): 1, (7, "e0"): 1, (None, "f0"): 1, (8, "-"): 2})
+    found = neardup.jaccard_join(docs)
+    assert found.count() == len(rows) and found.filter("kept").count() == kept.total()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in found.filter("doc_id = 2 or doc_id is null").collect()) == Counter(
+        {(2, 1, 2): 1, (2, 2, 1): 1, (None, None, 2): 3, (None, 1, 2): 1, (None, 7, 1): 1, (None, None, 0): 1}
+    )
+
+
 def test_prefix_length_gives_the_recall():
     r = neardup.prefix_length(20, 5, 0.8, 0.9999)
     assert 1 - (1 - 0.8**r) ** 20 >= 0.9999 > 1 - (1 - 0.8 ** (r + 1)) ** 20

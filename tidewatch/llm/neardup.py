@@ -3,7 +3,8 @@
 ``jaccard_join`` compares the sets of word shingles of all texts and links texts whose Jaccard similarity
 reaches the threshold.
 
-1. Texts of equal words are one text with a number of copies; its smallest id stands for it.
+1. Texts of equal words are one text with a number of copies, known by a 128-bit key of its words. Texts are numbered
+   in the order of their smallest id (nulls last); the number stands for the text, so ids need not name texts.
 2. Each text has ``trees`` signatures of ``depth`` minimum hashes. Sorted, the signatures of a tree are the
    leaves of a prefix trie. The matched prefix is shortened from the full depth until two texts at the
    threshold meet in some tree with at least the wanted ``recall``.
@@ -17,8 +18,9 @@ a node nor a group is ever in one place.
 
 Defined results: a null text is an empty one; a text without words links with nothing, not even its like; a
 text of fewer words than a shingle has one shingle of all its words. Repeated rows are copies of each other.
-Ids are taken to name texts: of different texts under one id only one is compared beyond its exact copies,
-and texts of which all copies have a null id link only with those copies. Extra columns are ignored.
+Different texts under one id, or without an id, are compared like any others. A class without any id has a null
+class_id. Of each class exactly one row is kept: of its smallest id, of the text that comes first, whichever of
+rows that repeat both. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidewatch.llm.common import components, forest, runs, stored_table
 from tidewatch.llm.words import chunks, mixed, shingle_hashes, text_bytes, word_hashes
@@ -36,6 +39,7 @@ from tidewatch.llm.words import chunks, mixed, shingle_hashes, text_bytes, word_
 BLOCK_TEXTS = 256
 BLOCK_BYTES = 8 << 20
 _PAIRS = 1 << 15
+_KEY = ["k1", "k2", "n_words"]
 
 
 def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> int:
@@ -46,6 +50,29 @@ def prefix_length(trees: int, depth: int, threshold: float, recall: float) -> in
     raise ValueError(f"{trees} trees can't reach a recall of {recall} at similarity {threshold}")
 
 
+def _text_keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two 64-bit keys of the words of each text, in their order."""
+    place = np.arange(len(words), dtype=np.uint64) - np.repeat(first[:-1].astype(np.uint64), np.diff(first))
+    keys = np.zeros((2, len(first) - 1), dtype=np.uint64)
+    for k in range(2):
+        terms = np.concatenate([[np.uint64(0)], np.cumsum(mixed(words + mixed(place * np.uint64(2) + np.uint64(k + 1))))])
+        keys[k] = terms[first[1:]] - terms[first[:-1]]
+    return keys
+
+
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in _KEY]))
+def _key(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    with np.errstate(over="ignore"):
+        for column in columns:
+            data, offsets = text_bytes(column)
+            keys, sizes = [np.zeros((2, 0), dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]  # of a batch without rows
+            for a, b in chunks(offsets):
+                words, _, _, first = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                keys.append(_text_keys(words, first)), sizes.append(np.diff(first))
+            k = np.concatenate(keys, axis=1).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(k[0]), pa.array(k[1]), pa.array(np.concatenate(sizes))], names=_KEY)
+
+
 def _signing(shingle: int, trees: int, depth: int, seed: int = 11):
     factors = (np.random.default_rng(seed).integers(0, 2**31, (trees * depth, 1), dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
 
@@ -58,11 +85,7 @@ def _signing(shingle: int, trees: int, depth: int, seed: int = 11):
                     shingles, start = shingle_hashes(words, first, shingle)
                     x, n = (shingles >> np.uint64(32)).astype(np.uint32), b - a
                     signature = np.zeros((n, trees * depth), dtype=np.uint32)
-                    keys = np.zeros((2, n), dtype=np.uint64)
-                    place = np.arange(len(words), dtype=np.uint64) - np.repeat(first[:-1].astype(np.uint64), np.diff(first))
-                    for k in range(2):
-                        terms = np.concatenate([[np.uint64(0)], np.cumsum(mixed(words + mixed(place * np.uint64(2) + np.uint64(k + 1))))])
-                        keys[k] = terms[first[1:]] - terms[first[:-1]]
+                    keys = _text_keys(words, first)
                     for i in range(n):
                         own = x[start[i] : start[i + 1]]
                         for at in range(0, len(own), 4096):
@@ -211,53 +234,94 @@ def _blocks(members: DataFrame, group: str, n_blocks: str) -> DataFrame:
     return dealt.repartition(F.col(group), F.col("i"), F.col("j")).sortWithinPartitions(group, "i", "j", "rep")
 
 
-def jaccard_join(
-    docs: DataFrame, shingle: int = 5, threshold: float = 0.8, recall: float = 0.9999, trees: int = 20, depth: int = 5
-) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id reachable over links, its own if it has none),
-    n_links (other documents it is directly linked with, copies included), kept (doc_id = class_id, the first
-    of repeated rows only as far as ids differ)."""
+def _classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, recall: float = 0.9999, trees: int = 20, depth: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The rows (row, doc_id, text key), and one row per text with words: key, first_id and first_row (of its smallest id),
+    copies, class_id, n_links, head (its class keeps this text)."""
     prefix, width = prefix_length(trees, depth, threshold, recall), trees * depth
     least = threshold - 4 * (threshold * (1 - threshold) / width) ** 0.5
-    signed = stored_table(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-            _signing(shingle, trees, depth), "doc_id long, k1 long, k2 long, n_words long, n_bytes long, signature binary"
-        ),
-        "signed",
-    )
-    texts = stored_table(
-        signed.filter("n_words > 0").groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")),
-        "texts",
+    signed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        _signing(shingle, trees, depth), "doc_id long, k1 long, k2 long, n_words long, n_bytes long, signature binary"
     )
-    whole = signed.select("doc_id", "k1", "k2", "n_words", "signature").join(
-        texts.select(F.col("rep").alias("doc_id"), "k1", "k2", "n_words"), ["doc_id", "k1", "k2", "n_words"]
-    )
-    reps = stored_table(whole.select(F.col("doc_id").alias("rep"), "signature").dropDuplicates(["rep"]), "reps")
+    signed = stored_table(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("lowest")
+    texts = signed.filter("n_words > 0").groupBy(*_KEY).agg(lowest, F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"))
+    texts = texts.select(*_KEY, "copies", "n_bytes", F.col("lowest.doc_id").alias("first_id"), F.col("lowest.row").alias("first_row"))
+    texts = texts.orderBy(F.asc_nulls_last("first_id"), *_KEY).withColumn("rep", F.monotonically_increasing_id())
+    texts = stored_table(texts, "texts")
+    reps = stored_table(signed.select(F.col("row").alias("first_row"), "signature").join(texts.select("first_row", "rep"), "first_row").select("rep", "signature"), "reps")
     nodes = stored_table(reps.mapInArrow(_tree_nodes(trees, depth, prefix), "rep long, node long"), "nodes")
     shared = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").withColumn("n_blocks", F.ceil(F.col("n") / BLOCK_TEXTS)).drop("n")
     members = nodes.join(shared, "node").join(reps, "rep").select("node", "rep", "n_blocks", "signature")
     candidates = _blocks(members, "node", "n_blocks").mapInArrow(_near_by_signature(width, least), "a long, b long")
     groups = components(candidates).select(F.col("id").alias("rep"), F.col("component").alias("gid"))
-    sized = groups.join(texts.groupBy("rep").agg(F.sum("copies").alias("copies"), F.max("n_bytes").alias("n_bytes")), "rep")
+    sized = groups.join(texts.select("rep", *_KEY, "first_id", "copies", "n_bytes"), "rep")
     sizes = sized.groupBy("gid").agg(
         F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("n_bytes") / BLOCK_BYTES)).alias("n_blocks")
     )
-    sized = stored_table(sized.join(sizes, "gid").select("gid", "rep", "copies", "n_blocks"), "groups")
-    compared = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(sized, "rep")
-    compared = compared.dropDuplicates(["rep"])
+    sized = stored_table(sized.join(sizes, "gid").select("gid", "rep", "copies", "n_blocks", *_KEY, "first_id"), "groups")
+    # by key and id, so that copies are dealt to many tasks; rows that repeat both are equal in words
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).withColumn("key", _key("text"))
+    same = F.col("id").eqNullSafe(F.col("first_id"))
+    for c in _KEY:
+        same &= F.col(f"key.{c}") == F.col(c)
+    compared = keyed.join(sized, same).select("rep", "text", "gid", "copies", "n_blocks").dropDuplicates(["rep"])
     links = stored_table(_blocks(compared, "gid", "n_blocks").mapInArrow(_verified(shingle, threshold), "a long, b long, links long"), "exact")
-    classes = components(links.select("a", "b"))
-    counts = links.groupBy("a").agg(F.sum("links").alias("links"))
-    known = texts.select("k1", "k2", "n_words", "rep", "copies").join(counts.withColumnRenamed("a", "rep"), "rep", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
-    known = stored_table(
-        known.select("k1", "k2", "n_words", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "known"
+    classes = components(links.select("a", "b")).withColumnRenamed("id", "rep")
+    heads = classes.filter("rep = component").select("component").join(texts.select(F.col("rep").alias("component"), F.col("first_id").alias("head_id")), "component")
+    classes = classes.join(stored_table(heads, "heads"), "component")
+    counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    known = texts.join(counts, "rep", "left").join(classes, "rep", "left")
+    known = known.select(
+        *_KEY,
+        "first_id",
+        "first_row",
+        "copies",
+        F.when(F.col("component").isNull(), F.col("first_id")).otherwise(F.col("head_id")).alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce(F.col("component") == F.col("rep"), F.lit(True)).alias("head"),
+    )
+    return signed.select("row", "doc_id", *_KEY), stored_table(known, "known")
+
+
+def jaccard_join(
+    docs: DataFrame, shingle: int = 5, threshold: float = 0.8, recall: float = 0.9999, trees: int = 20, depth: int = 5
+) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest id reachable over links, its own if it has none),
+    n_links (other documents it is directly linked with, copies included), kept (one row of each class)."""
+    rows, known = _classes(docs, shingle, threshold, recall, trees, depth)
+    result = rows.join(known, _KEY, "left")
+    alone = F.col("head").isNull()  # a text without words
+    return result.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (alone | (F.col("head") & (F.col("row") == F.col("first_row")))).alias("kept"),
     )
-    result = signed.select("doc_id", "k1", "k2", "n_words").join(known, ["k1", "k2", "n_words"], "left")
-    result = result.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents without all but one of each class of near copies: the one of smallest id stays. Columns as given."""
-    gone = stored_table(jaccard_join(docs, **options).filter("not kept").select(F.col("doc_id").alias("gone_id")), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    """The documents without all but one of each class of near copies: a row of the smallest id stays. Columns as given."""
+    rows, known = _classes(docs, **options)
+    # texts of which some row goes; rows are found again by the words they have, whatever their ids
+    torn = known.filter("copies > 1 or not head").select(*[F.col(c).alias(f"torn_{c}") for c in _KEY], F.col("head").alias("torn_head"), F.col("first_id").alias("torn_id"))
+    torn = stored_table(torn, "torn")
+    same = rows["doc_id"].eqNullSafe(torn["torn_id"])
+    for c in _KEY:
+        same &= rows[c] == torn[f"torn_{c}"]
+    again = rows.join(torn.filter("torn_head"), same).groupBy(*[F.col(f"torn_{c}") for c in _KEY]).agg(F.count("*").alias("torn_rows")).filter("torn_rows > 1")
+    again = stored_table(again, "again")
+    torn = torn.join(again, [f"torn_{c}" for c in _KEY], "left")
+    key = "torn_key"
+    keyed = docs.withColumn(key, _key(docs["text"].cast("string")))
+    fits = None
+    for c in _KEY:
+        own = F.col(f"{key}.{c}") == F.col(f"torn_{c}")
+        fits = own if fits is None else fits & own
+    first = F.col("torn_head") & docs["doc_id"].cast("long").eqNullSafe(F.col("torn_id"))
+    joined = keyed.join(stored_table(torn, "torn"), fits, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = joined.filter(F.col("torn_head").isNull() | (first & F.col("torn_rows").isNull())).select(*columns)
+    if again.isEmpty():
+        return kept
+    several = keyed.join(torn.filter("torn_rows is not null"), fits & first).dropDuplicates([f"torn_{c}" for c in _KEY])
+    return kept.unionByName(several.select(*columns))
