@@ -143,6 +143,16 @@ def test_archives_round_trip(spark, tmp_path):
     assert len(captures) == len(rows) and all(c["requests"] == c["metadatas"] == 1 and c["request"]["text"].startswith("GET /") for c in captures)
 
 
+def test_repeated_keepers_give_no_row_twice(spark, tmp_path):
+    rows = [(9, "k", "a" * 2000)] * 3 + [(9, "k", "b" * 2000), (1, "x", "a" * 2000), (2, "y", "a" * 2000), (2, "y", "b" * 2000), (5, "z", "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archived(pages).collect())
+    assert found == Counter({(9, 2000, "response", None): 4, (1, 2000, "revisit", 9): 1, (2, 2000, "revisit", 9): 2, (5, 1, "response", None): 1})
+    warc.write_archives(pages, str(tmp_path / "w"))
+    records = warc.read_records(spark, str(tmp_path / "w"))
+    assert records.count() == 3 * len(rows) == records.select("id").distinct().count()
+
+
 def test_a_cut_archive_fails(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "x" * 500)], "page_id long, url string, html string")
     warc.write_archives(pages, str(tmp_path / "w"), compression=None)

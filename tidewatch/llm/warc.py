@@ -5,7 +5,8 @@ writer. Every record ends with an empty line twice over (CR LF CR LF), which is
 are plain WARC/1.1. ``read_records`` reads archives file by file and cuts records by their Content-Length, never by
 what a payload holds. ``captures`` joins the records of a transaction: one nested row per response or revisit.
 
-A payload of at least ``least_bytes`` that several pages share is stored once, with the page of the largest id; the others revisit it.
+A payload of at least ``least_bytes`` that several pages share is stored once, with the page of the largest id; the others revisit it. Of rows that repeat
+that page and payload each is stored, and the first is the one referred to.
 Only digests, lengths and ids are grouped for that, so a payload that a third of the pages share costs no more than a number.
 
 Files are bounded by ``file_bytes`` (and one record), so a task that reads one needs that much memory.
@@ -48,9 +49,21 @@ def _record(headers: list[tuple[str, Column | str | None]], block: Column) -> Co
 
 
 def revisits(pages: DataFrame, least_bytes: int) -> DataFrame:
-    """Digest and length of the payloads that several pages share, with the page that keeps each."""
-    shared = pages.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-    return stored_table(shared.filter("n > 1").select(F.col("digest").alias("of_digest"), F.col("bytes").alias("of_bytes"), "keeper"), "shared")
+    """Digest and length of the payloads that several pages share, with the page that keeps each and how many rows of it have it."""
+    each = pages.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes", "page_id").agg(F.count("*").alias("rows"))
+    shared = each.groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper"), F.max_by("rows", "page_id").alias("repeats"), F.sum("rows").alias("n"))
+    return stored_table(shared.filter("n > 1").select(F.col("digest").alias("of_digest"), F.col("bytes").alias("of_bytes"), "keeper", "repeats"), "shared")
+
+
+def _one_lead(pages: DataFrame) -> DataFrame:
+    """Rows that repeat a keeper with its payload: the first is its lead, their numbers are fixed by storing these rows alone."""
+    repeated = (F.col("repeats") > 1) & ~F.col("again")
+    doubled = pages.filter(repeated).withColumn("place", F.monotonically_increasing_id())
+    doubled = stored_table(doubled.withColumn("nth", F.concat(F.lit("r"), F.col("place").cast("string"))), "repeated")
+    first = stored_table(doubled.groupBy(F.col("digest").alias("first_digest"), F.col("bytes").alias("first_bytes")).agg(F.min("place").alias("first")), "leads")
+    doubled = doubled.join(first, (F.col("digest") == F.col("first_digest")) & (F.col("bytes") == F.col("first_bytes")))
+    doubled = doubled.withColumn("lead", F.col("place") == F.col("first")).select(*pages.columns)
+    return pages.filter(~F.coalesce(repeated, F.lit(False))).unionByName(doubled)
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, file_bytes: int = 32 << 20, compression: str | None = "gzip") -> None:
@@ -66,11 +79,13 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, file_by
     target = F.coalesce(F.when(F.length("url") > 0, F.regexp_replace("url", bad, "%20")), F.lit("about:blank"))
     own = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     nth = F.monotonically_increasing_id().cast("string")
-    pages = pages.withColumns({"again": again, "target": target, "own": own, "nth": nth})
-    keeper = _uuid(F.lit("response"), F.col("keeper").cast("string"))
-    ids = {kind: _uuid(F.lit(kind), F.col("own"), *([] if kind == "response" else [F.col("nth")])) for kind in ("response", "request", "metadata")}
-    # the record others refer to is named by its page alone; every other response also by its place, so no name is given twice
-    answer = F.when(F.col("keeper").isNotNull() & ~F.col("again"), ids["response"]).otherwise(_uuid(F.lit("answer"), F.col("own"), F.col("nth")))
+    pages = pages.withColumns({"again": again, "target": target, "own": own, "nth": nth, "lead": F.col("keeper").isNotNull() & ~again})
+    if not known.filter("repeats > 1").isEmpty():
+        pages = _one_lead(pages)
+    keeper = _uuid(F.lit("response"), F.col("keeper").cast("string"), F.col("digest"))
+    ids = {kind: _uuid(F.lit(kind), F.col("own"), F.col("digest" if kind == "response" else "nth")) for kind in ("response", "request", "metadata")}
+    # the record others refer to is named by its page and payload; every other response also by its place, so no name is given twice
+    answer = F.when(F.col("lead"), ids["response"]).otherwise(_uuid(F.lit("answer"), F.col("own"), F.col("nth")))
     pages = pages.withColumn("answer", answer)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_LINE}Content-Type: text/html; charset=utf-8{_LINE}Content-Length: "), F.col("bytes").cast("string"), F.lit(_END))
     after_host = F.regexp_extract("target", r"^[^:]*://[^/?#]*([^#]*)", 1)
