@@ -301,6 +301,23 @@ def test_held_out_languages(spark, sf, odd, empty):
     assert [tuple(r) for r in none] == [("und", 0.0, 0.0, False)]
 
 
+def test_wrong_labels_do_not_lift_the_limit(spark, sf):
+    rows = common.documents(spark, sf.replace("sf0.001", "sf0.01")).filter("lang is not null and length(text) >= 400").orderBy("doc_id").collect()
+    fit, check, fresh = {}, {}, {}
+    for n, r in enumerate(rows):
+        (fit, check, fresh)[0 if n % 5 < 3 else n % 5 - 2].setdefault(r["lang"], []).append(r["text"][:6000])
+    rng = np.random.default_rng(6)
+    random = lambda n: "".join(rng.choice(list("qxzjkvwyþðø#@[]{}|~^0123456789 "), n))
+    greek = "και το δεν είναι για την από με που θα στο μια ότι αυτό "
+    model = Languages(fit)
+    model.calibrate({name: [*texts, *([random(6000)] * max(1, len(texts) // 20)), greek * 100] for name, texts in check.items()})
+    for n in (100, 1000, 5000):
+        assert model.judge([random(n), (greek * 100)[:n]])[3].all()
+    for n in (100, 400, 6000):
+        texts = [t[:n] for own in fresh.values() for t in own]
+        assert np.mean(model.judge(texts)[3]) < 0.01
+
+
 def test_long_texts_are_scored_in_pieces_as_a_whole(monkeypatch):
     from tidewatch.llm import language
 

@@ -2,9 +2,10 @@
 
 A model holds, for every n-gram of its training text, the interpolated Kneser-Ney probability of the last
 character after the others, in arrays sorted by hash; a context's back-off weight lies beside them. A text
-belongs to the language with the lowest cross-entropy per character over the whole text. A margin learned
-from labelled texts kept out of the counts says when even the best language is too poor a fit: the text is
-then rejected.
+belongs to the language with the lowest cross-entropy per character over the whole text. A limit per length, learned
+from labelled texts kept out of the counts, says when even the best language is too poor a fit: the text is
+then rejected. Limits are medians and quantiles of pieces of each length, without the texts whose label the model
+contradicts, and aim at rejecting less than one in a hundred texts of a language.
 
 Training is bounded: at most about ``sample_docs`` labelled documents per language, chosen by a hash of
 their id, and of each at most ``sample_chars`` characters; a fifth of them calibrates. Everything else, so every
@@ -29,6 +30,9 @@ from pyspark.sql.functions import pandas_udf
 UNKNOWN = "und"
 _PAD = "\x02"
 _PIECE = 1 << 17
+_BANDS = np.array([12, 25, 50, 100, 200, 400, 800, 1600, 3200, 6400])  # characters
+_TAIL = 3.5  # a quarter of normal deviations exceed 1.15 sigma, so this is 4 sigma
+_LEAST = 1.7  # texts in capitals or lists of one word are that much above the median and still of the language
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -176,17 +180,13 @@ class Languages:
     def calibrate(self, texts: dict[str, list[str]]) -> None:
         """Fit the sharpness of the score, and per language how poor a fit of its own texts is still usual."""
         own, rest = [], []
-        limits = np.zeros((len(self.names), 3))
+        limits = np.zeros((len(self.names), len(_BANDS)))
         for k, name in enumerate(self.names):
             held = [t for t in texts.get(name, []) if t.strip()]
-            bits, n = self.bits(held)
+            bits, _ = self.bits(held)
             own += list(bits)
             rest += [k] * len(held)
-            usual = bits[:, k] if len(held) else np.array([4.0])
-            long = n >= np.median(n) if len(held) else np.array([True])
-            centre, spread = usual[long].mean(), usual[long].std()
-            noise = (np.abs(usual - centre) * np.sqrt(n if len(held) else 1)).max()
-            limits[k] = centre, max(spread, 0.05), max(noise, 4.0)
+            limits[k] = self._limits(k, [t for t, b in zip(held, bits, strict=True) if b.argmin() == k] or held)
         self.limits = limits
         if rest:
             b, k = np.array(own), np.array(rest)
@@ -197,6 +197,24 @@ class Languages:
 
             self.scale = min((1.0, 2.0, 4.0, 8.0, 16.0), key=loss)
 
+    def _limits(self, k: int, texts: list[str]) -> np.ndarray:
+        """Per length the bits a character that less than one text in a hundred of the language exceeds: the median and
+        ``_TAIL`` times the deviation that a quarter exceed, so that less than a quarter of wrong labels can't lift it beyond reason, or ``_LEAST`` bits."""
+        centre, wide, n = np.full(len(_BANDS), np.nan), np.full(len(_BANDS), np.nan), np.zeros(len(_BANDS))
+        for m, size in enumerate(_BANDS):
+            pieces = [t[at : at + size] for t in texts for at in sorted({0, len(t) // 2}) if len(t) - at >= size]
+            if pieces:
+                usual = self.bits(pieces)[0][:, k]
+                centre[m], n[m] = np.median(usual), len(usual)
+                wide[m] = np.quantile(np.abs(usual - centre[m]), 0.75)
+        if not n.any():  # nothing as long as the shortest band
+            usual = self.bits(texts)[0][:, k] if texts else np.array([4.0])
+            centre[:], wide[:] = np.median(usual), 0.0
+        have = np.flatnonzero(n >= min(20, n.max())) if n.any() else np.arange(len(_BANDS))
+        logs = np.log(_BANDS)
+        centre, wide = np.interp(logs, logs[have], centre[have]), np.interp(logs, logs[have], wide[have])
+        return centre + np.maximum(_TAIL * wide, _LEAST + 4 / np.sqrt(_BANDS))
+
     def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score from 0 to 1, bits per character and whether the text is rejected."""
         lettered = np.array([next((True for c in t if c.isalpha()), False) for t in texts], dtype=bool)
@@ -206,8 +224,10 @@ class Languages:
         best = bits.argmin(axis=1)
         low = bits[np.arange(len(texts)), best]
         score = 1 / np.exp(-self.scale * (bits - low[:, None])).sum(axis=1)
-        centre, spread, noise = self.limits[best].T
-        poor = low > centre + 8 * spread + 2 * noise / np.sqrt(np.maximum(n, 1))
+        poor, length = np.zeros(len(texts), dtype=bool), np.log(np.maximum(n, 1))
+        for k in np.unique(best):
+            own = best == k
+            poor[own] = low[own] > np.interp(length[own], np.log(_BANDS), self.limits[k])
         names = [self.names[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
         return names, np.where(lettered, score, 0.0), np.where(n > 0, low, 0.0), poor | ~lettered
 
