@@ -264,7 +264,8 @@ def _classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, recall:
     same = F.col("id").eqNullSafe(F.col("first_id"))
     for c in _KEY:
         same &= F.col(f"key.{c}") == F.col(c)
-    compared = keyed.join(sized, same).select("rep", "text", "gid", "copies", "n_blocks").dropDuplicates(["rep"])
+    # texts move once at any size: a broadcast would do for few groups only, and the disk needed would jump where it ends
+    compared = keyed.join(sized.hint("merge"), same).select("rep", "text", "gid", "copies", "n_blocks").dropDuplicates(["rep"])
     links = stored_table(_blocks(compared, "gid", "n_blocks").mapInArrow(_verified(shingle, threshold), "a long, b long, links long"), "exact")
     classes = components(links.select("a", "b")).withColumnRenamed("id", "rep")
     heads = classes.filter("rep = component").select("component").join(texts.select(F.col("rep").alias("component"), F.col("first_id").alias("head_id")), "component")
