@@ -42,12 +42,23 @@ class WordIds:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.held: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.word_wise = self._is_word_wise()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = None
         if suffix:  # then the ids of many words can be told apart after one call
             self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
 
+    def _is_word_wise(self) -> bool:
+        """Whether words can go through the tokenizer alone: it drops white space, lowers letters, and cuts marks from the
+        letters before them. Any other tokenizer gets whole texts."""
+
+        def ids(text: str) -> list[int]:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+        marks = all(ids("Straße" + m) == ids("straße") + ids(m) for m in [*_MARKS.decode(), "...", "!?", '",'])
+        return marks and ids("An ÄPFEL\tof\n\n thE") == ids("an") + ids("äpfel") + ids("of") + ids("the")
+
     def _encoded(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word; words of letters only go through the tokenizer together."""
         texts = [w.decode("utf-8") for w in words]
@@ -98,7 +109,13 @@ class WordIds:
             elif base != w:
                 held[w] = held[base]
 
+    def forget(self) -> None:
+        """Drop the less recent half."""
+        self.old = {}
+
     def of(self, texts: list[bytes]) -> list[bytes]:
+        if not self.word_wise:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)]
         if len(self.held) >= self.most:
             self.old, self.held = self.held, {}
         split = [t.split() for t in texts]
@@ -110,7 +127,7 @@ class WordIds:
 _HELD: dict[tuple[str, int], WordIds] = {}  # for the life of a Python worker, so later tasks find the words of earlier ones
 
 
-def _word_ids(path: str, most: int) -> WordIds:
+def held_word_ids(path: str, most: int) -> WordIds:
     if (path, most) not in _HELD:
         _HELD[path, most] = WordIds(path, most)
     return _HELD[path, most]
@@ -174,7 +191,7 @@ def pack(
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, context = _word_ids(tokenizer, held_words), TaskContext.get()
+        words, context = held_word_ids(tokenizer, held_words), TaskContext.get()
         first = (context.partitionId() if context else 0) << 32
         ids: list[bytes] = []
         keys: list[int | None] = []
@@ -216,6 +233,6 @@ def pack(
                         yield flush()
         if ids:
             yield flush()
-        words.old = {}  # the worker may serve other stages next
+        words.forget()  # the worker may serve other stages next
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(packed, schema)

@@ -16,9 +16,11 @@ from tidewatch.llm.mixing import assigned
 from tidewatch.llm.neardup import jaccard_join
 from tidewatch.llm.packing import pack
 from tidewatch.llm.scoring import score_texts, tenth_held_out
+from tidewatch.llm.tokenfiles import digests, write_token_ids
 from tidewatch.llm.urls import filter_urls
 from tidewatch.llm.warc import archived
 from tidewatch.session import pin_utc
+from tidewatch.sources.storage import scratch_path
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -187,6 +189,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(common.documents(spark, sf_dir))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    write_token_ids(common.documents(spark, sf_dir), path, tokenizer())
+    return digests(spark, path)
+
+
 _ALL: list[tuple[Build, str | None]] = [
     (op1_mix_sources, OP1_SQL),
     (op2_maxent_scores, None),
@@ -198,6 +206,7 @@ _ALL: list[tuple[Build, str | None]] = [
     (op8_warc_captures, OP8_SQL),
     (op9_language_id, None),
     (op10_ngram_jaccard_join, None),
+    (op11_token_files, None),
 ]
 
 
