@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
+from tidewatch.llm.alignment import align_tokens
 from tidewatch.llm.embeddings import cosine_links
 from tidewatch.llm.fingerprint import edited_next
 from tidewatch.llm.language import judged, train
@@ -195,6 +196,12 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark, path)
 
 
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokens(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 _ALL: list[tuple[Build, str | None]] = [
     (op1_mix_sources, OP1_SQL),
     (op2_maxent_scores, None),
@@ -207,6 +214,7 @@ _ALL: list[tuple[Build, str | None]] = [
     (op9_language_id, None),
     (op10_ngram_jaccard_join, None),
     (op11_token_files, None),
+    (op12_align_tokenizers, None),
 ]
 
 
