@@ -102,3 +102,38 @@ def aligned(rows):
          hashlib.sha256(text.encode()).hexdigest() if text else "")
         for d, n_a, n_b, links, text in documents
     ]
+
+
+def spelling(rows):
+    """Per word: (word, form, root, n, n_near, form_n), by all single edits of each word."""
+    import zlib
+    from collections import Counter
+
+    n = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lowered(run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= 7:
+                n[run] += 1
+    n = {w: c for w, c in n.items() if c >= 2}
+    letters = sorted({c for w in n for c in w})
+    near = {}
+    for w in n:
+        edits = {w[:k] + w[k + 1 :] for k in range(len(w))}
+        edits |= {w[:k] + c + w[k + 1 :] for k in range(len(w)) for c in letters}
+        edits |= {w[:k] + c + w[k:] for k in range(len(w) + 1) for c in letters}
+        near[w] = {x for x in edits if x in n and x != w}
+    form = {}
+    for w, found in near.items():
+        best = min(found, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 10 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return out

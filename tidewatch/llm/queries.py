@@ -19,6 +19,7 @@ from tidewatch.llm.packing import pack
 from tidewatch.llm.scoring import score_texts, tenth_held_out
 from tidewatch.llm.tokenfiles import digests, write_token_ids
 from tidewatch.llm.urls import filter_urls
+from tidewatch.llm.variants import spelling_variants
 from tidewatch.llm.warc import archived
 from tidewatch.session import pin_utc
 from tidewatch.sources.storage import scratch_path
@@ -202,6 +203,10 @@ def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(common.documents(spark, sf_dir))
+
+
 _ALL: list[tuple[Build, str | None]] = [
     (op1_mix_sources, OP1_SQL),
     (op2_maxent_scores, None),
@@ -215,6 +220,7 @@ _ALL: list[tuple[Build, str | None]] = [
     (op10_ngram_jaccard_join, None),
     (op11_token_files, None),
     (op12_align_tokenizers, None),
+    (op13_spelling_variants, None),
 ]
 
 
