@@ -97,7 +97,9 @@ class TokenPairs:
         out = []
         b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         for u, a_ids, b_ids in zip(units, self._encoded(units), b, strict=True):
-            if u[0] != " ":  # the space that B adds to every text
+            if u == " ":  # at the end of a text; B adds no space to an empty one
+                b_ids = [self.space]
+            elif u[0] != " ":  # the space that B adds to every text
                 b_ids = b_ids[1:] if b_ids[:1] == [self.space] else b_ids
             out.append((a_ids, np.array(b_ids, dtype=np.int32).tobytes()))
         return out

@@ -259,8 +259,7 @@ def _partitions(words: DataFrame, cell_words: int) -> DataFrame:
     base = words.select("word", F.reverse("word").alias("turned_word"), "n", roles.alias("role")).select("word", "turned_word", "n", "role.*")
     base = base.withColumns({"front": F.lit(_HEAD), "back": F.lit(_HEAD)})
     half = F.floor(F.col("length") / 2).cast("int")
-    # a word shorter than two heads has none that is long enough: it can't meet the bound and has no class
-    base = base.filter(F.col("length") >= 2 * _HEAD)
+    base = base.filter(F.col("length") >= 2 * _HEAD)  # below the shortest words: only longer ones, no pair
     base = _grown(base, "word", "front", half, cell_words)
     base = _grown(base, "turned_word", "back", F.col("length") - half, cell_words)
     ways = F.explode(
