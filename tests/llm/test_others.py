@@ -57,6 +57,20 @@ def test_cosine_links(spark, monkeypatch, cell, block):
     assert embeddings.cosine_links(df.limit(0)).count() == 0
 
 
+def test_vectors_of_one_id_or_none_are_linked_on_their_own(spark):
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    near_v, near_w, lone = [1.0, 0.01, 0.0], [0.01, 1.0, 0.0], [0.0, 0.0, 1.0]
+
+    def found(rows):
+        df = spark.createDataFrame([(i, x, 1) for i, x in rows], "vec_id long, embedding array<double>, label int")
+        return sorted((tuple(r) for r in embeddings.cosine_links(df).collect()), key=str)
+
+    assert found([(1, v), (1, w), (2, near_v), (3, near_w)]) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+    assert found([(1, v), (1, near_v)]) == [(1, 1, 1, True), (1, 1, 1, True)]
+    assert found([(None, v), (2, near_v), (None, lone)]) == sorted([(None, 1, 2, False), (2, 1, 2, True), (None, 0, None, True)], key=str)
+    assert found([(None, v), (None, near_v), (5, None)]) == sorted([(None, 1, None, True)] * 2 + [(5, 0, 5, True)], key=str)
+
+
 # ---- urls
 
 URLS = [

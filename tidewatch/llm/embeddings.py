@@ -14,8 +14,9 @@ Pivots are vectors drawn by hash, as many as there are cells of ``cell_vectors``
 steer only how the work is dealt, never what is compared.
 
 Defined results: a vector that is null, zero, or holds a null or a non-finite component links with nothing and stands
-alone, as does one without a label. Vectors of different length never link. Rows that repeat an id are vectors of their own that share the id's
-row in a component; a null id is left out of components. Extra columns are ignored.
+alone, as does one without a label. Vectors of different length never link. Rows that repeat an id, or have none, are vectors of
+their own: links are counted by vector, not by id, and a component is named by the smallest id in it (null where it has
+none). kept compares ids so that two nulls are equal. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -113,9 +114,14 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.93, cell_vectors: int
     usable = rows.filter(F.col("unit").isNotNull())
     # a group of copies is known by two hashes; a row per group goes on
     key = [F.xxhash64("label", "unit").alias("h1"), F.xxhash64(F.lit(5), "unit", "label").alias("h2")]
-    groups = stored_table(usable.select("vec_id", *key).groupBy("h1", "h2").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies")), "groups")
-    whole = usable.select("vec_id", "label", "unit", *key).join(groups.withColumnRenamed("vec", "vec_id"), ["h1", "h2", "vec_id"])
-    reps = stored_table(whole.dropDuplicates(["h1", "h2"]).select(F.col("vec_id").alias("vec"), "label", F.size("unit").alias("size"), "copies", "unit"), "reps")
+    groups = usable.select("vec_id", *key).groupBy("h1", "h2").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("copies"))
+    # groups have numbers of their own: ids may repeat or be missing
+    groups = stored_table(groups.withColumn("vec", F.monotonically_increasing_id()), "groups")
+    # copies are told apart by id first, so that a large group isn't gathered to pick one of it
+    lowest = groups.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "lowest", "vec", "copies")
+    same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & F.col("vec_id").eqNullSafe(F.col("lowest"))
+    whole = usable.select("vec_id", "label", "unit", *key).join(lowest, same)
+    reps = stored_table(whole.dropDuplicates(["vec"]).select("vec", "label", F.size("unit").alias("size"), "copies", "unit"), "reps")
     pivots: dict[int, np.ndarray] = {}
     for size, n, labels in reps.groupBy("size").agg(F.count("*"), F.countDistinct("label")).collect():
         wanted = min(most_pivots, ceil(n / labels / cell_vectors))
@@ -135,11 +141,12 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.93, cell_vectors: int
         dealt.repartition(*map(F.col, work)).sortWithinPartitions(*work).mapInArrow(_linked(threshold), "a long, b long, links long"), "linked"
     )
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
-    found = groups.join(counts, groups["vec"] == counts["a"], "left").join(components(links.select("a", "b")), F.col("vec") == F.col("id"), "left")
-    found = stored_table(
-        found.select("h1", "h2", F.coalesce("component", "vec").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "found"
-    )
+    placed_in = groups.join(counts, groups["vec"] == counts["a"], "left").join(components(links.select("a", "b")), F.col("vec") == F.col("id"), "left")
+    placed_in = placed_in.select("h1", "h2", "lowest", F.coalesce("component", "vec").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    placed_in = stored_table(placed_in, "found")
+    named = placed_in.groupBy("component").agg(F.min("lowest").alias("component_id"))
+    found = placed_in.join(named, "component").select("h1", "h2", "component_id", "n_links")
     known = rows.select("vec_id", F.when(F.col("unit").isNotNull(), key[0]).alias("h1"), F.when(F.col("unit").isNotNull(), key[1]).alias("h2"))
     joined = known.join(found, ["h1", "h2"], "left")
     result = joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return result.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
