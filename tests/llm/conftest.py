@@ -7,7 +7,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # names that the operators use inside
-CLASHING = ["row", "size", "turn", "key", "nth", "rep", "words", "component", "language", "mark", "due", "gid", "version", "begin", "passes", "block", "slot"]
+CLASHING = ["row", "size", "turn", "key", "nth", "rep", "words", "component", "language", "mark", "due", "gid", "version", "begin", "passes", "block", "slot",
+            "torn_row", "torn_key", "torn_head", "torn_id", "torn_rows", "torn_k1", "torn_k2", "torn_n_words", "own_id", "own_key", "a.b"]
 
 
 def odd_rows():

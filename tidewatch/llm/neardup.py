@@ -311,18 +311,17 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
         same &= rows[c] == torn[f"torn_{c}"]
     again = rows.join(torn.filter("torn_head"), same).groupBy(*[F.col(f"torn_{c}") for c in _KEY]).agg(F.count("*").alias("torn_rows")).filter("torn_rows > 1")
     again = stored_table(again, "again")
-    torn = torn.join(again, [f"torn_{c}" for c in _KEY], "left")
-    key = "torn_key"
-    keyed = docs.withColumn(key, _key(docs["text"].cast("string")))
-    fits = None
+    torn = stored_table(torn.join(again, [f"torn_{c}" for c in _KEY], "left"), "torn")
+    # the row travels as one struct, so that no column of it meets a name of ours
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(whole.alias("torn_row"), F.col("doc_id").cast("long").alias("own_id"), _key(F.col("text").cast("string")).alias("own_key"))
+    fits = F.lit(True)
     for c in _KEY:
-        own = F.col(f"{key}.{c}") == F.col(f"torn_{c}")
-        fits = own if fits is None else fits & own
-    first = F.col("torn_head") & docs["doc_id"].cast("long").eqNullSafe(F.col("torn_id"))
-    joined = keyed.join(stored_table(torn, "torn"), fits, "left")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = joined.filter(F.col("torn_head").isNull() | (first & F.col("torn_rows").isNull())).select(*columns)
+        fits &= F.col(f"own_key.{c}") == F.col(f"torn_{c}")
+    first = F.col("torn_head") & F.col("own_id").eqNullSafe(F.col("torn_id"))
+    joined = keyed.join(torn, fits, "left")
+    kept = joined.filter(F.col("torn_head").isNull() | (first & F.col("torn_rows").isNull())).select("torn_row.*")
     if again.isEmpty():
         return kept
     several = keyed.join(torn.filter("torn_rows is not null"), fits & first).dropDuplicates([f"torn_{c}" for c in _KEY])
-    return kept.unionByName(several.select(*columns))
+    return kept.unionByName(several.select("torn_row.*"))
