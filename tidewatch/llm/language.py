@@ -240,10 +240,12 @@ def train(
     sizes = {r["label"]: r["n"] for r in rows.groupBy(F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return _Nothing()
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # by id and text, so that rows without an id, or of one id, have draws of their own; rows that repeat both are one
+    rows = rows.select(F.col(label).cast("string").alias(label), F.col(text).cast("string").alias(text), F.coalesce(F.col(key).cast("string"), F.lit("")).alias(key))
+    draw = F.pmod(F.xxhash64(key, text, F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, sample_docs / n))])
     picked = rows.select(F.col(label).cast("string").alias("label"), F.substring(F.col(text), 1, sample_chars).alias("text"), draw.alias("draw"))
-    picked = picked.filter(F.col("draw") < share[F.col("label")])
+    picked = picked.filter(F.col("draw") < share[F.col("label")]).distinct()
     fit: dict[str, list[str]] = {}
     check: dict[str, list[str]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["label"], r["draw"], r["text"])):

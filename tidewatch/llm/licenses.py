@@ -235,10 +235,11 @@ def _joined(words: np.ndarray, pairs: np.ndarray, first: np.ndarray, row: np.nda
 
 def train(docs: DataFrame, sample_docs: int = 600, sample_chars: int = 4000) -> LicenceModel:
     n = docs.count()
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("licence")), F.lit(1 << 30))
+    # by id and text: rows without an id, or of one id, have draws of their own; rows that repeat both are one
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.lit("licence")), F.lit(1 << 30))
     share = min(1.0, sample_docs / max(n, 1))
     rows = docs.filter(draw < int(share * (1 << 30))).select(draw.alias("d"), F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("t"))
-    rows = sorted(rows.limit(4 * sample_docs).collect())  # of ids that repeat without end
+    rows = sorted(rows.distinct().collect())  # about sample_docs, whatever repeats
     return LicenceModel([line for r in rows for line in r["t"].split("\n") if line.strip()])
 
 
