@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.config import Settings
-from tidewatch.detectors.ewma import EwmaBaseline
+from tidewatch.detectors.ewma import EwmaBaseline, EwmaState
 from tidewatch.operators.correlate import correlate, join_conn_ssl
 from tidewatch.operators.kpi import recent_alerts
 from tidewatch.operators.ledger import block_ledger
@@ -59,6 +59,61 @@ def test_ewma_equals_a_loop(spark, blocks):
     assert np.allclose(end.mean, mean, rtol=1e-10) and np.allclose(end.var, var, rtol=1e-8, atol=1e-12) and end.n == 700
 
 
+@pytest.mark.parametrize("blocks", [1, 13])
+def test_every_entity_has_its_own_baseline_and_buffer(spark, blocks, monkeypatch):
+    """One entity of a third of all rows, many short ones, one without a name; states composed three at a time over several levels."""
+    from tidewatch.operators import ordered, scan
+
+    monkeypatch.setattr(scan.carried, "__defaults__", (None, 3))
+    monkeypatch.setattr(scan.outcome, "__defaults__", (None, 3))
+    if blocks == 13:
+        monkeypatch.setattr(ordered, "_BROADCAST_BLOCKS", 2)
+    rng = np.random.default_rng(7)
+    names = ["hot"] * 500 + ["warm"] * 80 + [None] * 45 + [f"e{i % 150}" for i in range(875)]
+    rng.shuffle(names)
+    x = np.column_stack([rng.lognormal(3, 2, 1500), rng.integers(0, 3, 1500) * 1e6])
+    rows = [(f"u{i:04d}", at(i // 3), e, *map(float, r)) for i, (e, r) in enumerate(zip(names, x, strict=True))]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "uid string, ts timestamp, e string, a double, b double").repartition(5)
+    ordered_rows = ordered_blocks(df, blocks=blocks, entity=("e",))
+    assert len(ordered_rows.sizes) == blocks
+    scored = {r.uid: r.statistical_score for r in EwmaBaseline(features=("a", "b")).score_entities(ordered_rows).collect()}
+    held = {r.uid: r.buffered for r in ordered.entity_counts(ordered_rows).collect()}
+    for entity in set(names):
+        own = [i for i, e in enumerate(names) if e == entity]
+        expected = sequential(x[own])[0]
+        assert np.allclose([scored[f"u{i:04d}"] for i in own], expected, rtol=0, atol=1e-9)
+        assert [held[f"u{i:04d}"] for i in own] == [min(k + 1, 10) for k in range(len(own))]
+
+
+@pytest.mark.parametrize("blocks", [1, 13])
+def test_scans_of_more_blocks_than_one_task_composes(spark, blocks, monkeypatch):
+    """The same numbers whether states are composed at once or level by level, joined by broadcast or by a merge; a lead-in counts."""
+    from tidewatch.operators import ordered, scan
+
+    rng = np.random.default_rng(3)
+    rows = [(f"u{i:03d}", at(i), float(v), float(v * v)) for i, v in enumerate(rng.normal(size=200))]
+    df = spark.createDataFrame(rows, "uid string, ts timestamp, a double, b double").repartition(4)
+    detector, start = EwmaBaseline(features=("a", "b")), EwmaState(40, [1.0, 2.0], [0.5, 0.25])
+
+    def run():
+        own = ordered_blocks(df, blocks=blocks)
+        scored, end = detector.score(own, start)
+        tails = own.tails(own.tail_elements(9, ["a"]), 9, 1, [[7.0], [8.0]])
+        before = {r["block"]: r["acc"] for r in tails[0].collect()}
+        places = sorted((r["uid"], r["_position"]) for r in own.with_position().collect())
+        return sorted((r.uid, round(r.statistical_score, 9)) for r in scored.collect()), np.round(end.mean + end.var, 9).tolist(), before, tails[1], places
+
+    at_once = run()
+    monkeypatch.setattr(scan.carried, "__defaults__", (None, 3))
+    monkeypatch.setattr(scan.outcome, "__defaults__", (None, 3))
+    monkeypatch.setattr(ordered, "_BROADCAST_BLOCKS", 0)
+    assert run() == at_once
+    values = [7.0, 8.0] + [r[2] for r in rows]
+    assert at_once[3] == [[v] for v in values[-9:]] and at_once[2][0] == [7.0, 8.0]
+    assert at_once[4] == [(f"u{i:03d}", i) for i in range(200)]
+
+
 def test_copies_of_one_record_spread_over_blocks(spark):
     """A third of all rows being one and the same record does not end in one block."""
     df = spark.range(3000).select(
@@ -71,7 +126,7 @@ def test_copies_of_one_record_spread_over_blocks(spark):
 def test_block_count():
     from tidewatch.operators.ordered import block_count
 
-    assert block_count(1000, 8) == 8 and block_count(10**9, 8) == 101 and block_count(10**12, 200) == 20_000
+    assert block_count(1000, 8) == 8 and block_count(10**9, 8) == 101 and block_count(10**12, 200) == 100_001
 
 
 # ---- windows

@@ -12,11 +12,12 @@ from tidewatch.catalog.registry import query
 from tidewatch.catalog.views import view
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.detectors.ewma import EwmaBaseline
+from tidewatch.functions.flow_features import with_features
 from tidewatch.functions.fixed_values import FEATURE_NAMES
 from tidewatch.operators import kpi, sampling, statistics
 from tidewatch.operators.intel import threat_table
 from tidewatch.operators.ledger import active_blocks, block_ledger, blocked_count, blocking_events
-from tidewatch.operators.ordered import ordered_blocks, sliding_windows, trailing_counts
+from tidewatch.operators.ordered import entity_counts, ordered_blocks, sliding_windows, trailing_counts
 from tidewatch.operators.risk import identities
 
 # ---- totals and breakdowns
@@ -204,6 +205,18 @@ def w2(spark, sf) -> DataFrame:
     return scored.select("uid", F.round("statistical_score", 6).alias("statistical_score"))
 
 
+@query(
+    "w2_stat_entity",
+    "select n.uid, n.entity, round(s.score, 6) as statistical_score from {service_rows} n join {service_score} s on n.rn = s.rn and n.entity = s.entity",
+)
+def w2_entity(spark, sf) -> DataFrame:
+    """A baseline of its own for every service; each has many more rows than a block's share."""
+    rows = with_features(view(spark, sf, "conn"))
+    service = F.concat(F.col("proto"), F.lit(":"), F.col("id_resp_p").cast("string")).alias("entity")
+    blocks = ordered_blocks(rows.select("uid", "ts", service, *FEATURE_NAMES), entity=("entity",))
+    return EwmaBaseline().score_entities(blocks).select("uid", "entity", F.round("statistical_score", 6).alias("statistical_score"))
+
+
 _LAST_STATE = "select feature, rn + 1 as flows, round(mean_after, 4) as mean, round(ln(1 + var_after), 6) as ln_var from {ewma_var} where rn = (select max(rn) from {ewma_rows})"
 
 
@@ -240,6 +253,17 @@ def w4(spark, sf) -> DataFrame:
     return held.select("uid", "buffered", F.when(F.col("buffered") < 10, F.lit(0.5)).alias("untrained_score"))
 
 
+@query(
+    "w4_entity_buffer",
+    """select uid, id_orig_h, least(rn, 10) as buffered, case when rn < 10 then cast(0.5 as double) end as untrained_score
+ from (select uid, id_orig_h, row_number() over (partition by id_orig_h order by ts, uid) as rn from {conn}) t""",
+)
+def w4_entity(spark, sf) -> DataFrame:
+    conn = view(spark, sf, "conn").select("uid", "ts", "id_orig_h")
+    held = entity_counts(ordered_blocks(conn, entity=("id_orig_h",)), DEFAULTS.sequence_length)
+    return held.select("uid", "id_orig_h", "buffered", F.when(F.col("buffered") < 10, F.lit(0.5)).alias("untrained_score"))
+
+
 def _activity_rows(spark, sf) -> DataFrame:
     t = view(spark, sf, "conn")
     who = identities(t)

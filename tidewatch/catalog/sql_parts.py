@@ -184,3 +184,14 @@ select rn, case when rn < 30 then 0 else least(1, greatest(0,
  cast(0.6 as double) * avg(case when z > 3.5 then 1 else 0 end) + cast(0.4 as double) * least(1, greatest(0, max(z) / 10.5)))) end as score
 from {ewma_z} group by rn""",
 }
+
+# the same recurrences with a baseline for each service (protocol and destination port)
+_OVER = "partition by feature"
+PARTS["service_rows"] = """
+select row_number() over (partition by entity order by ts, uid) - 1 as rn, * from (
+ select f.*, c.proto || ':' || cast(c.id_resp_p as varchar) as entity from {features} f join {conn} c on c.uid = f.uid) t"""
+PARTS["service_long"] = " union all ".join(f"select rn, entity, '{n}' as feature, {n} as x from {{service_rows}}" for n in FEATURE_NAMES)
+for _part, _source in (("mean", "long"), ("delta", "mean"), ("var", "delta"), ("z", "var")):
+    _text = PARTS[f"ewma_{_part}"].replace(_OVER, "partition by entity, feature").replace(f"{{ewma_{_source}}}", f"{{service_{_source}}}")
+    PARTS[f"service_{_part}"] = _text.replace("select rn,", "select rn, entity,")
+PARTS["service_score"] = PARTS["ewma_score"].replace("{ewma_z}", "{service_z}").replace("select rn,", "select rn, entity,").replace("group by rn", "group by rn, entity")

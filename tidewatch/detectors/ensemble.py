@@ -66,8 +66,8 @@ class DetectorSet:
         tail: list[list[float]] = []
         if self.sequence is not None:
             names, halo = self.sequence.features, self.sequence.length - 1
-            before, tail = ordered.tails(halo, names, lead)
-            scored = self.sequence.transform(OrderedBlocks(scored, ordered.sizes), before)
+            before, tail = ordered.tails(ordered.tail_elements(halo, names), halo, len(names), lead)
+            scored = self.sequence.transform(OrderedBlocks(scored, ordered.blocks), before)
         return self.transform_local(scored.drop("_block", "_row")), after, tail
 
     def top_features(self, n: int = 3) -> list[tuple[str, float]]:

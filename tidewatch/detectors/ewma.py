@@ -8,7 +8,8 @@ first row ``r`` and which starts from mean ``m`` and variance ``v`` (``u = m - r
     var  = q^n v + A - 2 u B + u^2 q^n (1 - q^n)
 
 where S, A and B come from running the block from mean ``r`` alone. One pass summarises all blocks
-in parallel, the driver chains one small row per block, one pass scores all blocks in parallel.
+in parallel, summaries of neighbours are composed in a tree (``operators/scan.py``), one pass scores all blocks in parallel. Over
+blocks ordered by entity the same passes keep a baseline per entity, however many blocks one spans.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from pyspark.sql import types as T
 
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.functions.fixed_values import FEATURE_NAMES
-from tidewatch.operators.ordered import OrderedBlocks
+from tidewatch.operators.ordered import OrderedBlocks, carried_in, segments, summaries, without_carry
+from tidewatch.operators.scan import ELEMENT, carried, outcome
+from tidewatch.sources.storage import materialise
 
 _EPSILON = 1e-8
 _CHUNK = 256
@@ -64,87 +67,102 @@ def _chunks(x: np.ndarray):
         yield x[at : at + _CHUNK]
 
 
+class _Summary:
+    """What rows do to any state they start from: (n, r, s, a, b) as one array."""
+
+    def __init__(self, reference: np.ndarray) -> None:
+        self.n, self.r = 0, reference
+        self.s, self.a, self.total = (np.zeros(len(reference)) for _ in range(3))
+
+
 def _summarise(alpha: float, names: list[str]):
-    def run(batches):
-        past, decay = _kernels(alpha)
-        q = 1.0 - alpha
-        block, n, r = None, 0, None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = matrix(batch, names)
-            if r is None:
-                block, r = batch.column(batch.schema.get_field_index("_block"))[0].as_py(), x[0].copy()
-                s, a, total = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
-            for c in _chunks(x):
-                m = len(c)
-                y = c - r
-                d = y - (past[:m, :m] @ y + decay[:m, None] * s)
-                s = decay[m] * s + alpha * (decay[m - 1 :: -1][:m] @ y)
-                a = decay[m] * a + alpha * (decay[m:0:-1] @ (d * d))
-                total = total + d.sum(axis=0)
-                n += m
-        if r is not None:
-            b = alpha * q**n * total
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array([block], pa.int32()),
-                    "n": pa.array([n], pa.int64()),
-                    **{k: pa.array([v.tolist()], pa.list_(pa.float64())) for k, v in (("r", r), ("s", s), ("a", a), ("b", b))},
-                }
-            )
+    past, decay = _kernels(alpha)
+    q = 1.0 - alpha
 
-    return run
+    def fresh(batch: pa.RecordBatch, at: int) -> _Summary:
+        return _Summary(matrix(batch.slice(at, 1), names)[0])
 
+    def add(own: _Summary, batch: pa.RecordBatch, begin: int, end: int) -> None:
+        for c in _chunks(matrix(batch.slice(begin, end - begin), names)):
+            m = len(c)
+            y = c - own.r
+            d = y - (past[:m, :m] @ y + decay[:m, None] * own.s)
+            own.s = decay[m] * own.s + alpha * (decay[m - 1 :: -1][:m] @ y)
+            own.a = decay[m] * own.a + alpha * (decay[m:0:-1] @ (d * d))
+            own.total = own.total + d.sum(axis=0)
+            own.n += m
 
-_SUMMARY = "block int, n bigint, r array<double>, s array<double>, a array<double>, b array<double>"
+    def done(own: _Summary) -> np.ndarray:
+        return np.concatenate([[own.n], own.r, own.s, own.a, alpha * q**own.n * own.total])
 
+    return lambda batches: summaries(batches, fresh, add, done)
 
-def _chain(summaries, alpha: float, start: EwmaState) -> tuple[dict[int, EwmaState], EwmaState]:
-    """State each block starts from, and the state after the last."""
+
+def _parts(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return x[0], *np.split(x[1:], 4)
+
+
+def _composed(alpha: float):
+    """Summary of rows y after rows x, for starts relative to the reference of x."""
     q = 1.0 - alpha
-    starts: dict[int, EwmaState] = {}
-    state = start
-    for row in sorted(summaries, key=lambda r: r["block"]):
-        r, s, a, b = (np.array(row[k]) for k in ("r", "s", "a", "b"))
-        if state.n == 0:
-            # the first flow sets the mean; starting from that mean is the same thing
-            state = EwmaState(0, r.tolist(), [0.0] * len(r))
-        starts[row["block"]] = state
-        u, qn = np.array(state.mean) - r, q ** row["n"]
-        mean = r + s + qn * u
-        var = qn * np.array(state.var) + a - 2 * u * b + u * u * qn * (1 - qn)
-        state = EwmaState(state.n + row["n"], mean.tolist(), np.maximum(var, 0.0).tolist())
-    return starts, state
-
-
-def _score(alpha: float, z_limit: float, warmup: int, names: list[str], starts: dict[int, tuple]):
+
+    def compose(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        (n, r, s, a, b), (m, t, u, c, e) = _parts(x), _parts(y)
+        f, g = q**n, q**m
+        gap = r + s - t  # from the reference of y to the mean that x ends at
+        mean = t - r + u + g * gap
+        free = g * a + c - 2 * gap * e + gap * gap * g * (1 - g)
+        slope = g * b + f * e - gap * f * g * (1 - g)
+        return np.concatenate([[n + m], r, mean, free, slope])
+
+    return compose
+
+
+def _applied(alpha: float, own: np.ndarray, state: EwmaState) -> EwmaState:
+    """The state after the summarised rows."""
+    n, r, s, a, b = _parts(own)
+    # the first flow sets the mean; starting from that mean is the same thing
+    mean, var = (r, np.zeros(len(r))) if state.n == 0 else (np.array(state.mean), np.array(state.var))
+    u, qn = mean - r, (1.0 - alpha) ** n
+    after = qn * var + a - 2 * u * b + u * u * qn * (1 - qn)
+    return EwmaState(state.n + int(n), (r + s + qn * u).tolist(), np.maximum(after, 0.0).tolist())
+
+
+def _score(alpha: float, z_limit: float, warmup: int, names: list[str], start: EwmaState):
     def run(batches):
         past, decay = _kernels(alpha)
         q = 1.0 - alpha
-        state = None
+        block = entity = None
+        n, mean, var = 0, None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = matrix(batch, names)
-            if state is None:
-                state = starts[batch.column(batch.schema.get_field_index("_block"))[0].as_py()]
-                n, mean, var = state[0], np.array(state[1]), np.array(state[2])
-            scores = []
-            for c in _chunks(x):
-                m = len(c)
-                y = c - mean
-                d = y - past[:m, :m] @ y
-                d2 = d * d
-                v = decay[:m, None] * var + q * (past[:m, :m] @ d2)
-                z = np.abs(d) / np.sqrt(v + _EPSILON)
-                combined = 0.6 * (z > z_limit).mean(axis=1) + 0.4 * np.clip(z.max(axis=1) / (z_limit * 3), 0, 1)
-                warm = np.arange(n, n + m) >= warmup
-                scores.append(np.where(warm, np.clip(combined, 0.0, 1.0), 0.0))
-                mean = mean + alpha * (decay[m - 1 :: -1][:m] @ y)
-                var = decay[m] * var + alpha * (decay[m:0:-1] @ d2)
-                n += m
-            yield batch.append_column("statistical_score", pa.array(np.concatenate(scores)))
+            cuts, blocks, entities = segments(batch)
+            x, scores = matrix(batch, names), np.zeros(batch.num_rows)
+            for k, (begin, end) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if blocks[begin] != block or entities[k] != entity:
+                    before = carried_in(batch, begin, entities[k]) if blocks[begin] != block else None
+                    state = _applied(alpha, before, start) if before is not None else start
+                    n, mean, var = state.n, np.array(state.mean), np.array(state.var)
+                    if n == 0:
+                        mean, var = x[begin].copy(), np.zeros(len(names))
+                    block, entity = blocks[begin], entities[k]
+                    if n + end - begin <= warmup and k < len(entities) - 1:
+                        continue  # an entity that ends here before it is warm: all zero
+                for c in _chunks(x[begin:end]):
+                    m = len(c)
+                    y = c - mean
+                    d = y - past[:m, :m] @ y
+                    d2 = d * d
+                    v = decay[:m, None] * var + q * (past[:m, :m] @ d2)
+                    z = np.abs(d) / np.sqrt(v + _EPSILON)
+                    combined = 0.6 * (z > z_limit).mean(axis=1) + 0.4 * np.clip(z.max(axis=1) / (z_limit * 3), 0, 1)
+                    warm = np.arange(n, n + m) >= warmup
+                    scores[begin : begin + m] = np.where(warm, np.clip(combined, 0.0, 1.0), 0.0)
+                    mean = mean + alpha * (decay[m - 1 :: -1][:m] @ y)
+                    var = decay[m] * var + alpha * (decay[m:0:-1] @ d2)
+                    n, begin = n + m, begin + m
+            yield without_carry(batch).append_column("statistical_score", pa.array(scores))
 
     return run
 
@@ -154,20 +172,36 @@ class EwmaBaseline:
     settings: Settings = DEFAULTS
     features: tuple[str, ...] = tuple(FEATURE_NAMES)
 
-    def _summaries(self, blocks: OrderedBlocks):
-        slim = blocks.rows.select("_block", *self.features)
-        return slim.mapInArrow(_summarise(self.settings.ewma_alpha, list(self.features)), _SUMMARY).collect()
+    def _summaries(self, blocks: OrderedBlocks) -> DataFrame:
+        slim = blocks.rows.select("_block", *(["_entity"] if blocks.by_entity else []), *self.features)
+        return materialise(slim.mapInArrow(_summarise(self.settings.ewma_alpha, list(self.features)), ELEMENT))
 
     def fit(self, blocks: OrderedBlocks, start: EwmaState | None = None) -> EwmaState:
         """Baseline after running over the rows (pre-warming on benign traffic)."""
-        return _chain(self._summaries(blocks), self.settings.ewma_alpha, start or EwmaState())[1]
+        return self._end(self._summaries(blocks), blocks, start or EwmaState())
+
+    def _end(self, elements: DataFrame, blocks: OrderedBlocks, start: EwmaState) -> EwmaState:
+        alpha = self.settings.ewma_alpha
+        own = outcome(elements, blocks.blocks, _composed(alpha))[1]
+        return start if own is None else _applied(alpha, own, start)
 
     def score(self, blocks: OrderedBlocks, start: EwmaState | None = None) -> tuple[DataFrame, EwmaState]:
-        """Rows with ``statistical_score``, and the baseline after the last row. The start states
-        shipped to the tasks are two numbers per feature and block."""
+        """Rows with ``statistical_score``, and the baseline after the last row. Over blocks ordered by entity every entity
+        has a baseline of its own, each from ``start``; see ``score_entities``."""
+        start = start or EwmaState()
+        elements = self._summaries(blocks)
+        end = self._end(elements, blocks, start)
+        return self._scored(elements, blocks, start), end
+
+    def score_entities(self, blocks: OrderedBlocks) -> DataFrame:
+        """Rows with ``statistical_score`` against the baseline of their own entity."""
+        if not blocks.by_entity:
+            raise ValueError("order the blocks by entity")
+        return self._scored(self._summaries(blocks), blocks, EwmaState())
+
+    def _scored(self, elements: DataFrame, blocks: OrderedBlocks, start: EwmaState) -> DataFrame:
         s = self.settings
-        starts, end = _chain(self._summaries(blocks), s.ewma_alpha, start or EwmaState())
-        plain = {block: (at.n, at.mean, at.var) for block, at in starts.items()}
-        run = _score(s.ewma_alpha, s.ewma_z, s.ewma_warmup, list(self.features), plain)
+        before = carried(elements, blocks.blocks, _composed(s.ewma_alpha))
+        run = _score(s.ewma_alpha, s.ewma_z, s.ewma_warmup, list(self.features), start)
         schema = T.StructType([*blocks.rows.schema.fields, T.StructField("statistical_score", T.DoubleType())])
-        return blocks.rows.mapInArrow(run, schema), end
+        return blocks.beside(before).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.detectors.ewma import matrix
 from tidewatch.functions.fixed_values import FEATURE_NAMES
-from tidewatch.operators.ordered import OrderedBlocks, ordered_blocks
+from tidewatch.operators.ordered import OrderedBlocks, carried_in, ordered_blocks, segments, without_carry
 from tidewatch.operators.sampling import split_by_block
 from tidewatch.operators.statistics import collect_moments, exact_percentile
 from tidewatch.sources.storage import materialise
@@ -46,40 +46,48 @@ class SequenceModel:
         p = np.array(self.components)
         return lambda w: (w @ p) @ p.T
 
-    def _with_error(self, blocks: OrderedBlocks, before: dict[int, list[list[float]]] | None) -> DataFrame:
+    def _with_error(self, blocks: OrderedBlocks, before: DataFrame | None) -> DataFrame:
         """Append ``_mse`` of the window that ends at each row; NULL while fewer rows came before."""
         rebuild, length, names = self._rebuild(), self.length, self.features
         mean, std = np.array(self.mean), np.array(self.std)
         if before is None:
-            before = blocks.tails(length - 1, names)[0]
+            before = blocks.tails(blocks.tail_elements(length - 1, names), length - 1, len(names))[0]
+
+        def scaled(x: np.ndarray) -> np.ndarray:
+            return np.nan_to_num((x - mean) / std, nan=0.0, posinf=0.0, neginf=0.0)
 
         def run(batches):
-            tail = None
+            block = entity = None
+            nothing = np.zeros((0, len(names)))
+            tail = nothing
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                if tail is None:
-                    block = batch.column(batch.schema.get_field_index("_block"))[0].as_py()
-                    tail = np.array(before.get(block) or [], dtype=np.float64).reshape(-1, len(names))
-                    tail = np.nan_to_num((tail - mean) / std, nan=0.0, posinf=0.0, neginf=0.0)
-                x = np.nan_to_num((matrix(batch, names) - mean) / std, nan=0.0, posinf=0.0, neginf=0.0)
-                joined = np.vstack([tail, x])
-                out = np.full(len(x), np.nan)
-                if len(joined) >= length:
-                    windows = np.lib.stride_tricks.sliding_window_view(joined, length, axis=0)
-                    first = len(x) - len(windows)
-                    for at in range(0, len(windows), 1024):
-                        w = windows[at : at + 1024].transpose(0, 2, 1).reshape(-1, length * len(names))
-                        out[first + at : first + at + len(w)] = ((w - rebuild(w)) ** 2).mean(axis=1)
-                yield batch.append_column("_mse", pa.array(out, mask=np.isnan(out)))
-                tail = joined[len(joined) - min(length - 1, len(joined)) :]
+                cuts, numbers, entities = segments(batch)
+                x, out = scaled(matrix(batch, names)), np.full(batch.num_rows, np.nan)
+                for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                    if numbers[a] != block:
+                        held = carried_in(batch, a, entities[k])
+                        tail = nothing if held is None else scaled(held.reshape(-1, len(names)))
+                    elif entities[k] != entity:
+                        tail = nothing
+                    block, entity = numbers[a], entities[k]
+                    joined = np.vstack([tail, x[a:b]])
+                    if len(joined) >= length:
+                        windows = np.lib.stride_tricks.sliding_window_view(joined, length, axis=0)
+                        first = b - len(windows)
+                        for at in range(0, len(windows), 1024):
+                            w = windows[at : at + 1024].transpose(0, 2, 1).reshape(-1, length * len(names))
+                            out[first + at : first + at + len(w)] = ((w - rebuild(w)) ** 2).mean(axis=1)
+                    tail = joined[len(joined) - min(length - 1, len(joined)) :]
+                yield without_carry(batch).append_column("_mse", pa.array(out, mask=np.isnan(out)))
 
         schema = T.StructType([*blocks.rows.schema.fields, T.StructField("_mse", T.DoubleType())])
-        return blocks.rows.mapInArrow(run, schema)
+        return blocks.beside(before).mapInArrow(run, schema)
 
-    def transform(self, blocks: OrderedBlocks, before: dict[int, list[list[float]]] | None = None) -> DataFrame:
-        """Rows with ``sequence_score``: error over threshold, at most 1; 0.5 without a full window.
-        ``before``: rows preceding each block, when they have been read already."""
+    def transform(self, blocks: OrderedBlocks, before: DataFrame | None = None) -> DataFrame:
+        """Rows with ``sequence_score``: error over threshold, at most 1; 0.5 without a full window. Over blocks ordered by
+        entity, windows are of one entity. ``before``: what comes before each block, when it is known already."""
         # least() skips NULLs, so rows without a window are told apart first
         capped = F.least(F.lit(1.0), F.col("_mse") / F.lit(self.threshold))
         score = F.when(F.col("_mse").isNull(), F.lit(0.5)).otherwise(capped)
