@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.catalog import inputs
 from tidewatch.catalog.registry import query
 from tidewatch.catalog.relational import _J2_SQL, j2_columns
-from tidewatch.catalog.reports import _CHAIN, _DAY_US, _LAST_STATE, baseline_rows
+from tidewatch.catalog.reports import _CHAIN, _DAY_US, _LAST_STATE, _MANUAL, baseline_rows
 from tidewatch.catalog.views import VIEWS, view
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.detectors.ensemble import DetectorSet, fit_detectors
@@ -30,9 +30,10 @@ from tidewatch.sources.sinks import write_by_day, write_json
 from tidewatch.sources.storage import materialise, scratch_path, spread
 from tidewatch.sources.training import read_training_csv
 from tidewatch.streaming.correlate import correlate_early, correlate_stream
+from tidewatch.streaming.ledger import ledger_stream
 from tidewatch.streaming.live import LiveScoring, live_flows
 from tidewatch.streaming.reports import dedup_stream, flow_rate_stream, new_fingerprints, source_activity_stream
-from tidewatch.streaming.run import drain_to_table
+from tidewatch.streaming.run import drain_in_turn, drain_to_table
 
 
 def _us(c: str):
@@ -399,6 +400,34 @@ def w7_resumed(spark, sf) -> DataFrame:
     return first.unionByName(second.filter(~F.col("carried"))).drop("carried")
 
 
+def arrivals(rows: DataFrame, parts: int, late_seconds: int) -> list[DataFrame]:
+    """A table in parts by time, as it would arrive: of the rows of a part's last ``late_seconds`` every seventh comes with the next."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = rows.agg(F.min(us).alias("low"), F.max(us).alias("high")).first()
+    width = ((bounds["high"] or 0) - (bounds["low"] or 0)) // parts + 1
+    at = us - F.lit(bounds["low"] or 0)
+    late = (F.pmod(F.xxhash64("uid"), F.lit(7)) == 0) & (at % width >= width - late_seconds * 1_000_000)
+    part = F.least(F.floor(at / width) + late.cast("int"), F.lit(parts - 1))
+    return [rows.filter(part == k) for k in range(parts)]
+
+
+@query("w7_stream_ledger", _MANUAL.replace("@D", str(_DAY_US)))
+def w7_stream(spark, sf) -> DataFrame:
+    """Alerts and manual actions arrive in five parts, some of them late; the ledger is keyed state with a timer per address."""
+    alerts = blocking_events(inputs.scored(spark, sf)).withColumn("action", F.lit(None).cast("string"))
+    acts = view(spark, sf, "actions").select("ip", F.col("ts"), F.concat(F.lit("manual-"), "ip").alias("uid"), F.lit(None).cast("int").alias("score"), "action")
+    rows = materialise(alerts.select("ip", F.col("ts").cast("timestamp").alias("ts"), "uid", F.col("score").cast("int").alias("score"), "action").unionByName(acts.withColumn("ts", F.col("ts").cast("timestamp"))))
+    # an event of no address, so late that all blocks are over
+    end = rows.agg(F.max("ts").alias("ts")).select(F.lit("").alias("ip"), (F.col("ts") + F.expr("interval 10 days")).alias("ts"), F.lit("").alias("uid"), F.lit(0).alias("score"), F.lit(None).cast("string").alias("action"))
+    *parts, last = arrivals(rows, 5, 36_000)
+
+    def ledger(stream: DataFrame) -> DataFrame:
+        events = stream.filter("action is null").select("ip", "ts", "uid", "score")
+        return ledger_stream(events, stream.filter("action is not null").select("ip", "ts", "action"), Settings(block_seconds=86400), delay_seconds=86_400)
+
+    return drain_in_turn([*parts, last.unionByName(end)], ledger, "stream-ledger").filter("ip <> ''")
+
+
 @query("stat_stream_carry", "select n.uid, round(s.score, 6) as statistical_score from {ewma_rows} n join {ewma_score} s on n.rn = s.rn")
 def stat_carry(spark, sf) -> DataFrame:
     """Two runs in event order, the second starting from the saved baseline of the first."""

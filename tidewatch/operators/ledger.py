@@ -7,8 +7,12 @@ Alerts are handled before manual actions of the same instant.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +40,28 @@ def _us(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def alert_starts(events: DataFrame) -> DataFrame:
+    """(ip, t, kind, uid, score) of the alerts that can open a block."""
+    return events.select("ip", _us(F.col("ts")).alias("t"), F.lit(_ALERT).alias("kind"), "uid", "score")
+
+
+def manual_starts(actions: DataFrame) -> DataFrame:
+    return actions.filter(F.col("action") == "block").select(
+        "ip", _us(F.col("ts")).alias("t"), F.lit(_MANUAL).alias("kind"), F.lit("").alias("uid"), F.lit(MANUAL_SCORE).alias("score")
+    )
+
+
+def manual_unblocks(actions: DataFrame) -> DataFrame:
+    return actions.filter(F.col("action") == "unblock").select(
+        "ip", _us(F.col("ts")).alias("t"), F.lit(_UNBLOCK).alias("kind"), F.lit("").alias("uid"), F.lit(0).alias("score")
+    )
+
+
 def _starts(events: DataFrame, actions: DataFrame | None, open_blocks: DataFrame | None) -> DataFrame:
     """Everything that can open a block, one row per address and instant (combined on the map side)."""
-    rows = events.select("ip", _us(F.col("ts")).alias("t"), F.lit(_ALERT).alias("kind"), "uid", "score")
+    rows = alert_starts(events)
     if actions is not None:
-        manual = actions.filter(F.col("action") == "block").select(
-            "ip", _us(F.col("ts")).alias("t"), F.lit(_MANUAL).alias("kind"),
-            F.lit("").alias("uid"), F.lit(MANUAL_SCORE).alias("score"),
-        )
-        rows = rows.unionByName(manual)
+        rows = rows.unionByName(manual_starts(actions))
     if open_blocks is not None:
         carried = open_blocks.select(
             "ip", F.col("start_us").alias("t"), F.lit(_CARRIED).alias("kind"), F.col("source").alias("uid"), "score"
@@ -70,36 +87,81 @@ def _ends(t: int, duration: int, unblocks: np.ndarray) -> tuple[int, bool]:
     return t + duration, False
 
 
-def _walk(duration: int):
-    """Runs over rows sorted by (ip, t, kind) and holds one open block, so neither the number of
-    addresses nor the rows of one address cost memory or per-group overhead."""
-    names = ["ip", "start_us", "expiry_us", "end_us", "score", "source", "ended_by", "carried"]
-
-    def run(batches):
-        ip = block = None  # block: (start, score, source, carried)
+def next_starts(ip: np.ndarray, t: np.ndarray, kind: np.ndarray, duration: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For rows in order of (ip, t, kind), ``ip`` being numbers that grow: the starts among them, and for each, if it opens a block, the end
+    of it, whether an unblock ends it, and the place (among the starts) of the next one that opens a block; that of another address, or
+    beyond the last, if there is none. All by search in sorted arrays."""
+    starts, unblocks = np.flatnonzero(kind != _UNBLOCK), np.flatnonzero(kind == _UNBLOCK)
+    low = int(t.min()) if len(t) else 0
+    stride = (int(t.max()) - low if len(t) else 0) + duration + 2
+    if len(ip) and (int(ip[-1]) + 1) * stride >= 2**62:
+        raise OverflowError("too many addresses for one batch")
+    clock = ip * stride + (t - low)
+    end, cut = t[starts] + duration, np.zeros(len(starts), dtype=bool)
+    after = np.searchsorted(clock[starts], clock[starts] + duration, "left")
+    if len(unblocks):
+        place = np.searchsorted(unblocks, starts, "right")  # the next unblock, those of the same instant come after a start
+        own = np.minimum(place, len(unblocks) - 1)
+        cut = (place < len(unblocks)) & (clock[unblocks[own]] < clock[starts] + duration)
+        end = np.where(cut, t[unblocks[own]], end)
+        after = np.where(cut, np.searchsorted(starts, unblocks[own], "right"), after)
+    return starts, end, cut, after
+
+
+def opened(ip: np.ndarray, starts: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Which starts open a block: the first of each address, and from there on pointer by pointer, all addresses at once."""
+    owner = ip[starts]
+    at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(starts) else starts
+    found = [at]
+    while len(at):
+        beyond = after[at]
+        kept = np.flatnonzero(beyond < len(starts))
+        kept = kept[owner[beyond[kept]] == owner[at[kept]]]
+        at = beyond[kept]
+        found.append(at)
+    return np.sort(np.concatenate(found))
 
-        def closed(end: int, ended_by: str) -> tuple:
-            start, score, source, carried = block
-            return ip, start, start + duration, end, score, source, ended_by, carried
 
+def _walk(duration: int):
+    """Runs over rows sorted by (ip, t, kind) and holds one open block, so neither the number of addresses nor the rows of one
+    address cost memory, and time in Python goes by blocks, not by rows."""
+    fields = [f.split()[0] for f in LEDGER_SCHEMA.split(", ")]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
+    inputs = pa.schema([("ip", pa.string()), ("t", pa.int64()), ("kind", pa.int32()), ("uid", pa.string()), ("score", pa.int32())])
+
+    def blocks(rows: pa.RecordBatch, more: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+        """Blocks that are over, and as a row the one that later rows may still bear on."""
+        names, t, kind = rows.column(0), rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        new = np.ones(len(names), dtype=bool)
+        new[1:] = pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)).to_numpy(zero_copy_only=False) if len(names) else []
+        ip = np.cumsum(new) - 1
+        starts, end, cut, after = next_starts(ip, t, kind, duration)
+        own = opened(ip, starts, after)
+        held = rows.slice(0, 0)
+        if more and len(own) and ip[starts[own[-1]]] == ip[-1] and not cut[own[-1]] and end[own[-1]] > t[-1]:
+            held, own = rows.slice(int(starts[own[-1]]), 1), own[:-1]
+        taken = rows.take(pa.array(starts[own]))
+        kinds = kind[starts[own]]
+        source = [u if k == _CARRIED else ("auto" if k == _ALERT else "manual") for u, k in zip(taken.column(3).to_pylist(), kinds.tolist(), strict=True)]
+        begin = t[starts[own]]
+        columns = [taken.column(0), begin, begin + duration, end[own], taken.column(4), source, np.where(cut[own], "unblock", "expiry").tolist(), kinds == _CARRIED]
+        return pa.RecordBatch.from_arrays([pa.array(c, ty) if not isinstance(c, pa.Array) else c.cast(ty) for c, ty in zip(columns, types, strict=True)], names=fields), held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.RecordBatch.from_pylist([], schema=inputs)
         for batch in batches:
-            out = []
-            columns = (batch[c].tolist() for c in ("ip", "t", "kind", "uid", "score"))
-            for row_ip, t, kind, uid, score in zip(*columns, strict=True):
-                if block is not None and (row_ip != ip or t >= block[0] + duration):
-                    out.append(closed(block[0] + duration, "expiry"))
-                    block = None
-                ip = row_ip
-                if kind == _UNBLOCK:
-                    if block is not None:
-                        out.append(closed(t, "unblock"))
-                        block = None
-                elif block is None:
-                    source = uid if kind == _CARRIED else ("auto" if kind == _ALERT else "manual")
-                    block = (t, int(score), source, kind == _CARRIED)
-            yield pd.DataFrame(out, columns=names, dtype=object)
-        if block is not None:
-            yield pd.DataFrame([closed(block[0] + duration, "expiry")], columns=names, dtype=object)
+            if batch.num_rows:
+                batch = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in inputs], schema=inputs)
+                t = batch.column(1).to_numpy()
+                span = int(t.max()) - min([int(t.min()), *held.column(1).to_pylist()]) + duration + 2
+                most = max(1, 2**61 // span)  # rows whose addresses and times fit one number: all, unless times are centuries apart
+                for at in range(0, batch.num_rows, most):
+                    # the open block goes before the rows that may end it
+                    rows = pa.Table.from_batches([held, batch.slice(at, most)]).combine_chunks().to_batches()[0]
+                    done, held = blocks(rows, True)
+                    yield done
+        if held.num_rows:
+            yield blocks(held, False)[0]
 
     return run
 
@@ -191,7 +253,7 @@ def block_ledger(
         candidates = starts.join(hot, "ip", "left_anti").unionByName(busy)
     ends = unblocks.select("ip", "t", F.lit(_UNBLOCK).alias("kind"), F.lit("").alias("uid"), F.lit(0).alias("score"))
     in_order = candidates.unionByName(ends).repartition("ip").sortWithinPartitions("ip", "t", "kind")
-    return in_order.mapInPandas(_walk(duration), LEDGER_SCHEMA)
+    return in_order.mapInArrow(_walk(duration), LEDGER_SCHEMA)
 
 
 def active_blocks(ledger: DataFrame, at_us: int) -> DataFrame:

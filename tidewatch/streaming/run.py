@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 from tidewatch.sources.storage import scratch_path
@@ -22,3 +24,15 @@ def drain_to_table(stream: DataFrame, name: str, path: str | None = None) -> Dat
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def drain_in_turn(parts: list[DataFrame], transform: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Run a stream over parts of a table that arrive one after the other: each part is written, by as many tasks as it has, and
+    the stream takes in what is new, from the state it left off with. A table of what has come out."""
+    spark = parts[0].sparkSession
+    base = scratch_path(spark, name)
+    out = None
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        out = drain_to_table(transform(spark.readStream.schema(part.schema).parquet(f"{base}/in")), name, f"{base}/out")
+    return out
