@@ -136,3 +136,14 @@ def test_empty_batch_keeps_the_state(spark, small_flows, tmp_path):
     job.process(small_flows.limit(0), 2)
     n = [spark.read.parquet(str(tmp_path / f"live/baseline/batch={b}")).first()["n"] for b in (0, 1, 2)]
     assert n == [0, small_flows.count(), small_flows.count()]
+
+
+def test_live_scoring_leaves_no_scratch(spark, sf):
+    import glob
+
+    from tidewatch.catalog.jobs import run_live
+    from tidewatch.sources.storage import shared_dir
+
+    run_live(spark, sf)
+    folder = shared_dir(spark).replace("file:", "")
+    assert not glob.glob(f"{folder}/unordered-*") and not glob.glob(f"{folder}/scored-*")

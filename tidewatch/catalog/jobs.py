@@ -32,8 +32,15 @@ from tidewatch.sources.training import read_training_csv
 from tidewatch.streaming.correlate import correlate_early, correlate_stream
 from tidewatch.streaming.ledger import ledger_stream
 from tidewatch.streaming.live import LiveScoring, live_flows
-from tidewatch.streaming.reports import dedup_stream, flow_rate_stream, new_fingerprints, source_activity_stream
-from tidewatch.streaming.run import drain_in_turn, drain_to_table
+from tidewatch.streaming.reports import (
+    dedup_stream,
+    first_sighting_state,
+    first_sightings_known,
+    flow_rate_stream,
+    new_fingerprints,
+    source_activity_stream,
+)
+from tidewatch.streaming.run import drain_changes, drain_in_turn, drain_to_table
 
 
 def _us(c: str):
@@ -370,14 +377,14 @@ def live_all(spark, sf) -> DataFrame:
         F.lit(_CLOSING).cast("bigint").alias("event_id"), (F.col("ts") + F.expr("interval 10 days")).cast("timestamp_ntz").alias("ts"),
         F.lit(0).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"), F.lit(0.0).alias("value"), F.lit('{"k": 1}').alias("props"),
     )
-    for part in range(3):  # files arrive in the order of time
-        rows = events.filter(F.floor((us - F.lit(bounds["low"])) / third) == part)
-        (rows.unionByName(last) if part == 2 else rows).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    logs = {n: _stream_view(spark, stream, n) for n in ("conn", "ssl", "dns", "weird")}
     detectors = fit_detectors(inputs.netflow(spark, sf), order=("ts", "uid"))
     job = LiveScoring(f"{base}/out", threat_table(spark), detectors)
-    job.start(live_flows(logs), f"{base}/progress", available_now=True).awaitTermination()
+    for part in range(3):  # events arrive in the order of time, a third after the other
+        rows = events.filter(F.floor((us - F.lit(bounds["low"])) / third) == part)
+        (rows.unionByName(last) if part == 2 else rows).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        logs = {n: _stream_view(spark, stream, n) for n in ("conn", "ssl", "dns", "weird")}
+        job.start(live_flows(logs), f"{base}/progress", available_now=True).awaitTermination()
     alerts = spark.read.parquet(f"{base}/out/alerts").select("uid", F.lit(True).alias("alerted")).distinct()
     flows = spark.read.parquet(f"{base}/out/traffic").filter(F.col("uid") != f"C{_CLOSING}").join(alerts, "uid", "left")
     return flows.select(
@@ -428,6 +435,13 @@ def w7_stream(spark, sf) -> DataFrame:
     return drain_in_turn([*parts, last.unionByName(end)], ledger, "stream-ledger").filter("ip <> ''")
 
 
+@query("w1_stream_sightings", "select ja3, uid, tls_malicious as malicious, not tls_malicious as is_new from {tls} where first_seen and ja3 is not null")
+def w1_sightings(spark, sf) -> DataFrame:
+    """First sightings as keyed state, over flows that arrive in five parts, some of them late."""
+    rows = materialise(inputs.analysed(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "uid", "ja3", "tls_malicious"))
+    return first_sightings_known(drain_changes(arrivals(rows, 5, 36_000), first_sighting_state, "sightings"))
+
+
 @query("stat_stream_carry", "select n.uid, round(s.score, 6) as statistical_score from {ewma_rows} n join {ewma_score} s on n.rn = s.rn")
 def stat_carry(spark, sf) -> DataFrame:
     """Two runs in event order, the second starting from the saved baseline of the first."""

@@ -22,7 +22,7 @@ from tidewatch.operators.ledger import block_ledger, blocking_events
 from tidewatch.operators.ordered import ordered_blocks
 from tidewatch.operators.risk import alert_records, flow_records
 from tidewatch.plans.replay import score_flows
-from tidewatch.sources.storage import materialise, stored_table
+from tidewatch.sources.storage import drop_tables, materialise, scratch_path
 from tidewatch.streaming.correlate import correlate_stream
 
 _BLOCK = "ip string, start_us bigint, expiry_us bigint, end_us bigint, score int, source string, ended_by string"
@@ -75,7 +75,9 @@ class LiveScoring:
         ordered = ordered_blocks(with_features(flows))
         scored, after, tail = self.detectors.transform_ordered(ordered, start, lead)
         known = self._before(spark, "fingerprints", batch)
-        risky = stored_table(score_flows(scored, self.threats, self.settings, known), "scored")
+        path = scratch_path(spark, "scored")
+        score_flows(scored, self.threats, self.settings, known).write.parquet(path)
+        risky = spark.read.parquet(path)
 
         top = self.detectors.top_features(3)
         self._put(alerts_only(alert_records(risky, top, self.settings), self.settings), "alerts", batch)
@@ -87,6 +89,7 @@ class LiveScoring:
             "n bigint, mean array<double>, var array<double>, tail array<array<double>>, clock_us bigint",
         )
         self._put(state.coalesce(1), "baseline", batch)
+        drop_tables(spark, [path])  # all that is kept of the batch is written
 
     def _blocks(self, risky: DataFrame, batch: int, clock: int | None) -> int | None:
         """Blocks opened by this batch, and earlier ones it may have ended. Of several ledger rows of

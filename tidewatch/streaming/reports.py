@@ -19,6 +19,20 @@ def new_fingerprints(flows: DataFrame) -> DataFrame:
     return flows.dropDuplicates(["ja3"])
 
 
+def first_sighting_state(flows: DataFrame) -> DataFrame:
+    """Update-mode stream: of each fingerprint its earliest row so far (ts, uid) and whether that row was malicious. The state has a row
+    per fingerprint, and rows are combined before they reach it, so neither a fingerprint that most flows share nor the
+    batches before make a batch dearer. Only fingerprints whose earliest row changed come out."""
+    first = F.min(F.struct("ts", "uid", "tls_malicious")).alias("first")
+    return flows.filter("ja3 is not null").groupBy("ja3").agg(first)
+
+
+def first_sightings_known(changes: DataFrame) -> DataFrame:
+    """ja3, uid of its first row, malicious, is_new (a first row that is malicious is no news), from all changes so far."""
+    first = changes.groupBy("ja3").agg(F.min("first").alias("first"))
+    return first.select("ja3", F.col("first.uid").alias("uid"), F.col("first.tls_malicious").alias("malicious"), (~F.col("first.tls_malicious")).alias("is_new"))
+
+
 def source_activity_stream(flows: DataFrame, settings: Settings = DEFAULTS, delay_seconds: int | None = None) -> DataFrame:
     """Tumbling flow windows per source. A stream cannot count distinct values exactly, so it uses
     the sketch; the batch report is exact."""

@@ -36,3 +36,18 @@ def drain_in_turn(parts: list[DataFrame], transform: Callable[[DataFrame], DataF
         part.write.mode("append").parquet(f"{base}/in")
         out = drain_to_table(transform(spark.readStream.schema(part.schema).parquet(f"{base}/in")), name, f"{base}/out")
     return out
+
+
+def drain_changes(parts: list[DataFrame], transform: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """As ``drain_in_turn`` for a stream in update mode: the table holds what changed in each batch, under its number, so that a
+    batch that runs again overwrites its own rows."""
+    spark = parts[0].sparkSession
+    base = scratch_path(spark, name)
+    schema = None
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        changes = transform(spark.readStream.schema(part.schema).parquet(f"{base}/in"))
+        schema = changes.schema
+        writer = changes.writeStream.outputMode("update").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True)
+        writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{base}/changes/batch={batch}")).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/changes/batch=*")
