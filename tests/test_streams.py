@@ -144,6 +144,11 @@ def test_live_scoring_leaves_no_scratch(spark, sf):
     from tidewatch.catalog.jobs import run_live
     from tidewatch.sources.storage import shared_dir
 
-    run_live(spark, sf)
     folder = shared_dir(spark).replace("file:", "")
-    assert not glob.glob(f"{folder}/unordered-*") and not glob.glob(f"{folder}/scored-*")
+
+    def scratch():
+        return {*glob.glob(f"{folder}/unordered-*"), *glob.glob(f"{folder}/scored-*")}
+
+    before = scratch()  # of other operators
+    run_live(spark, sf)
+    assert scratch() == before
