@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType
 from tidewatch.llm.packing import WordIds, held_word_ids
 from tidewatch.llm.words import chunks, text_bytes
 
-_AT_ONCE = 1 << 20
+_AT_ONCE = 4 << 20
 _ROWS = "doc_id long, part int, before long, n_tokens long, ids array<int>"
 
 
@@ -59,7 +59,6 @@ def _encoded(tokenizer: str, end_id: int, held_words: int):
                     names=["doc_id", "part", "before", "n_tokens", "ids"],
                 )
                 before += int(starts[-1])
-        words.forget()  # the worker may serve other stages next
 
     return encode
 
@@ -72,7 +71,7 @@ def write_token_ids(
     stripe_bytes: int = 16 << 20,
     index_rows: int = 1000,
     false_positives: float = 0.01,
-    held_words: int = 300_000,
+    held_words: int = 500_000,
 ) -> None:
     """Writes ``ids`` and ``parts`` under ``path``. ``held_words`` bounds the words a worker remembers."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
