@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import Settings
 from tidewatch.detectors.ewma import EwmaBaseline, EwmaState
 from tidewatch.operators.correlate import correlate, join_conn_ssl
+from tidewatch.operators.evaluation import calibration, calibration_error, ranking_quality
 from tidewatch.operators.kpi import recent_alerts
 from tidewatch.operators.ledger import block_ledger
 from tidewatch.operators.ordered import ordered_blocks, sliding_windows
@@ -274,3 +275,27 @@ def test_severity_picks_from_the_feed(spark):
     df = spark.createDataFrame(rows, "uid string, timestamp double, severity string")
     assert recent_alerts(df, severity="critical").count() == 0
     assert [r.uid for r in recent_alerts(df, limit=2).collect()] == ["u200", "u199"]
+
+
+@pytest.mark.parametrize("distinct", [3, 100_000])
+def test_ranking_quality_equals_comparing_all_pairs(spark, distinct):
+    """One score with a third of all rows; missing labels and scores that are no number don't count."""
+    draw = random.Random(distinct)
+    rows = [(draw.random() < 0.3, 0.5 if draw.random() < 0.33 else draw.randrange(distinct) / distinct) for _ in range(400)]
+    extra = [(None, 0.9), (True, float("nan")), (False, None)]
+    df = spark.createDataFrame(rows + extra, "hit boolean, s double").withColumn("constant", F.lit(1.0)).repartition(5)
+    found = {r["detector"]: r for r in ranking_quality(df, ["s", "constant"], "hit").collect()}
+    pos, neg = [v for hit, v in rows if hit], [v for hit, v in rows if not hit]
+    expected = sum((p > q) + (p == q) / 2 for p in pos for q in neg) / (len(pos) * len(neg))
+    assert found["s"]["auc"] == pytest.approx(expected, abs=1e-12) and (found["s"]["positives"], found["s"]["negatives"]) == (len(pos), len(neg))
+    assert found["constant"]["auc"] == 0.5
+    assert ranking_quality(df.filter("hit"), ["s"], "hit").first()["auc"] is None
+    assert ranking_quality(df.filter("false"), ["s"], "hit").count() == 0
+
+
+def test_calibration_error(spark):
+    df = spark.createDataFrame([(True, 1.0), (True, 0.95), (False, 0.95), (False, 0.05), (None, 0.5), (True, -2.0)], "hit boolean, s double")
+    bins = calibration(df, ["s"], "hit")
+    got = {r["bin"]: (r["rows"], round(r["mean_score"], 6), round(r["positive_share"], 6)) for r in bins.collect()}
+    assert got == {9: (3, 0.966667, 0.666667), 0: (2, -0.975, 0.5)}
+    assert calibration_error(bins).first()["calibration_error"] == pytest.approx((3 * 0.3 + 2 * 1.475) / 5)

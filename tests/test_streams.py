@@ -18,6 +18,7 @@ from tidewatch.operators.ordered import ordered_blocks
 from tidewatch.plans.replay import score_flows
 from tidewatch.sources.logs import read_conn_log, stream_log, write_text_log
 from tidewatch.streaming.correlate import correlate_early, correlate_stream
+from tidewatch.streaming import running
 from tidewatch.streaming.live import LiveScoring
 from tidewatch.streaming.run import drain_to_table
 
@@ -152,3 +153,67 @@ def test_live_scoring_leaves_no_scratch(spark, sf):
     before = scratch()  # of other operators
     run_live(spark, sf)
     assert scratch() == before
+
+
+def _brute_top(rows, n):
+    counts = {}
+    for ja3, ts, uid in rows:
+        if ja3 is not None:
+            hits, first = counts.get(ja3, (0, (ts, uid)))
+            counts[ja3] = hits + 1, min(first, (ts, uid))
+    order = sorted(counts, key=lambda j: (-counts[j][0], counts[j][1], j))[:n]
+    return [(j, counts[j][0]) for j in order]
+
+
+@pytest.mark.parametrize("kept, flat", [(2, False), (6, True), (50, False)])
+def test_counter_summary_is_exact_whatever_it_keeps(spark, tmp_path, kept, flat):
+    """Few counters, many, and so many that none goes; one fingerprint with a third of all rows, or all alike and in other batches."""
+    import random
+
+    draw = random.Random(kept)
+    batches, seen = [], []
+    for b in range(7):
+        names = [f"f{draw.randrange(30)}" if flat or draw.random() > 0.6 else draw.choice(["hot", "warm", None]) for _ in range(80)]
+        batches.append([(j, at(draw.randrange(500)), f"u{b}-{k}") for k, j in enumerate(names)])
+    batches[4] = []
+    frame = lambda rows: spark.createDataFrame(rows, "ja3 string, ts timestamp, uid string")
+    job = running.Running(str(tmp_path / "r"), {"top": running.frequent_fingerprints(lambda: frame(seen), 5, kept)}, compact_every=2)
+    for number, rows in enumerate(batches):
+        seen += rows
+        job.take(frame(rows), number)
+        if number == 3:
+            job.take(frame(rows), number)  # run again
+        if number in (1, 6):
+            assert [tuple(r) for r in job.read(spark, "top").collect()] == _brute_top(seen, 5)
+
+
+def test_sketched_count_stays_within_its_error_and_batches_don_t_pile_up(spark, tmp_path):
+    import os
+
+    reports = {"about": running.fingerprint_stats_approximate(12), "protocols": running.protocol_breakdown(), "alerts": running.alerts_total()}
+    job = running.Running(str(tmp_path / "r"), reports, compact_every=3)
+    with pytest.raises(ValueError):
+        job.read(spark, "about")
+    wide = ["concat('f', id) as ja3", "if(id % 3 = 0, 'udp', 'tcp') as proto", "'DoS' as attack_type", "cast(id % 100 as int) as risk_score"]
+    for b in range(10):  # neighbouring batches share half of their fingerprints
+        job.take(spark.range(b * 5000, b * 5000 + 10_000).selectExpr(*wide), b)
+    found = job.read(spark, "about").first()
+    assert found["total_fingerprinted"] == 100_000
+    assert abs(found["unique_ja3_count"] - 55_000) < 4 * 1.04 / 64 * 55_000
+    protocols = {r["proto"]: r["flows"] for r in job.read(spark, "protocols").collect()}
+    assert sum(protocols.values()) == 100_000 and protocols["udp"] == sum(len(range(-b * 5000 % 3, 10_000, 3)) for b in range(10))
+    assert job.read(spark, "alerts").first()["alerts_total"] == 80_000
+    assert len([f for f in os.listdir(tmp_path / "r/about") if "=" in f]) <= 3 + 3 + 2
+
+
+def test_batch_cut_off_while_it_was_written_does_not_count(spark, tmp_path):
+    import os
+
+    job = running.Running(str(tmp_path / "r"), {"protocols": running.protocol_breakdown()})
+    rows = spark.createDataFrame([("tcp",), (None,)], "proto string")
+    job.take(rows, 0), job.take(rows, 1)
+    os.remove(tmp_path / "r/protocols/batch=1/_SUCCESS")
+    count = lambda: {r["proto"]: r["flows"] for r in job.read(spark, "protocols").collect()}
+    assert count() == {"tcp": 1, None: 1}
+    job.take(rows, 1)
+    assert count() == {"tcp": 2, None: 2}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.catalog import inputs
-from tidewatch.catalog.registry import query
+from tidewatch.catalog.registry import QUERIES, query
 from tidewatch.catalog.relational import _J2_SQL, j2_columns
 from tidewatch.catalog.reports import _CHAIN, _DAY_US, _LAST_STATE, _MANUAL, baseline_rows
 from tidewatch.catalog.views import VIEWS, view
@@ -14,9 +15,10 @@ from tidewatch.config import DEFAULTS, Settings
 from tidewatch.detectors.ensemble import DetectorSet, fit_detectors
 from tidewatch.detectors.ewma import EwmaBaseline, EwmaState
 from tidewatch.detectors.forest import AttackForest, attack_score, best_class, best_other_class
-from tidewatch.detectors.isolation import IsolationForest, IsolationForestModel
-from tidewatch.detectors.sequence import SequenceDetector
+from tidewatch.detectors.isolation import _EULER, IsolationForest, IsolationForestModel
+from tidewatch.detectors.sequence import SequenceDetector, SequenceModel
 from tidewatch.functions.fixed_values import FEATURE_NAMES
+from tidewatch.operators import evaluation
 from tidewatch.operators.filters import alerts_only, benign_only
 from tidewatch.operators.intel import feed_threats, threat_table
 from tidewatch.operators.ledger import block_ledger, blocking_events
@@ -27,8 +29,9 @@ from tidewatch.sources.intel_feed import load_feed, read_feed, refresh_snapshot
 from tidewatch.sources.logs import read_conn_log, read_log, read_ssl_log, stream_log, write_text_log
 from tidewatch.sources.schemas import LOG_FIELDS
 from tidewatch.sources.sinks import write_by_day, write_json
-from tidewatch.sources.storage import materialise, scratch_path, spread
+from tidewatch.sources.storage import materialise, scratch_path, spread, stored_table
 from tidewatch.sources.training import read_training_csv
+from tidewatch.streaming import running
 from tidewatch.streaming.correlate import correlate_early, correlate_stream
 from tidewatch.streaming.ledger import ledger_stream
 from tidewatch.streaming.live import LiveScoring, live_flows
@@ -248,6 +251,88 @@ def d_seq(spark, sf) -> DataFrame:
     return scored.select("uid", _in_unit("sequence_score"), warmup)
 
 
+_PATHS = """case when IN_BYTES <= 5000 then 2.0e0 when OUT_BYTES <= 8000 then 2.0e0 else 3.0e0 end + case when IN_PKTS <= 20 then 1.0e0 else 2.5e0 end"""
+
+
+@query(
+    "d_iso_given_trees",
+    f"""select uid, round(greatest(0.0e0, least(1.0e0, 0.5e0 + power(2.0e0, -(paths / 2) / (2*(ln(3.0e0) + {_EULER!r}) - 1.5e0)) - 0.55e0)), 9) as isolation_forest_score
+from (select uid, {_PATHS} as paths from {{netflow}}) t""",
+)
+def d_iso_given(spark, sf) -> DataFrame:
+    """Two given trees over samples of four: the score is checked by value."""
+    nodes = [
+        (0, 0, 0, 5000.0, 1, 2, 0.0), (0, 1, -1, 0.0, -1, -1, 2.0), (0, 2, 1, 8000.0, 3, 4, 0.0), (0, 3, -1, 0.0, -1, -1, 2.0), (0, 4, -1, 0.0, -1, -1, 3.0),
+        (1, 0, 2, 20.0, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 1.0), (1, 2, -1, 0.0, -1, -1, 2.5),
+    ]
+    frame = pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "below", "above", "path"])
+    model, path = IsolationForestModel(frame, 4, -0.55, ["IN_BYTES", "OUT_BYTES", "IN_PKTS"]), scratch_path(spark, "given-trees")
+    model.save(spark, path)
+    scored = IsolationForestModel.load(spark, path).transform(inputs.netflow(spark, sf))
+    return scored.select("uid", F.round("isolation_forest_score", 9).alias("isolation_forest_score"))
+
+
+@query(
+    "d_seq_given_components",
+    """select uid, case when rn < 2 then 0.5e0 else round(least(1.0e0, (q - t*t/6 - d*d/6) / 6 / 2), 6) end as sequence_score from (
+ select uid, rn, sum(a + b) over w as t, sum(a - b) over w as d, sum(a*a + b*b) over w as q
+ from (select uid, rn, (IN_BYTES - 4000) / 3000.0e0 as a, (OUT_BYTES - 6000) / 5000.0e0 as b from {ewma_rows}) x window w as (order by rn rows between 2 preceding and current row)) s""",
+)
+def d_seq_given(spark, sf) -> DataFrame:
+    """Two given components of windows of three flows: the part of a window that they don't rebuild is checked by value."""
+    part = 6**-0.5
+    model = SequenceModel([4000.0, 6000.0], [3000.0, 5000.0], [[part, part], [part, -part]] * 3, 2.0, 3, ["IN_BYTES", "OUT_BYTES"])
+    path = scratch_path(spark, "given-components")
+    model.save(spark, path)
+    scored = SequenceModel.load(spark, path).transform(ordered_blocks(inputs.netflow(spark, sf).select("ts", "uid", *model.features)))
+    return scored.select("uid", F.round("sequence_score", 6).alias("sequence_score"))
+
+
+_KIND = "case when IN_BYTES < 4000 then 0 when IN_BYTES < 8000 then 1 else 2 end"
+
+
+@query(
+    "d_rf_given_classes",
+    f"""select uid, case kind when 0 then 0.0e0 else 1.0e0 end as random_forest_score, case kind when 0 then 'Benign' when 1 then 'DDoS' else 'Exploits' end as attack_label,
+ case kind when 2 then 'Exploits' else 'DDoS' end as alternative_label from (select uid, {_KIND} as kind from {{netflow}}) t""",
+)
+def d_rf_given(spark, sf) -> DataFrame:
+    """Classes that one column tells apart: every forest knows them for certain, so score and both labels are checked by value."""
+    rows = inputs.netflow(spark, sf).select("uid", F.expr(_KIND).cast("double").alias("kind")).withColumn("Attack", F.expr("element_at(array('Benign', 'DDoS', 'Exploits'), cast(kind as int) + 1)"))
+    rows = stored_table(rows, "kinds")
+    model = AttackForest(Settings(rf_trees=5, rf_depth=2), ("kind",)).fit(rows)
+    return model.transform(rows).select("uid", F.round("random_forest_score", 9).alias("random_forest_score"), "attack_label", "alternative_label")
+
+
+_SCORED = """(select unnest(['iso', 'rf', 'seq', 'stat']) as detector, unnest([iso, rf, seq, stat]) as score, l.label = 1 as positive
+ from {scores} s join {train_labels} l on s.uid = l.uid) t"""
+
+
+def _scores_and_labels(spark, sf) -> DataFrame:
+    return view(spark, sf, "scores").select("uid", "iso", "rf", "seq", "stat").join(view(spark, sf, "train_labels").select("uid", (F.col("label") == 1).alias("positive")), "uid")
+
+
+@query(
+    "r7_evaluation",
+    f"""select detector, cast(sum(pos) as bigint) as positives, cast(sum(neg) as bigint) as negatives,
+ round(cast(sum(pos * (2 * below + neg)) as double) / (2.0e0 * cast(sum(pos) as double) * cast(sum(neg) as double)), 9) as auc
+from (select *, coalesce(sum(neg) over (partition by detector order by score rows between unbounded preceding and 1 preceding), 0) as below
+ from (select detector, score, count(*) filter (where positive) as pos, count(*) filter (where not positive) as neg from {_SCORED} group by 1, 2) g) c group by detector""",
+)
+def r7_evaluation(spark, sf) -> DataFrame:
+    return evaluation.ranking_quality(_scores_and_labels(spark, sf), ["iso", "rf", "seq", "stat"], "positive").withColumn("auc", F.round("auc", 9))
+
+
+@query(
+    "r7_calibration",
+    f"""select detector, cast(greatest(0, least(9, floor(score * 10))) as integer) as bin, count(*) as rows, round(avg(score), 9) as mean_score,
+ round(avg(case when positive then 1.0e0 else 0.0e0 end), 9) as positive_share from {_SCORED} group by 1, 2""",
+)
+def r7_calibration(spark, sf) -> DataFrame:
+    bins = evaluation.calibration(_scores_and_labels(spark, sf), ["iso", "rf", "seq", "stat"], "positive")
+    return bins.select("detector", "bin", "rows", F.round("mean_score", 9).alias("mean_score"), F.round("positive_share", 9).alias("positive_share"))
+
+
 @query(
     "r7_train_all",
     "select Attack as actual, count(*) as rows, true as known_labels from {netflow} where cast(('0x' || substr(md5(uid || ':42'), 1, 8)) as bigint) / 4294967296.0 < 0.2 group by Attack",
@@ -454,3 +539,58 @@ def stat_carry(spark, sf) -> DataFrame:
     two, _ = EwmaBaseline().score(ordered_blocks(rows.filter(~early)), EwmaState.load(spark, path))
     both = one.unionByName(two)
     return both.select("uid", F.round("statistical_score", 6).alias("statistical_score"))
+
+
+# ---- running reports: five batches, one of them taken twice, merged on the way
+
+
+def _running(spark: SparkSession, rows: DataFrame, make) -> DataFrame:
+    """A report over rows that arrive in five parts. ``make``: from a way to read what has arrived to the report."""
+    base, rows = scratch_path(spark, "running"), materialise(rows)
+    arrived = lambda: spark.read.schema(rows.schema).parquet(f"{base}/in")
+    job = running.Running(f"{base}/out", {"report": make(arrived)}, compact_every=2)
+    for number, part in enumerate(arrivals(rows, 5, 36_000)):
+        part.write.mode("append").parquet(f"{base}/in")
+        job.start(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), f"{base}/progress", available_now=True).awaitTermination()
+        if number == 3:
+            job.take(part, number)
+    return job.read(spark, "report")
+
+
+def _timed_traffic(spark, sf) -> DataFrame:
+    return inputs.traffic(spark, sf).withColumn("ts", F.expr("timestamp_seconds(timestamp)"))
+
+
+def _printed(spark, sf) -> DataFrame:
+    return inputs.fingerprints(spark, sf).select("uid", F.col("ts").cast("timestamp").alias("ts"), "ja3")
+
+
+@query("a1_running", QUERIES["a1_traffic_totals"].oracle)
+def a1_running(spark, sf) -> DataFrame:
+    return _running(spark, _timed_traffic(spark, sf), lambda _: running.traffic_totals())
+
+
+@query("a4_running", QUERIES["a4_flow_rate"].oracle)
+def a4_running(spark, sf) -> DataFrame:
+    return _running(spark, _timed_traffic(spark, sf), lambda _: running.flow_rate(60))
+
+
+@query("a5_running", QUERIES["a5_fingerprint_stats"].oracle)
+def a5_running(spark, sf) -> DataFrame:
+    return _running(spark, _printed(spark, sf), lambda _: running.fingerprint_stats(threat_table(spark)))
+
+
+@query("k1_running", QUERIES["k1_recent_alerts"].oracle)
+def k1_running(spark, sf) -> DataFrame:
+    alerts = inputs.fired(spark, sf).select("uid", F.col("ts").cast("timestamp").alias("ts"), "severity", "risk_score").withColumn("timestamp", F.col("ts"))
+    return _running(spark, alerts, lambda _: running.recent_alerts(severity="high")).select("uid", "severity", "risk_score")
+
+
+@query("k2_running", QUERIES["k2_recent_flows"].oracle)
+def k2_running(spark, sf) -> DataFrame:
+    return _running(spark, _timed_traffic(spark, sf), lambda _: running.recent_flows()).select("uid", "timestamp", "bytes_in")
+
+
+@query("k3_running", QUERIES["k3_top_fingerprints"].oracle)
+def k3_running(spark, sf) -> DataFrame:
+    return _running(spark, _printed(spark, sf), lambda arrived: running.frequent_fingerprints(arrived))
