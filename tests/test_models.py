@@ -9,9 +9,11 @@ from tidewatch.config import Settings
 from tidewatch.detectors.ensemble import DetectorSet, fit_detectors
 from tidewatch.detectors.ewma import EwmaState
 from tidewatch.detectors.isolation import IsolationForest, average_path
+from tidewatch.detectors.sequence import SequenceDetector
 from tidewatch.functions.fixed_values import FEATURE_NAMES
 from tidewatch.operators.filters import benign_only
 from tidewatch.operators.risk import SCORE_COLUMNS
+from tidewatch.operators.sampling import unit_hash
 from tidewatch.sources.storage import materialise
 
 QUICK = Settings(rf_trees=8, rf_depth=6, iso_trees=25)
@@ -71,3 +73,23 @@ def test_own_reconstruction(rows, detectors):
     perfect = replace(detectors.sequence, rebuild=lambda w: w)
     got = [r["sequence_score"] for r in perfect.transform(ordered_blocks(rows)).orderBy("ts", "uid").collect()]
     assert got[:9] == [0.5] * 9 and set(got[9:]) == {0.0}
+
+
+def test_components_from_lagged_products_equal_those_of_all_windows(spark):
+    """Blocks of several batches, one too short for a window, values missing and at the edges of blocks."""
+    draw, n, width = np.random.default_rng(5), 1043, 100
+    x = np.cumsum(draw.normal(size=(n, 3)), axis=0) * [1, 20, 0.01]
+    x[draw.random(n) < 0.01, 1] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "ts int, a double, b double, c double").repartition(7)
+    detector = SequenceDetector(features=("a", "b", "c"), components=4, block=width)
+    model = detector.fit(df, ("ts",))
+    z = np.nan_to_num((x - model.mean) / model.std)
+    held = {r[0] for r in spark.range(n // width + 1).filter(unit_hash(F.col("id"), detector.settings.seed) < detector.settings.sequence_validation_fraction).collect()}
+    of = lambda wanted: np.array([z[i : i + 10].ravel() for b in range(n // width + 1) if (b in held) == wanted for i in range(b * width, min((b + 1) * width, n) - 9)])
+    values, vectors = np.linalg.eigh(np.cov(of(False).T))
+    expected, found = vectors[:, ::-1][:, :4], np.array(model.components)
+    assert held and np.allclose(np.abs((expected * found).sum(axis=0)), 1, atol=1e-6)
+    w = of(True)
+    errors = ((w - w @ found @ found.T) ** 2).mean(axis=1)
+    assert model.threshold == pytest.approx(np.percentile(errors, 95), rel=1e-9)

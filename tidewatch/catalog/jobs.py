@@ -276,12 +276,12 @@ def d_iso_given(spark, sf) -> DataFrame:
     "d_seq_given_components",
     """select uid, case when rn < 2 then 0.5e0 else round(least(1.0e0, (q - t*t/6 - d*d/6) / 6 / 2), 6) end as sequence_score from (
  select uid, rn, sum(a + b) over w as t, sum(a - b) over w as d, sum(a*a + b*b) over w as q
- from (select uid, rn, (IN_BYTES - 4000) / 3000.0e0 as a, (OUT_BYTES - 6000) / 5000.0e0 as b from {ewma_rows}) x window w as (order by rn rows between 2 preceding and current row)) s""",
+ from (select uid, rn, (IN_BYTES - 4000.3e0) / 3001.7e0 as a, (OUT_BYTES - 6000.9e0) / 5003.1e0 as b from {ewma_rows}) x window w as (order by rn rows between 2 preceding and current row)) s""",
 )
 def d_seq_given(spark, sf) -> DataFrame:
     """Two given components of windows of three flows: the part of a window that they don't rebuild is checked by value."""
     part = 6**-0.5
-    model = SequenceModel([4000.0, 6000.0], [3000.0, 5000.0], [[part, part], [part, -part]] * 3, 2.0, 3, ["IN_BYTES", "OUT_BYTES"])
+    model = SequenceModel([4000.3, 6000.9], [3001.7, 5003.1], [[part, part], [part, -part]] * 3, 2.0, 3, ["IN_BYTES", "OUT_BYTES"])
     path = scratch_path(spark, "given-components")
     model.save(spark, path)
     scored = SequenceModel.load(spark, path).transform(ordered_blocks(inputs.netflow(spark, sf).select("ts", "uid", *model.features)))

@@ -7,15 +7,15 @@ the original's, not its numbers.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,7 @@ from tidewatch.config import DEFAULTS, Settings
 from tidewatch.detectors.ewma import matrix
 from tidewatch.functions.fixed_values import FEATURE_NAMES
 from tidewatch.operators.ordered import OrderedBlocks, carried_in, ordered_blocks, segments, without_carry
-from tidewatch.operators.sampling import split_by_block
+from tidewatch.operators.sampling import unit_hash
 from tidewatch.operators.statistics import collect_moments, exact_percentile
 from tidewatch.sources.storage import materialise
 
@@ -114,41 +114,110 @@ class SequenceDetector:
 
     def fit(self, benign: DataFrame, order: tuple[str, ...] = ("ts", "uid"), blocks: OrderedBlocks | None = None) -> SequenceModel:
         """Fit on all benign rows in event order, split by blocks of consecutive rows into training and
-        held-out windows, so that no window shares rows with one on the other side. Windows are ten times the
-        rows and are not stored: the covariance and the errors are each one pass over them. The threshold is the 95th percentile of the held-out error of the model kept."""
+        held-out windows, so that no window shares rows with one on the other side. No window of a training block is built: the
+        covariance of its windows follows from products of its rows with the rows some places on. The threshold is the 95th percentile of the
+        held-out error of the model kept."""
         s, names = self.settings, list(self.features)
         ordered = blocks or ordered_blocks(benign.select(*order, *names), order)
         stats = collect_moments(ordered.rows, names)
         mean, std = [stats[n][0] for n in names], [stats[n][1] for n in names]
-        flat = F.flatten("window")
-        repeated = [F.lit(float(v)) for v in mean * s.sequence_length], [F.lit(float(v)) for v in std * s.sequence_length]
-        centred = F.zip_with(
-            F.zip_with(flat, F.array(*repeated[0]), lambda x, m: x - m), F.array(*repeated[1]), lambda d, sd: d / sd
-        )
         # windows stay inside blocks of positions
-        block = F.floor(F.col("_position") / self.block)
-        inside = Window.partitionBy(block).orderBy("_position").rowsBetween(1 - s.sequence_length, 0)
-        windows = ordered.with_position().select(
-            "_position", F.collect_list(F.array(*[F.col(c).cast("double") for c in names])).over(inside).alias("window")
-        ).filter(F.size("window") == s.sequence_length)
-        data = windows.select("_position", centred.alias("x"))
-        train, held_out = split_by_block(data, F.col("_position"), self.block, s.sequence_validation_fraction, s.seed)
+        number = F.floor(F.col("_position") / self.block)
+        rows = ordered.with_position().select(number.alias("_of"), "_position", *[F.col(c).cast("double").alias(c) for c in names])
+        held = unit_hash(F.col("_of"), s.seed) < F.lit(s.sequence_validation_fraction)
+        blocked = lambda part: part.repartition("_of").sortWithinPartitions("_of", "_position")
+        train, held_out = rows.filter(~held), rows.filter(held)
+        scaled = _scaling(mean, std)
+        sums = blocked(train).mapInArrow(_lagged(names, s.sequence_length, scaled), "i int, v array<double>")
         k = min(self.components, len(names) * s.sequence_length)
-        vectors = train.select(array_to_vector("x").alias("v"))
-        pca = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
-        components = pca.pc.toArray()
-        model = SequenceModel(mean, std, components.tolist(), s.sequence_threshold, s.sequence_length, names)
-        projected = model._rebuild()
-
-        def squared_error(x: pd.Series) -> pd.Series:
-            w = np.stack(x.to_numpy())
-            return pd.Series(((w - projected(w)) ** 2).mean(axis=1))
-
-        error = F.pandas_udf(squared_error, "double")
-        errors = materialise(held_out.select(error("x").alias("e")))
-        limit = exact_percentile(errors, "e", 0.95)
+        model = SequenceModel(mean, std, _principal(sums, k).tolist(), s.sequence_threshold, s.sequence_length, names)
+        error = _errors(names, s.sequence_length, scaled, model._rebuild())
+        limit = exact_percentile(materialise(blocked(held_out).mapInArrow(error, "e double")), "e", 0.95)
         if limit is None:
-            limit = exact_percentile(materialise(train.select(error("x").alias("e"))), "e", 0.95)
+            limit = exact_percentile(materialise(blocked(train).mapInArrow(error, "e double")), "e", 0.95)
         if limit:
             model.threshold = float(limit)
         return model
+
+
+def _scaling(mean: list[float], std: list[float]) -> Callable[[np.ndarray], np.ndarray]:
+    m, d = np.array(mean), np.array(std)
+    return lambda x: np.nan_to_num((x - m) / d, nan=0.0, posinf=0.0, neginf=0.0)
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[np.ndarray]:
+    """The rows of each block of positions, from batches that may cut blocks."""
+    of, held = None, []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        numbers, x = batch.column(0).to_numpy(), matrix(batch, names)
+        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if numbers[a] != of and held:
+                yield np.concatenate(held)
+                held = []
+            of = numbers[a]
+            held.append(x[a:b])
+    if held:
+        yield np.concatenate(held)
+
+
+def _lagged(names: list[str], length: int, scaled: Callable[[np.ndarray], np.ndarray]):
+    """Per task: for row i of the windows' covariance (element i of all windows times each element) its sums, and as row -1
+    the sums of the elements with the number of windows.
+
+    Elements i and i + l of all windows of a block are its rows from i on and those l places further. Only the first and the
+    last row of that run change with i, so one product of matrices per lag serves all i."""
+    f = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cross, total, windows = np.zeros((length, length, f, f)), np.zeros((length, f)), 0
+        for block in _whole_blocks(batches, names):
+            x, n = scaled(block), len(block) - length + 1
+            if n < 1:
+                continue
+            windows += n
+            total += np.array([x[i : i + n].sum(axis=0) for i in range(length)])
+            for lag in range(length):
+                product = x[:n].T @ x[lag : lag + n]
+                cross[0, lag] += product
+                for i in range(1, length - lag):
+                    product = product - np.outer(x[i - 1], x[i - 1 + lag]) + np.outer(x[n + i - 1], x[n + i - 1 + lag])
+                    cross[i, i + lag] += product
+        if windows:
+            for i in range(length):
+                for j in range(i):
+                    cross[i, j] = cross[j, i].T
+            whole = cross.transpose(0, 2, 1, 3).reshape(length * f, length * f)
+            sums = [*whole.tolist(), [*total.ravel().tolist(), float(windows)]]
+            yield pa.RecordBatch.from_arrays([pa.array([*range(length * f), -1], pa.int32()), pa.array(sums, pa.list_(pa.float64()))], names=["i", "v"])
+
+    return run
+
+
+def _principal(sums: DataFrame, k: int) -> np.ndarray:
+    """The first k principal components, as columns. A row for each element of a window comes to the driver, whatever the data."""
+    added = sums.groupBy("i").agg(Summarizer.metrics("sum").summary(array_to_vector("v")).alias("s"))
+    rows = {r["i"]: np.array(r["v"]) for r in added.select("i", vector_to_array("s.sum").alias("v")).collect()}
+    if not rows:
+        raise ValueError("no benign window to fit on")
+    n, mean = rows[-1][-1], rows[-1][:-1] / rows[-1][-1]
+    cross = np.stack([rows[i] for i in range(len(mean))])
+    values, vectors = np.linalg.eigh((cross - n * np.outer(mean, mean)) / max(n - 1, 1))
+    return vectors[:, np.argsort(-values, kind="stable")[:k]]
+
+
+def _errors(names: list[str], length: int, scaled: Callable[[np.ndarray], np.ndarray], rebuild: Rebuild):
+    """Per task: the mean squared error of each window of its blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _whole_blocks(batches, names):
+            if len(block) < length:
+                continue
+            windows = np.lib.stride_tricks.sliding_window_view(scaled(block), length, axis=0)
+            for at in range(0, len(windows), 1024):
+                w = windows[at : at + 1024].transpose(0, 2, 1).reshape(-1, length * len(names))
+                yield pa.RecordBatch.from_arrays([pa.array(((w - rebuild(w)) ** 2).mean(axis=1))], names=["e"])
+
+    return run
