@@ -388,3 +388,44 @@ def test_prefix_length_gives_the_recall():
     assert 1 - (1 - 0.8**r) ** 20 >= 0.9999 > 1 - (1 - 0.8 ** (r + 1)) ** 20
     with pytest.raises(ValueError):
         neardup.prefix_length(1, 5, 0.1, 0.9999)
+
+
+def test_texts_shorten_their_prefixes_where_it_is_least_crowded():
+    rng = np.random.default_rng(3)
+    crowds = rng.integers(0, 4, (50, 20, 3)).cumsum(axis=2)[:, :, ::-1]
+    crowds[0] = 0
+    lengths = neardup.asked_lengths(crowds, 3, 0.8, 0.9999)
+    missed = np.prod(1 - 0.8**lengths, axis=1)
+    assert (missed <= 1e-4 * 1.000001).all() and (missed > 1e-4 * 0.4).all()
+    assert lengths[0].tolist() == [4] * 10 + [5] * 10  # nothing crowded: in the order of the trees, no further than needed
+    for own, crowd in zip(lengths.tolist(), crowds, strict=True):
+        plain = [5] * 20
+        while np.prod([1 - 0.8**k for k in plain]) > 1e-4:
+            t = min((t for t in range(20) if plain[t] > 3), key=lambda t: (crowd[t, plain[t] - 4], -plain[t], t))
+            plain[t] -= 1
+        assert own == plain
+
+
+@pytest.mark.parametrize("crowd", [64, 4])
+def test_forest_recall_against_all_pairs(spark, monkeypatch, crowd):
+    """Lone pairs of a similarity of 0.8 to 0.9, and a crowd that shares most of its words: at least 0.999 of links are found."""
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    rng = np.random.default_rng(5)
+    texts = {}
+    for g in range(400):
+        base = [f"v{x}" for x in rng.integers(0, 5000, 150)]
+        changed = list(base)
+        for at in rng.choice(30, rng.integers(1, 4), replace=False):
+            changed[5 * at] = f"y{g}"
+        texts |= {2 * g: " ".join(base), 2 * g + 1: " ".join(changed)}
+    shared = [f"s{x}" for x in range(150)]
+    for k in range(120):
+        own = list(shared)
+        for at in rng.choice(30, rng.integers(0, 4), replace=False):
+            own[5 * at] = f"z{k}"
+        texts[1000 + k] = " ".join(own)
+    links = jaccard_links(texts)
+    n = Counter(x for p in links for x in p)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["n_links"] for r in neardup.jaccard_join(docs).collect()}
+    assert all(found[i] <= n[i] for i in texts) and sum(found.values()) >= 0.999 * sum(n.values()) > 2000

@@ -5,10 +5,15 @@ reaches the threshold.
 
 1. Texts of equal words are one text with a number of copies, known by a 128-bit key of its words. Texts are numbered
    in the order of their smallest id (nulls last); the number stands for the text, so ids need not name texts.
-2. Each text has ``trees`` signatures of ``depth`` minimum hashes. Sorted, the signatures of a tree are the
-   leaves of a prefix trie. The matched prefix is shortened from the full depth until two texts at the
-   threshold meet in some tree with at least the wanted ``recall``.
-3. Texts that meet are compared by their whole signatures; only pairs far below the threshold (four
+2. Each text has ``trees`` signatures of ``depth`` minimum hashes. Sorted, the signatures of a tree are the leaves of a
+   prefix trie: texts below one node share that node's prefix. Leaves that are alone at the shortest prefix go.
+3. Each text asks every tree at a prefix length of its own. All start at the full depth. While a partner at the threshold
+   would be missed by all trees with a probability above 1 - ``recall``, the text shortens one prefix by one value: in
+   the tree where the next node is the least crowded (by powers of two above ``CROWD`` texts), of these the longest, of these
+   the first tree. So crowded nodes are asked by long prefixes, and others make up for it. Up to ``CROWD`` texts a node's size
+   decides nothing, so the bound holds; among more, trees where a text stands apart from its like are preferred, and the bound
+   may fall towards that of the full depth in all trees (0.9996 for the defaults, where ``recall`` is 0.9999).
+   A text that asks a node is compared by whole signatures with all texts below it; only pairs far below the threshold (four
    standard errors) go. Pairs are never written: a node hands on a spanning forest of what it keeps.
 4. Each connected group of such texts is gathered once, with whole texts, and all its pairs are compared by
    their exact shingle sets. A row per text leaves: its number of links and the smallest text linked to it.
@@ -37,6 +42,7 @@ from tidewatch.llm.common import components, forest, runs, stored_table
 from tidewatch.llm.words import chunks, mixed, shingle_hashes, text_bytes, word_hashes
 
 BLOCK_TEXTS = 256
+CROWD = 64
 BLOCK_BYTES = 8 << 20
 _PAIRS = 1 << 15
 _KEY = ["k1", "k2", "n_words"]
@@ -108,20 +114,59 @@ def _signing(shingle: int, trees: int, depth: int, seed: int = 11):
     return sign
 
 
-def _tree_nodes(trees: int, depth: int, prefix: int):
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                own = _signatures(batch.column("signature"), trees * depth).reshape(n, trees, depth)[:, :, :prefix].astype(np.uint64)
-                h = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), (n, trees)).copy()
-                for k in range(prefix):
-                    h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + own[:, :, k])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), trees)), pa.array(h.reshape(-1).view(np.int64))], names=["rep", "node"])
-
-    return nodes
+def asked_lengths(crowds: np.ndarray, floor: int, threshold: float, recall: float) -> np.ndarray:
+    """The prefix length at which each text asks each tree, from ``crowds[text, tree, k]``, how crowded its node of prefix length
+    floor + k is."""
+    n, trees, lengths = crowds.shape
+    depth = floor + lengths - 1
+    missed = np.log1p(-(float(threshold) ** np.arange(floor, depth + 1)))  # per length: log of the chance that a tree misses a partner
+    at = np.full((n, trees), lengths - 1)
+    rows, tree = np.arange(n), np.arange(trees)
+    while len(rows):
+        rows = rows[missed[at[rows]].sum(axis=1) > np.log1p(-recall)]
+        own = at[rows]
+        shorter = np.take_along_axis(crowds[rows], np.maximum(own - 1, 0)[:, :, None], axis=2)[:, :, 0].astype(np.int64)
+        cost = np.where(own > 0, (shorter * lengths + (lengths - 1 - own)) * trees + tree, np.iinfo(np.int64).max)
+        at[rows, cost.argmin(axis=1)] -= 1
+    return at + floor
+
+
+def _asking(trees: int, depth: int, floor: int, threshold: float, recall: float):
+    """Per text, from its nodes that others share: which of them it asks."""
+
+    @F.arrow_udf("array<struct<node: long, n: long, asks: boolean>>")
+    def ask(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            nodes, of = column.flatten(), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+            tree, length, n = (nodes.field(c).to_numpy(zero_copy_only=False) for c in ("tree", "length", "n"))
+            crowds = np.zeros((len(column), trees, depth - floor + 1), dtype=np.int8)
+            crowds[of, tree, length - floor] = np.ceil(np.log2(np.maximum(n / CROWD, 1)))
+            asks = asked_lengths(crowds, floor, threshold, recall)[of, tree] == length
+            out = pa.StructArray.from_arrays([nodes.field("node"), nodes.field("n"), pa.array(asks)], names=["node", "n", "asks"])
+            ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(column)))]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), out)
+
+    return ask
+
+
+def _met(reps: DataFrame, trees: int, depth: int, threshold: float, recall: float) -> DataFrame:
+    """The nodes that are asked, with the texts below them: rows (node, rep, n, asks), where n counts the node's texts."""
+    floor = max(1, prefix_length(trees, depth, threshold, recall) - 1)
+    size = 4 * depth  # bytes of one tree's signature
+    leaf = [F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")]
+    leaves = reps.select("rep", "signature", *leaf).select("rep", "tree", F.substring("signature", F.col("tree") * size + 1, F.lit(size)).alias("leaf"))
+    node = F.xxhash64("tree", "length", F.substring("leaf", F.lit(1), 4 * F.col("length")))
+    roots = leaves.withColumn("length", F.lit(floor)).withColumn("root", node)
+    shared = roots.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    # sorted, so that a node's leaves lie together and are counted where they are; a crowded node goes over several partitions
+    tries = roots.join(shared, "root").select("rep", "tree", "leaf")
+    tries = stored_table(tries.repartitionByRange("tree", "leaf", "rep").sortWithinPartitions("tree", "leaf", "rep"), "tries")
+    nodes = tries.withColumn("length", F.explode(F.sequence(F.lit(floor), F.lit(depth)))).select("rep", "tree", "length", node.alias("node"))
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    own = nodes.join(sizes, "node").groupBy("rep").agg(F.collect_list(F.struct("tree", "length", "n", "node")).alias("nodes"))
+    asked = own.select("rep", F.explode(_asking(trees, depth, floor, threshold, recall)("nodes")).alias("a"))
+    asked = stored_table(asked.select("rep", "a.node", "a.n", "a.asks"), "asked")
+    return asked.join(asked.filter("asks").select("node").distinct(), "node")
 
 
 def _signatures(column: pa.Array, width: int) -> np.ndarray:
@@ -140,11 +185,12 @@ def text_bytes_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near_by_signature(width: int, least: float):
-    """Per run (a pair of blocks of a node): compare signatures, hand on a spanning forest."""
+    """Per run (a pair of blocks of a node): compare the signatures of those that ask with all others, hand on a spanning forest."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in runs(batches, ["node", "i", "j"]):
             reps = t.column("rep").to_numpy()
+            asks = t.column("asks").to_numpy()
             own = _signatures(t.column("signature"), width)
             found_a, found_b = [], []
             for size in np.unique(np.diff(at)):
@@ -156,6 +202,8 @@ def _near_by_signature(width: int, least: float):
                     b = (starts[s : s + step, None] + y[None, :]).reshape(-1)
                     for p in range(0, len(a), _PAIRS):
                         u, v = a[p : p + _PAIRS], b[p : p + _PAIRS]
+                        met = asks[u] | asks[v]
+                        u, v = u[met], v[met]
                         near = np.count_nonzero(own[u] == own[v], axis=1) >= least * width
                         found_a.append(u[near])
                         found_b.append(v[near])
@@ -237,7 +285,7 @@ def _blocks(members: DataFrame, group: str, n_blocks: str) -> DataFrame:
 def _classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, recall: float = 0.9999, trees: int = 20, depth: int = 5) -> tuple[DataFrame, DataFrame]:
     """The rows (row, doc_id, text key), and one row per text with words: key, first_id and first_row (of its smallest id),
     copies, class_id, n_links, head (its class keeps this text)."""
-    prefix, width = prefix_length(trees, depth, threshold, recall), trees * depth
+    width = trees * depth
     least = threshold - 4 * (threshold * (1 - threshold) / width) ** 0.5
     signed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         _signing(shingle, trees, depth), "doc_id long, k1 long, k2 long, n_words long, n_bytes long, signature binary"
@@ -249,9 +297,8 @@ def _classes(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, recall:
     texts = texts.orderBy(F.asc_nulls_last("first_id"), *_KEY).withColumn("rep", F.monotonically_increasing_id())
     texts = stored_table(texts, "texts")
     reps = stored_table(signed.select(F.col("row").alias("first_row"), "signature").join(texts.select("first_row", "rep"), "first_row").select("rep", "signature"), "reps")
-    nodes = stored_table(reps.mapInArrow(_tree_nodes(trees, depth, prefix), "rep long, node long"), "nodes")
-    shared = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").withColumn("n_blocks", F.ceil(F.col("n") / BLOCK_TEXTS)).drop("n")
-    members = nodes.join(shared, "node").join(reps, "rep").select("node", "rep", "n_blocks", "signature")
+    members = _met(reps, trees, depth, threshold, recall).join(reps, "rep")
+    members = members.select("node", "rep", "asks", F.ceil(F.col("n") / BLOCK_TEXTS).alias("n_blocks"), "signature")
     candidates = _blocks(members, "node", "n_blocks").mapInArrow(_near_by_signature(width, least), "a long, b long")
     groups = components(candidates).select(F.col("id").alias("rep"), F.col("component").alias("gid"))
     sized = groups.join(texts.select("rep", *_KEY, "first_id", "copies", "n_bytes"), "rep")
