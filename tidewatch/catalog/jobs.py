@@ -385,6 +385,47 @@ def j2_early(spark, sf) -> DataFrame:
     return flows.filter("uid <> 'C-1'").select("uid", _us("ts"), "proto", "ssl_version")
 
 
+# records arrive by fifths of the time range, TLS records or connections of some uids one or two parts late; event time runs a part and a half behind
+_EARLY_PARTS = """select * from (with b as (select min(epoch_us(ts)) as lo, max(epoch_us(ts)) as hi from {conn}),
+ r as (select c.uid, c.proto, s.version, epoch_us(c.ts) as t, epoch_us(s.ts) as tls, (hi - lo + 1) * 3 // 10000000 * 1000 as behind,
+  (epoch_us(c.ts) - lo) * 5 // (hi - lo + 1) + case cast(substr(c.uid, 2) as bigint) % 5 when 3 then 1 when 4 then 2 else 0 end as pc,
+  (epoch_us(c.ts) - lo) * 5 // (hi - lo + 1) + case cast(substr(c.uid, 2) as bigint) % 5 when 1 then 1 when 2 then 2 else 0 end as ps
+  from {conn} c cross join b left join {ssl} s on c.uid = s.uid),
+ a as (select pc as part, t as us from r union all select ps, tls from r where tls is not null),
+ m as (select p.part, coalesce((select max(us) from a where a.part < p.part) // 1000 - (select max(behind) from r), 0) as mark from (select distinct part from a) p)"""
+
+
+@query(
+    "j2_early_batches",
+    _EARLY_PARTS
+    + """ select uid, t as ts_us, proto, case when tls > mt.mark * 1000 and (pc = ps or (pc < ps and t // 1000 + 2000 > mt.mark) or (pc > ps and tls // 1000 + 120000 > mc.mark))
+ then version end as ssl_version from r join m mc on mc.part = pc left join m mt on mt.part = ps where t > mc.mark * 1000) x""",
+)
+def j2_early_parts(spark, sf) -> DataFrame:
+    """The early form over seven batches and a closing one: a TLS record still counts if it comes before the timer of its connection (2 s
+    after it, by event time), a connection if it comes before its TLS record is given up (after the TTL); late ones are dropped."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    conn = view(spark, sf, "conn").select("uid", "ts", "proto")
+    b = conn.agg(F.min(us).alias("low"), F.max(us).alias("high")).first()
+    span = b["high"] - b["low"] + 1
+    kind = F.expr("cast(substr(uid, 2) as bigint) % 5")
+    late = lambda one, two: F.when(kind == one, 1).when(kind == two, 2).otherwise(0)
+    conn = conn.withColumn("part", F.floor((us - F.lit(b["low"])) * 5 / F.lit(span)))
+    ssl = view(spark, sf, "ssl").select("uid", "ts", "version").join(conn.select("uid", "part"), "uid")
+    rows = conn.withColumns({"log": F.lit("conn"), "part": F.col("part") + late(3, 4)})
+    rows = rows.unionByName(ssl.withColumns({"log": F.lit("ssl"), "part": F.col("part") + late(1, 2)}), allowMissingColumns=True)
+    rows = stored_table(rows, "arrivals")
+    end = rows.filter("log = 'conn'").orderBy("uid").limit(1).withColumns({"uid": F.lit("C-1"), "ts": (F.timestamp_micros(F.lit(b["high"] + 2 * span)) + F.expr("interval 1 day")).cast(rows.schema["ts"].dataType)})
+
+    def flows(stream: DataFrame) -> DataFrame:
+        logs = {"conn": stream.filter("log = 'conn'").select("uid", "ts", "proto"), "ssl": stream.filter("log = 'ssl'").select("uid", "ts", "version")}
+        return correlate_early(logs, Settings(early_lateness_seconds=span * 3 // 10_000_000))
+
+    parts = [rows.filter(F.col("part") == k) for k in range(7)]
+    found = drain_in_turn([p.drop("part") for p in [*parts, end]], flows, "early-batches")
+    return found.filter("uid <> 'C-1'").select("uid", _us("ts"), "proto", "ssl_version")
+
+
 @query("k6_stream_dedup", "select distinct uid, version from {ssl_dup}")
 def k6_stream(spark, sf) -> DataFrame:
     stream = _stream_view(spark, _events_stream(spark, sf), "ssl_dup")

@@ -9,18 +9,19 @@ record, at the price of Python state per uid.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.operators.correlate import flatten_sources, latest_per_log, tagged_union
 
 
-_EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}  # the default would cut to milliseconds
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_SORTED_ROWS = 10_000  # records of one uid in one batch are taken in the order of time, so many at once
 
 
 def _watermarked(logs: dict[str, DataFrame], delay_seconds: int) -> DataFrame:
@@ -50,60 +51,70 @@ def correlate_tagged(rows: DataFrame, logs: dict[str, DataFrame], settings: Sett
     return flatten_sources(sessions, logs)
 
 
+class _Entries(StatefulProcessor):
+    """One entry per uid: the last record of each log, typed, and the times of its first and last record."""
+
+    def __init__(self, names: list[str], schema: T.StructType, delay_ms: int, ttl_ms: int):
+        self.names, self.schema, self.delay_ms, self.ttl_ms = names, schema, delay_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.entry = handle, handle.getValueState("entry", self.schema)
+
+    def _load(self) -> tuple[dict, int | None, int | None]:
+        if not self.entry.exists():
+            return {}, None, None
+        *records, first, last = self.entry.get()
+        return {n: r for n, r in zip(self.names, records, strict=True) if r is not None}, first, last
+
+    def _flow(self, key: tuple, held: dict) -> Row:
+        return Row("uid", *self.names)(key[0], *[held.get(n) for n in self.names])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, first, last = self._load()
+        rows = iter(rows)
+        while some := sorted(islice(rows, _SORTED_ROWS), key=lambda r: r["at"]):
+            for row in some:
+                at = row["at"] // 1000
+                first, last = at if first is None else min(first, at), at if last is None else max(last, at)
+                held.update({n: row[n] for n in self.names if row[n] is not None})
+                if "conn" in held and "ssl" in held:
+                    yield self._flow(key, held)
+                    held, first, last = {}, None, None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held:
+            self.entry.update((*[held.get(n) for n in self.names], first, last))
+            due = first + self.delay_ms if "conn" in held else last + self.ttl_ms
+            self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
+        else:
+            self.entry.clear()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held, _, _ = self._load()
+        self.entry.clear()
+        if "conn" in held:
+            yield self._flow(key, held)
+
+    def close(self) -> None:
+        pass
+
+
 def correlate_early(logs: dict[str, DataFrame], settings: Settings = DEFAULTS) -> DataFrame:
     """Low-latency form, keyed state per uid with event-time timers.
 
     Emits when conn and ssl are both present, else once the watermark is past the coalescing delay
-    and a conn record is there. Without one the entry is dropped a TTL after its last record. A side
+    and a conn record is there. Without one the entry is dropped a TTL after its last record.
     Event time runs ``early_lateness_seconds`` behind the newest record, so a connection without TLS
     waits that long and the coalescing delay, not the TTL. A side
     record that comes after the flow was emitted opens an entry of its own and is dropped in time.
+    Records are kept under their own types, to the microsecond; state lives in the RocksDB store, which timers need.
     """
-    names = list(logs)
-    packed = _watermarked(logs, settings.early_lateness_seconds).select(
-        "uid", "ts", *[F.when(F.col(n).isNotNull(), F.to_json(n, _EXACT)).alias(n) for n in names]
-    )
-    delay_ms, ttl_ms = settings.coalesce_seconds * 1000, settings.uid_ttl_seconds * 1000
-    out_schema = T.StructType([T.StructField("uid", T.StringType()), *[T.StructField(n, T.StringType()) for n in names]])
-    state_schema = T.StructType(
-        [
-            *[T.StructField(n, T.StringType()) for n in names],
-            T.StructField("first_ms", T.LongType()),
-            T.StructField("last_ms", T.LongType()),
-        ]
-    )
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        found: list[list] = []
-        held, first, last = {}, None, None
-        if state.exists:
-            *values, first, last = state.get
-            held = {n: v for n, v in zip(names, values, strict=True) if v is not None}
-        if state.hasTimedOut:
-            if "conn" in held:
-                found.append([key[0], *[held.get(n) for n in names]])
-            state.remove()
-        else:
-            for batch in batches:
-                for row in batch.sort_values("ts").itertuples(index=False):
-                    at = int(row.ts.timestamp() * 1000)
-                    first = at if first is None else min(first, at)
-                    last = at if last is None else max(last, at)
-                    held.update({n: getattr(row, n) for n in names if getattr(row, n) is not None})
-                    if "conn" in held and "ssl" in held:
-                        found.append([key[0], *[held.get(n) for n in names]])
-                        held, first, last = {}, None, None
-            if held:
-                state.update((*[held.get(n) for n in names], first, last))
-                due = first + delay_ms if "conn" in held else last + ttl_ms
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        yield pd.DataFrame(found, columns=["uid", *names], dtype=object)
-
-    merged = packed.groupBy("uid").applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout
-    )
-    bodies = {n: T.StructType([f for f in df.schema.fields if f.name != "uid"]) for n, df in logs.items()}
-    parsed = merged.select("uid", *[F.from_json(n, bodies[n], _EXACT).alias(n) for n in names])
-    return flatten_sources(parsed, logs)
+    names, spark = list(logs), next(iter(logs.values())).sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    rows = _watermarked(logs, settings.early_lateness_seconds).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    bodies = [T.StructField(n, rows.schema[n].dataType) for n in names]
+    out = T.StructType([T.StructField("uid", T.StringType()), *bodies])
+    state = T.StructType([*bodies, T.StructField("first_ms", T.LongType()), T.StructField("last_ms", T.LongType())])
+    entries = _Entries(names, state, settings.coalesce_seconds * 1000, settings.uid_ttl_seconds * 1000)
+    merged = rows.groupBy("uid").transformWithState(entries, out, "Append", "EventTime")
+    return flatten_sources(merged, logs)
