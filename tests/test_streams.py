@@ -80,6 +80,25 @@ def test_early_form(spark, tmp_path):
     assert run() == {("both", "b", "s"), ("next", "n", "n"), ("alone", "a", None)}
 
 
+def test_early_state_is_kept_by_bucket(spark, tmp_path, monkeypatch):
+    """Many uids in few state values; those that are due come out, the others wait, and a late TLS record finds its connection."""
+    from tidewatch.streaming import correlate as module
+
+    monkeypatch.setattr(module, "_BUCKETS", 3)
+    logs, out = two_logs(spark, tmp_path), str(tmp_path / "out")
+    run = lambda: {(r.uid, r.v, r.ssl_v) for r in drain_to_table(correlate_early(logs), "e", out).collect()}
+    put(spark, tmp_path / "conn", [(f"u{k}", at(k), f"c{k}") for k in range(40)])
+    put(spark, tmp_path / "ssl", [(f"u{k}", at(k), f"s{k}") for k in range(0, 30, 3)] + [("orphan", at(30), "o")])
+    closed = {(f"u{k}", f"c{k}", None if k % 3 or k >= 30 else f"s{k}") for k in range(36)}  # the watermark is at 37 s: due at or before it
+    assert run() == closed
+    state = spark.read.format("statestore").option("stateVarName", "bucket").load(f"{out}/progress").selectExpr("explode(value.entries) as e", "key")
+    assert {r["uid"] for r in state.select("e.uid").collect()} == {"u36", "u37", "u38", "u39", "orphan"}
+    assert state.select("key").distinct().count() <= 3
+    put(spark, tmp_path / "conn", [("end", at(4000), "z")])
+    put(spark, tmp_path / "ssl", [("u38", at(38), "late"), ("end", at(4000), "z")])
+    assert run() - closed == {("u36", "c36", None), ("u37", "c37", None), ("u38", "c38", "late"), ("u39", "c39", None), ("end", "z", "z")}
+
+
 def test_log_folder_that_starts_empty(spark, tmp_path):
     folder = tmp_path / "conn-log"
     folder.mkdir()

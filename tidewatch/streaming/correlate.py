@@ -3,7 +3,7 @@
 ``correlate_stream`` is the main form: one union, one watermark, one state store. A flow comes out
 when its uid has been quiet for the TTL and the watermark has passed that. ``correlate_early`` gives
 flows as soon as connection and TLS record are both there, or the coalescing delay after the first
-record, at the price of Python state per uid.
+record, at the price of Python state per bucket of uids.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.operators.correlate import flatten_sources, latest_per_log, tagged_union
+from tidewatch.streaming.run import ROCKSDB
 
-
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_SORTED_ROWS = 10_000  # records of one uid in one batch are taken in the order of time, so many at once
+_BUCKETS = 4096  # uids by hash; a running stream can't change it
+_SORTED_ROWS = 50_000  # records of one bucket in one batch are taken in the order of time, so many at once
 
 
 def _watermarked(logs: dict[str, DataFrame], delay_seconds: int) -> DataFrame:
@@ -51,56 +51,78 @@ def correlate_tagged(rows: DataFrame, logs: dict[str, DataFrame], settings: Sett
     return flatten_sources(sessions, logs)
 
 
+def _plain(record) -> tuple | None:
+    """A record as a tuple of its fields: what the state takes inside of lists."""
+    return None if record is None else tuple(record.values() if isinstance(record, dict) else record)
+
+
 class _Entries(StatefulProcessor):
-    """One entry per uid: the last record of each log, typed, and the times of its first and last record."""
+    """One entry per uid: the last record of each log, typed, and the times of its first and last record. The entries of all uids of a
+    bucket are one value with one timer, the earliest that is due: a batch reads and writes a bucket once, not every uid."""
 
     def __init__(self, names: list[str], schema: T.StructType, delay_ms: int, ttl_ms: int):
         self.names, self.schema, self.delay_ms, self.ttl_ms = names, schema, delay_ms, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.entry = handle, handle.getValueState("entry", self.schema)
-
-    def _load(self) -> tuple[dict, int | None, int | None]:
-        if not self.entry.exists():
-            return {}, None, None
-        *records, first, last = self.entry.get()
-        return {n: r for n, r in zip(self.names, records, strict=True) if r is not None}, first, last
-
-    def _flow(self, key: tuple, held: dict) -> Row:
-        return Row("uid", *self.names)(key[0], *[held.get(n) for n in self.names])
+        self.handle, self.bucket = handle, handle.getValueState("bucket", self.schema)
+
+    def _load(self) -> tuple[dict[str, list], int | None]:
+        """Per uid: records by log, time of the first and of the last, when it is due; and the timer of the bucket."""
+        value = self.bucket.get()
+        if value is None:
+            return {}, None
+        entries, timer = value
+        held = {}
+        for uid, *records, first, last, due in entries:
+            held[uid] = [{n: _plain(r) for n, r in zip(self.names, records, strict=True) if r is not None}, first, last, due]
+        return held, timer
+
+    def _keep(self, held: dict[str, list], before: int | None, timer: int | None) -> None:
+        """``before``: a timer to be replaced."""
+        if before is not None and before != timer:
+            self.handle.deleteTimer(before)
+        if not held:
+            self.bucket.clear()
+            return
+        self.bucket.update(([(uid, *[r.get(n) for n in self.names], *times) for uid, (r, *times) in held.items()], timer))
+        if timer != before:
+            self.handle.registerTimer(timer)
+
+    def _flow(self, uid: str, records: dict) -> Row:
+        return Row("uid", *self.names)(uid, *[records.get(n) for n in self.names])
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held, first, last = self._load()
+        held, before = self._load()
+        soonest = timerValues.getCurrentWatermarkInMs() + 1
         rows = iter(rows)
         while some := sorted(islice(rows, _SORTED_ROWS), key=lambda r: r["at"]):
             for row in some:
-                at = row["at"] // 1000
-                first, last = at if first is None else min(first, at), at if last is None else max(last, at)
-                held.update({n: row[n] for n in self.names if row[n] is not None})
-                if "conn" in held and "ssl" in held:
-                    yield self._flow(key, held)
-                    held, first, last = {}, None, None
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if held:
-            self.entry.update((*[held.get(n) for n in self.names], first, last))
-            due = first + self.delay_ms if "conn" in held else last + self.ttl_ms
-            self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1))
-        else:
-            self.entry.clear()
+                at, entry = row["at"] // 1000, held.setdefault(row["uid"], [{}, None, None, None])
+                records, first, last, _ = entry
+                entry[1], entry[2] = at if first is None else min(first, at), at if last is None else max(last, at)
+                records.update({n: _plain(row[n]) for n in self.names if row[n] is not None})
+                if "conn" in records and "ssl" in records:
+                    yield self._flow(row["uid"], records)
+                    del held[row["uid"]]
+                else:
+                    entry[3] = max(entry[1] + self.delay_ms if "conn" in records else entry[2] + self.ttl_ms, soonest)
+        self._keep(held, before, min((e[3] for e in held.values()), default=None))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held, _, _ = self._load()
-        self.entry.clear()
-        if "conn" in held:
-            yield self._flow(key, held)
+        held, _ = self._load()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        for uid in [uid for uid, entry in held.items() if entry[3] <= now]:
+            records = held.pop(uid)[0]
+            if "conn" in records:
+                yield self._flow(uid, records)
+        self._keep(held, None, min((e[3] for e in held.values()), default=None))
 
     def close(self) -> None:
         pass
 
 
 def correlate_early(logs: dict[str, DataFrame], settings: Settings = DEFAULTS) -> DataFrame:
-    """Low-latency form, keyed state per uid with event-time timers.
+    """Low-latency form, an entry per uid, kept in keyed state by buckets of uids with event-time timers.
 
     Emits when conn and ssl are both present, else once the watermark is past the coalescing delay
     and a conn record is there. Without one the entry is dropped a TTL after its last record.
@@ -110,11 +132,14 @@ def correlate_early(logs: dict[str, DataFrame], settings: Settings = DEFAULTS) -
     Records are kept under their own types, to the microsecond; state lives in the RocksDB store, which timers need.
     """
     names, spark = list(logs), next(iter(logs.values())).sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = _watermarked(logs, settings.early_lateness_seconds).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     bodies = [T.StructField(n, rows.schema[n].dataType) for n in names]
     out = T.StructType([T.StructField("uid", T.StringType()), *bodies])
-    state = T.StructType([*bodies, T.StructField("first_ms", T.LongType()), T.StructField("last_ms", T.LongType())])
+    times = [T.StructField(n, T.LongType()) for n in ("first_ms", "last_ms", "due_ms")]
+    entry = T.StructType([T.StructField("uid", T.StringType()), *bodies, *times])
+    state = T.StructType([T.StructField("entries", T.ArrayType(entry)), T.StructField("timer_ms", T.LongType())])
     entries = _Entries(names, state, settings.coalesce_seconds * 1000, settings.uid_ttl_seconds * 1000)
-    merged = rows.groupBy("uid").transformWithState(entries, out, "Append", "EventTime")
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("uid"), F.lit(_BUCKETS)))
+    merged = rows.groupBy("_bucket").transformWithState(entries, out, "Append", "EventTime")
     return flatten_sources(merged, logs)

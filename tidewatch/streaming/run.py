@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 
 from tidewatch.sources.storage import scratch_path
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def drain_to_table(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Process all available input into a parquet table in shared storage and read that. Repeating the
