@@ -99,6 +99,22 @@ def test_early_state_is_kept_by_bucket(spark, tmp_path, monkeypatch):
     assert run() - closed == {("u36", "c36", None), ("u37", "c37", None), ("u38", "c38", "late"), ("u39", "c39", None), ("end", "z", "z")}
 
 
+def test_flow_window_state_is_small(spark, tmp_path):
+    """A window of few destinations doesn't hold a table of registers; few destinations are counted exactly."""
+    from tidewatch.streaming.reports import source_activity_stream
+
+    schema, out = "ts timestamp, src_ip string, dst_ip string, bytes_in bigint, bytes_out bigint", str(tmp_path / "out")
+    rows = [(at(30 * w), f"s{w}", None if w == 0 else f"d{k % w}", 1, 2) for w in range(9) for k in range(12)]
+    put(spark, tmp_path / "in", [*rows, (at(5000), "end", "d", 0, 0)], schema)
+    found = drain_to_table(source_activity_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "w", out)
+    assert {(r.src_ip, r.flows, r.distinct_destinations) for r in found.collect()} == {(f"s{w}", 12, w) for w in range(9)}
+    put(spark, tmp_path / "in", [(at(5000 + w), f"s{w}", "d", 1, 1) for w in range(50)], schema)
+    drain_to_table(source_activity_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), "w", out)
+    state = [r["value"] for r in spark.read.format("statestore").load(f"{out}/progress").collect()]
+    assert state and max(len(v) for v in state) < 10
+    assert max(len(x) for v in state for x in v if isinstance(x, (bytes, bytearray))) < 100
+
+
 def test_log_folder_that_starts_empty(spark, tmp_path):
     folder = tmp_path / "conn-log"
     folder.mkdir()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import DEFAULTS, Settings
+from tidewatch.streaming.run import ROCKSDB
 
 
 def dedup_stream(flows: DataFrame, event_time: str = "ts", delay_seconds: int | None = None) -> DataFrame:
@@ -35,7 +36,9 @@ def first_sightings_known(changes: DataFrame) -> DataFrame:
 
 def source_activity_stream(flows: DataFrame, settings: Settings = DEFAULTS, delay_seconds: int | None = None) -> DataFrame:
     """Tumbling flow windows per source. A stream cannot count distinct values exactly, so it uses
-    the sketch; the batch report is exact."""
+    a sketch of 0.8 % standard error; the batch report is exact. The sketch holds the few destinations of most windows as a list
+    (a fixed table of registers would take 13 KB a window), and state lives in the RocksDB store, not in the executors' heap."""
+    flows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     seconds = settings.uid_ttl_seconds if delay_seconds is None else delay_seconds
     return (
         flows.withWatermark("ts", f"{seconds} seconds")
@@ -44,7 +47,7 @@ def source_activity_stream(flows: DataFrame, settings: Settings = DEFAULTS, dela
             F.count(F.lit(1)).alias("flows"),
             F.sum("bytes_in").alias("bytes_in"),
             F.sum("bytes_out").alias("bytes_out"),
-            F.approx_count_distinct("dst_ip", 0.01).alias("distinct_destinations"),
+            F.hll_sketch_estimate(F.hll_sketch_agg("dst_ip", 14)).alias("distinct_destinations"),
         )
         .select(F.col("window.start").alias("window_start"), "src_ip", "flows", "bytes_in", "bytes_out", "distinct_destinations")
     )
