@@ -64,6 +64,43 @@ def test_attack_rows_score_higher(rows, detectors):
     assert by[1] > by[0] + 0.3
 
 
+@pytest.mark.parametrize("large", [100, 10**6])
+def test_forest_of_large_and_small_nodes(spark, rows, monkeypatch, large):
+    """Nodes split over all tasks or in one: no tree is deeper than allowed, votes are those of a walk by plain comparisons, missing
+    values included, trees are a table, and a second fit gives the same forest."""
+    from tidewatch.detectors import forest
+
+    monkeypatch.setattr(forest, "_ROWS", large)
+    monkeypatch.setattr(forest, "_WAVE_BYTES", 100_000)
+    settings = Settings(rf_trees=3, rf_depth=7)
+    model, again = (forest.AttackForest(settings).fit(rows) for _ in range(2))
+    trees = {(r["tree"], r["part"]): forest._arrays(r, len(model.labels)) for r in model.trees.collect()}
+    assert (model.tops, model.gains, model.thresholds) == (again.tops, again.gains, again.thresholds)
+    assert {k: v["votes"].tobytes() for k, v in trees.items()} == {(r["tree"], r["part"]): bytes(r["votes"]) for r in again.trees.collect()}
+    assert sum(model.gains) == pytest.approx(1) and all(len(t["below"]) > 1 for t in model.tops) == (large == 100)
+
+    def walk(t, values):
+        depth, node, part = 0, 0, model.tops[t]
+        for inside in (False, True):
+            while part["below"][node] != node:
+                f, cut = part["feature"][node], part["cut"][node]
+                above = values[f] is None or np.isnan(values[f]) or cut >= len(model.thresholds[f]) or values[f] > model.thresholds[f][cut]
+                depth, node = depth + 1, part["below"][node] + int(above)
+            if not inside:
+                part, node = trees[t, int(node)], 0
+        assert depth <= settings.rf_depth
+        return part["votes"][node] / 2.0**40
+
+    odd = rows.limit(40).withColumn("IN_BYTES", F.lit(None).cast("double")).unionByName(rows.limit(60).withColumn("OUT_BYTES", F.lit(float("nan")).cast("double")))
+    scored = model.transform(odd).collect()
+    assert len(scored) == 100
+    for r in scored:
+        expected = sum(walk(t, [None if r[f] is None else float(r[f]) for f in FEATURE_NAMES]) for t in range(3)) / 3
+        assert r["class_probability"] == pytest.approx(expected.tolist(), abs=1e-9)
+    right = model.transform(rows).filter(F.col("attack_label") == F.col("Attack")).count()
+    assert right > 0.9 * rows.count()
+
+
 def test_own_reconstruction(rows, detectors):
     """A caller's function replaces the linear one; a perfect one leaves no error."""
     from dataclasses import replace

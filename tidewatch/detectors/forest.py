@@ -1,25 +1,36 @@
-"""Random-forest attack classifier on Spark ML."""
+"""Random-forest attack classifier: bootstrap samples, balanced weights, Gini gain over a random subset of features per node.
+
+Values are binned once. Nodes of more than ``_ROWS`` rows are split by histograms summed over all tasks; what lies below is grown by
+one task per subtree, which gets the rows of its node. So the data is gone over once for each level of large nodes and once for each
+wave of trees, not once for every few deep nodes. Trees are a stored table and never pass through the driver.
+"""
 
 from __future__ import annotations
 
 import json
+import math
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.config import DEFAULTS, Settings
 from tidewatch.functions.fixed_values import BENIGN, FEATURE_NAMES, UNKNOWN_ALTERNATIVE, UNKNOWN_LABEL
 from tidewatch.operators.statistics import class_weights, label_ids, with_label_id
+from tidewatch.sources.storage import scratch_path, spread, stored_table
 
 _PROBABILITY = "class_probability"
-
-
-def assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="keep").transform(df)
+_BINS = 32
+_ROWS = 1_000_000  # a node of so many drawn rows at most is grown on by one task
+_WAVE_BYTES = 4_000_000_000  # trees grown at once: as many as their drawn rows take
+_ONE = 1 << 40  # votes are whole numbers, so that their sums don't depend on the order
+_GROUPS, _CHUNK = 8, 250_000  # scoring: groups of trees, rows that meet one of them in one task
+_TREES = "tree int, part int, feature binary, cut binary, below binary, votes binary, importance array<double>"
 
 
 def attack_score(probability: Column, labels: dict[int, str]) -> Column:
@@ -53,45 +64,189 @@ def _name(class_id: Column, labels: dict[int, str], default: str) -> Column:
     return F.coalesce(F.create_map(*entries)[class_id], F.lit(default))
 
 
+def _thresholds(rows: DataFrame, features: list[str]) -> list[list[float]]:
+    """Per feature at most 31 thresholds: between all of its values if they are so few, else quantiles in which, as in the weights,
+    all classes count alike."""
+    valid = {c: F.when(F.isnan(c), None).otherwise(F.col(c)) for c in features}
+    sizes = rows.agg(*[F.approx_count_distinct(v).alias(c) for c, v in valid.items()]).first()
+    few = [c for c in features if sizes[c] <= 2 * _BINS]
+    held = rows.agg(*[F.collect_set(valid[c]).alias(c) for c in few]).first() if few else {}
+    values = {c: sorted(held[c]) for c in few if len(held[c]) <= _BINS}
+    steps = [k / (8 * _BINS) for k in range(1, 8 * _BINS)]
+    many = [F.percentile_approx(valid[c], steps, 4000).alias(c) for c in features if c not in values]
+    by_class = rows.groupBy("label_id").agg(*many).collect() if many else []
+
+    def cuts(c: str) -> list[float]:
+        if c in values:
+            return [(x + y) / 2 for x, y in zip(values[c], values[c][1:])]
+        points = sorted(v for r in by_class for v in r[c] or [])
+        return sorted({points[len(points) * k // _BINS] for k in range(1, _BINS)})
+
+    return [cuts(c) for c in features]
+
+
+def _binned(batch: pa.RecordBatch, features: list[str], cuts: list[list[float]]) -> np.ndarray:
+    """Number of thresholds below each value; a missing one is above all."""
+    column = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
+    return np.column_stack([np.searchsorted(np.asarray(t, dtype=np.float64), column(c)).astype(np.uint8) for c, t in zip(features, cuts, strict=True)])
+
+
+def _route(tree: dict[str, np.ndarray], bins: np.ndarray) -> np.ndarray:
+    """The leaf of every row. A leaf is its own child, and no bin is above its cut."""
+    place, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    while True:
+        after = tree["below"][place] + (bins[rows, tree["feature"][place]] > tree["cut"][place])
+        if np.array_equal(after, place):
+            return place
+        place = after
+
+
+def _best_splits(counts: np.ndarray, chosen: np.ndarray, histogram) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per node the gain (weight times loss of impurity), feature and bin of the best split. ``histogram``: per place in ``chosen``
+    the class weights by node and bin."""
+    squares = lambda x: (x**2).sum(axis=-1) / np.maximum(x.sum(axis=-1), 1e-300)
+    n = np.arange(len(counts))
+    gain, feature, cut = np.zeros(len(counts)), np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    for j in range(chosen.shape[1]):
+        h = histogram(j)
+        filled = h.sum(axis=-1) > 0
+        low = h.cumsum(axis=1)
+        split = np.logical_or.accumulate(filled, axis=1)[:, :-1] & np.logical_or.accumulate(filled[:, ::-1], axis=1)[:, ::-1][:, 1:]
+        high = np.maximum(low[:, -1:] - low, 0)
+        value = np.where(split, (squares(low) + squares(high))[:, :-1] - squares(low[:, -1])[:, None], 0)
+        best = value.argmax(axis=1)
+        better = value[n, best] > gain
+        gain, feature, cut = np.where(better, value[n, best], gain), np.where(better, chosen[:, j], feature), np.where(better, best, cut)
+    return np.where(gain > 1e-9 * counts.sum(axis=1), gain, 0), feature, cut
+
+
+def _chosen(rng: np.random.Generator, nodes: int, features: int) -> np.ndarray:
+    """For each node its random subset of features."""
+    return rng.random((nodes, features)).argsort(axis=1)[:, : math.ceil(math.sqrt(features))]
+
+
+def _votes(counts: np.ndarray) -> np.ndarray:
+    return np.floor(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-300) * _ONE).astype(np.int64)
+
+
+def _grow(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, classes: int, depth: int, rng: np.random.Generator) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """A tree over the rows, level by level, and the gain of each feature."""
+    features, cuts, below, counts = ([] for _ in range(4))
+    importance = np.zeros(bins.shape[1])
+    at, first = np.zeros(len(bins), np.int64), 0  # the node of each row within its level, the number of the level's first node
+    level = np.bincount(label, weight, classes)[None, :]
+    width = max(1, 1_000_000 // (_BINS * classes))
+    while len(level):
+        n, own = len(level), np.arange(first, first + len(level))
+        gain, feature, cut = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        mixed = np.flatnonzero((level > 0).sum(axis=1) > 1) if depth > 0 else np.zeros(0, np.int64)
+        order = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at[order], np.arange(n + 1))
+        for some in (mixed[k : k + width] for k in range(0, len(mixed), width)):
+            rows = np.concatenate([order[edges[k] : edges[k + 1]] for k in some])
+            place = np.repeat(np.arange(len(some)), edges[some + 1] - edges[some])
+            chosen = _chosen(rng, len(some), bins.shape[1])
+            tail, w, size = place * (_BINS * classes) + label[rows], weight[rows], len(some) * _BINS * classes
+            histogram = lambda j: np.bincount(tail + bins[rows, chosen[place, j]].astype(np.int64) * classes, w, size).reshape(len(some), _BINS, classes)  # noqa: B023, E731
+            gain[some], feature[some], cut[some] = _best_splits(level[some], chosen, histogram)
+        split = gain > 0
+        np.add.at(importance, feature[split], gain[split])
+        child = np.where(split, first + n + 2 * (np.cumsum(split) - 1), own)
+        features.append(np.where(split, feature, 0)), cuts.append(np.where(split, cut, 255)), below.append(child), counts.append(level)
+        stays = split[at]
+        bins, label, weight, at = bins[stays], label[stays], weight[stays], at[stays]
+        at = child[at] - (first + n) + (bins[np.arange(len(bins)), feature[at]] > cut[at])
+        first, depth = first + n, depth - 1
+        level = np.bincount(at * classes + label, weight, 2 * int(split.sum()) * classes).reshape(-1, classes)
+    arrays = {"feature": np.concatenate(features).astype(np.int16), "cut": np.concatenate(cuts).astype(np.uint8), "below": np.concatenate(below).astype(np.int32)}
+    return arrays | {"votes": _votes(np.concatenate(counts))}, importance
+
+
+_KINDS = {"feature": np.int16, "cut": np.uint8, "below": np.int32, "votes": np.int64}
+
+
+def _arrays(row: dict, classes: int) -> dict[str, np.ndarray]:
+    tree = {n: np.frombuffer(row[n], kind) for n, kind in _KINDS.items()}
+    return tree | {"votes": tree["votes"].reshape(-1, classes)}
+
+
 @dataclass
 class ForestModel:
-    model: RandomForestClassificationModel
+    """``trees``: stored table of subtrees, named by tree and leaf of the tree's top. ``tops``: per tree its large nodes."""
+
+    trees: DataFrame
+    tops: list[dict[str, list]]
+    thresholds: list[list[float]]
+    gains: list[float]
     labels: dict[int, str]
     features: list[str]
 
+    def _votes(self, rows: DataFrame, chunks: int) -> DataFrame:
+        """_id and the votes of all trees for each class. Blocks of rows meet groups of trees, a task for each pair of a chunk and a group."""
+        names, cuts, classes = self.features, self.thresholds, max(self.labels) + 1
+        tops = [{n: np.asarray(t[n], np.int64) for n in ("feature", "cut", "below")} for t in self.tops]
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(ids):
+                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([zlib.crc32(ids[:1].tobytes()) % chunks], pa.int32()), "ids": [ids.tobytes()], "bins": [_binned(batch, names, cuts).tobytes()]})
+
+        def score(left: pa.Table, right: pa.Table) -> pa.Table:
+            ids = np.frombuffer(b"".join(left.column("ids").to_pylist()), np.int64)
+            bins = np.frombuffer(b"".join(left.column("bins").to_pylist()), np.uint8).reshape(-1, len(names))
+            votes = np.zeros((len(ids), classes), np.int64)
+            parts: dict[int, list] = {}
+            for row in right.to_pylist():
+                parts.setdefault(row["tree"], []).append(row)
+            for number, found in parts.items():
+                top = _route(tops[number], bins)
+                for row in found:
+                    rows, tree = np.flatnonzero(top == row["part"]), _arrays(row, classes)
+                    votes[rows] += tree["votes"][_route(tree, bins[rows])]
+            return pa.table({"_id": ids, **{f"v{k}": votes[:, k].copy() for k in range(classes)}})
+
+        lanes = min(_GROUPS * chunks, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = rows.select("_id", *[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(blocks, "chunk int, ids binary, bins binary").select("*", numbers(_GROUPS).alias("group"))
+        right = self.trees.drop("importance").withColumn("group", F.col("tree") % _GROUPS).select("*", numbers(chunks).alias("chunk"))
+        left, right = (x.repartition(lanes, "group", "chunk").groupBy("group", "chunk") for x in (left, right))
+        votes = left.cogroup(right).applyInArrow(score, ", ".join(["_id bigint", *[f"v{k} bigint" for k in range(classes)]]))
+        return votes.groupBy("_id").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(classes)])
+
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add random_forest_score, attack_label and alternative_label from one probability vector."""
-        raw = assemble(df, self.features)
-        scored = self.model.transform(raw).withColumn(_PROBABILITY, vector_to_array("probability"))
+        """Add random_forest_score, attack_label and alternative_label from one probability vector. The rows are stored once."""
+        rows = stored_table(df.withColumn("_id", F.monotonically_increasing_id()), "to-classify")
+        votes = self._votes(spread(rows), max(1, math.ceil(rows.count() / _CHUNK)))
+        share = F.array(*[F.col(f"v{k}") / F.lit(float(_ONE * len(self.tops))) for k in range(max(self.labels) + 1)])
+        scored = rows.join(votes, "_id").withColumn(_PROBABILITY, share)
         p = F.col(_PROBABILITY)
         return scored.select(
             *df.columns,
             p,
             attack_score(p, self.labels).alias("random_forest_score"),
-            _name(F.col("prediction").cast("int"), self.labels, UNKNOWN_LABEL).alias("attack_label"),
+            _name(best_class(p), self.labels, UNKNOWN_LABEL).alias("attack_label"),
             _name(best_other_class(p, self.labels), self.labels, UNKNOWN_ALTERNATIVE).alias("alternative_label"),
         )
 
     def importances(self, spark: SparkSession) -> DataFrame:
-        rows = [(n, float(v)) for n, v in zip(self.features, self.model.featureImportances.toArray(), strict=True)]
-        return spark.createDataFrame(rows, "feature string, importance double")
+        return spark.createDataFrame(list(zip(self.features, self.gains, strict=True)), "feature string, importance double")
 
     def top_features(self, n: int = 5) -> list[tuple[str, float]]:
         """Global importances of the model, the same for every flow."""
-        values = self.model.featureImportances.toArray()
-        ranked = sorted(range(len(values)), key=lambda i: (-values[i], i))[:n]
-        return [(self.features[i], float(values[i])) for i in ranked]
+        ranked = sorted(range(len(self.gains)), key=lambda i: (-self.gains[i], i))[:n]
+        return [(self.features[i], self.gains[i]) for i in ranked]
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
-        meta = json.dumps({"labels": self.labels, "features": self.features})
+        self.trees.write.mode("overwrite").parquet(f"{path}/trees")
+        meta = json.dumps({n: getattr(self, n) for n in ("tops", "thresholds", "gains", "labels", "features")})
         spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ForestModel:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         labels = {int(k): v for k, v in meta["labels"].items()}
-        return cls(RandomForestClassificationModel.load(f"{path}/model"), labels, meta["features"])
+        return cls(spark.read.schema(_TREES).parquet(f"{path}/trees"), meta["tops"], meta["thresholds"], meta["gains"], labels, meta["features"])
 
 
 @dataclass(frozen=True)
@@ -100,24 +255,161 @@ class AttackForest:
     features: tuple[str, ...] = tuple(FEATURE_NAMES)
 
     def fit(self, training: DataFrame, label: str = "Attack", labels: dict[int, str] | None = None) -> ForestModel:
-        """Fit on all classes with balanced weights. Weights are joined on by class (one row each)."""
-        s = self.settings
+        """Fit on all classes with balanced weights."""
+        s, names = self.settings, list(self.features)
         labels = labels or label_ids(training, label)
-        weights = {r[label]: r["weight"] for r in class_weights(training, label).collect()}
-        entries: list[Column] = []
-        for k, v in weights.items():
-            entries += [F.lit(k), F.lit(float(v))]
-        rows = with_label_id(training, label, labels).withColumn("_weight", F.create_map(*entries)[F.col(label)])
-        data = assemble(rows, list(self.features)).select("_features", F.col("label_id").cast("double"), "_weight")
-        forest = RandomForestClassifier(
-            featuresCol="_features",
-            labelCol="label_id",
-            weightCol="_weight",
-            numTrees=s.rf_trees,
-            maxDepth=s.rf_depth,
-            seed=s.seed,
-            featureSubsetStrategy="sqrt",
-            # tree levels are trained together as far as memory allows: fewer passes over the data
-            maxMemoryInMB=512,
-        )
-        return ForestModel(forest.fit(data), labels, list(self.features))
+        found, classes = {r[label]: r["weight"] for r in class_weights(training, label).collect()}, max(labels) + 1
+        weights = np.array([float(found.get(labels.get(k), 0.0)) for k in range(classes)])
+        rows = with_label_id(training, label, labels).select(*[F.col(c).cast("double").alias(c) for c in names], F.col("label_id").cast("int"))
+        rows = stored_table(rows, "classified")
+        if not rows.filter(F.col("label_id").isNull()).isEmpty():
+            raise ValueError(f"{label} is missing in some rows, or not among the given labels")
+        cuts = _thresholds(rows, names)
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    known = batch.column("label_id").to_numpy(zero_copy_only=False).astype(np.int16)
+                    yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bins": [_binned(batch, names, cuts).tobytes()], "labels": [known.tobytes()]})
+
+        data = stored_table(spread(rows).mapInArrow(blocks, "rows bigint, bins binary, labels binary"), "binned")
+        total = data.agg(F.sum("rows")).first()[0] or 0
+        if total == 0:
+            raise ValueError("no labelled rows to fit on")
+        grower = _Grower(s, names, weights, classes, [{"feature": [0], "cut": [255], "below": [0]} for _ in range(s.rf_trees)], [[0] for _ in range(s.rf_trees)], np.zeros((s.rf_trees, len(names))))
+        grower.split_large(data, total)
+        per_wave = max(1, int(_WAVE_BYTES / (total * 0.64 * (len(names) + 3))))
+        path = None
+        for wave in (range(k, min(k + per_wave, s.rf_trees)) for k in range(0, s.rf_trees, per_wave)):
+            path = grower.grow_wave(data, wave, path)
+        trees = training.sparkSession.read.schema(_TREES).parquet(path)
+        gains = grower.gains + 0
+        for r in trees.select("tree", "importance").toLocalIterator():
+            gains[r["tree"]] += r["importance"]
+        gains /= np.maximum(gains.sum(axis=1, keepdims=True), 1e-300)
+        mean = gains.mean(axis=0)
+        mean = mean / mean.sum() if mean.sum() > 0 else mean
+        return ForestModel(trees, grower.tops, cuts, mean.tolist(), labels, names)
+
+
+@dataclass
+class _Grower:
+    """Growing over the binned blocks. Per tree its top (large nodes, split one level at a time), the depths of the top's nodes, and its gains."""
+
+    settings: Settings
+    features: list[str]
+    weights: np.ndarray
+    classes: int
+    tops: list[dict[str, list]]
+    depths: list[list[int]]
+    gains: np.ndarray
+
+    def _drawn(self):
+        """A function from a block and a tree to the drawn rows: leaf in the top, bins, labels, how often. The draw depends on the block's content."""
+        width, seed, many = len(self.features), self.settings.seed, len(self.tops) > 1
+        tops = [{n: np.asarray(v, np.int64) for n, v in t.items()} for t in self.tops]
+
+        def blocks(batch: pa.RecordBatch, trees):
+            for bins, known in zip(batch.column("bins").to_pylist(), batch.column("labels").to_pylist(), strict=True):
+                content = zlib.crc32(known, zlib.crc32(bins))
+                x, y = np.frombuffer(bins, np.uint8).reshape(-1, width), np.frombuffer(known, np.int16)
+                for t in trees:
+                    times = np.random.default_rng([seed, t, content]).poisson(1.0, len(x)).astype(np.uint8) if many else np.ones(len(x), np.uint8)
+                    drawn = np.flatnonzero(times)
+                    part = x[drawn]
+                    yield t, _route(tops[t], part), part, y[drawn], times[drawn]
+
+        return blocks
+
+    def split_large(self, data: DataFrame, total: int) -> None:
+        """Split nodes of more than ``_ROWS`` drawn rows, one level of all trees in each pass."""
+        large = {(t, 0) for t in range(len(self.tops))} if total * 0.64 > _ROWS else set()
+        while large:
+            by_tree: dict[int, list[int]] = {}
+            for t, node in sorted(large):
+                by_tree.setdefault(t, []).append(node)
+            chosen = {(t, node): _chosen(np.random.default_rng([self.settings.seed, 1, t, node]), 1, len(self.features))[0] for t, node in large}
+            drawn, weights, classes, seen = self._drawn(), self.weights, self.classes, sorted(by_tree)
+            cells = _BINS * classes
+
+            def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                sums = {}
+                for batch in batches:
+                    for t, leaf, x, y, times in drawn(batch, seen):  # noqa: B023
+                        for node in by_tree[t]:  # noqa: B023
+                            here = np.flatnonzero(leaf == node)
+                            w = times[here] * weights[y[here]]
+                            part = np.concatenate([[len(here)], *[np.bincount(x[here, f].astype(np.int64) * classes + y[here], w, cells) for f in chosen[t, node]]])  # noqa: B023
+                            sums[t, node] = sums[t, node] + part if (t, node) in sums else part
+                for (t, node), part in sums.items():
+                    yield pa.RecordBatch.from_pydict({"tree": pa.array([t], pa.int32()), "node": pa.array([node], pa.int32()), "sums": [part.tobytes()]})
+
+            def best(key, rows: pd.DataFrame) -> pd.DataFrame:
+                t, node = (int(v) for v in key)
+                # in one order, so that reruns agree
+                parts = np.sum([np.frombuffer(v, np.float64) for v in sorted(rows["sums"])], axis=0)
+                h = parts[1:].reshape(-1, 1, _BINS, classes)
+                counts = h[0].sum(axis=1)
+                gain, feature, cut = _best_splits(counts, chosen[t, node][None, :], lambda j: h[j])  # noqa: B023
+                return pd.DataFrame([(t, node, float(gain[0]), int(feature[0]), int(cut[0]))], columns=["tree", "node", "gain", "feature", "cut"])
+
+            sums = data.mapInArrow(histograms, "tree int, node int, sums binary")
+            splits = sums.groupBy("tree", "node").applyInPandas(best, "tree int, node int, gain double, feature int, cut int").collect()
+            opened = set()
+            for r in sorted(splits):
+                t, node, top = r["tree"], r["node"], self.tops[r["tree"]]
+                if r["gain"] > 0:
+                    child, depth = len(top["below"]), self.depths[t][node] + 1
+                    top["feature"][node], top["cut"][node], top["below"][node] = r["feature"], r["cut"], child
+                    top["feature"] += [0, 0]
+                    top["cut"] += [255, 255]
+                    top["below"] += [child, child + 1]
+                    self.depths[t] += [depth, depth]
+                    self.gains[t, r["feature"]] += r["gain"]
+                    opened |= {(t, child), (t, child + 1)} if depth < self.settings.rf_depth else set()
+            large = opened & self._larger(data, opened)
+
+    def _larger(self, data: DataFrame, nodes: set) -> set:
+        """Those of the nodes that still have more than ``_ROWS`` drawn rows."""
+        if not nodes:
+            return set()
+        drawn, seen = self._drawn(), sorted({t for t, _ in nodes})
+
+        def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for t, leaf, *_ in drawn(batch, seen):
+                    node, n = np.unique(leaf, return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"tree": pa.array([t] * len(node), pa.int32()), "node": pa.array(node.astype(np.int32)), "n": pa.array(n.astype(np.int64))})
+
+        counts = data.mapInArrow(sizes, "tree int, node int, n bigint").groupBy("tree", "node").agg(F.sum("n").alias("n"))
+        return {(r["tree"], r["node"]) for r in counts.filter(F.col("n") > _ROWS).collect()}
+
+    def grow_wave(self, data: DataFrame, wave: range, path: str | None) -> str:
+        """Send the rows of each subtree to one task, which grows it; add the subtrees to the table at ``path``."""
+        drawn, weights, classes, settings, depths = self._drawn(), self.weights, self.classes, self.settings, self.depths
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for t, leaf, x, y, times in drawn(batch, wave):
+                    nodes = np.unique(leaf)
+                    here = [leaf == node for node in nodes]
+                    yield pa.RecordBatch.from_pydict(
+                        {"tree": pa.array([t] * len(nodes), pa.int32()), "part": pa.array(nodes.astype(np.int32)), "bins": [x[h].tobytes() for h in here],
+                         "labels": [y[h].tobytes() for h in here], "times": [times[h].tobytes() for h in here]}
+                    )
+
+        def grow(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+            t, part = (k.as_py() for k in key)
+            whole = sorted(zip(*(rows.column(c).to_pylist() for c in ("bins", "labels", "times")), strict=True))  # in one order, so that reruns agree
+            x, y, times = (np.frombuffer(b"".join(v), kind) for v, kind in zip(zip(*whole, strict=True), (np.uint8, np.int16, np.uint8), strict=True))
+            y = y.astype(np.int64)
+            tree, gain = _grow(x.reshape(len(y), -1), y, times * weights[y], classes, settings.rf_depth - depths[t][part], np.random.default_rng([settings.seed, 2, t, part]))
+            named = {"tree": pa.array([t], pa.int32()), "part": pa.array([part], pa.int32()), **{n: [tree[n].tobytes()] for n in _KINDS}}
+            return pa.table(named | {"importance": pa.array([gain.tolist()], pa.list_(pa.float64()))})
+
+        spark = data.sparkSession
+        lanes = min(sum(len(self.tops[t]["below"]) for t in wave), 4 * spark.sparkContext.defaultParallelism)
+        dealt = data.mapInArrow(deal, "tree int, part int, bins binary, labels binary, times binary").repartition(lanes, "tree", "part")
+        path = path or scratch_path(spark, "trees")
+        dealt.groupBy("tree", "part").applyInArrow(grow, _TREES).write.mode("append").parquet(path)
+        return path
