@@ -252,3 +252,41 @@ def test_batch_cut_off_while_it_was_written_does_not_count(spark, tmp_path):
     assert count() == {"tcp": 1, None: 1}
     job.take(rows, 1)
     assert count() == {"tcp": 2, None: 2}
+
+
+def test_stream_ledger_shares_states_between_addresses(spark, tmp_path):
+    """Addresses by the hundred, some unblocked: as in batch, and no more states than buckets."""
+    from tidewatch.streaming.ledger import ledger_stream
+
+    rows = [(f"ip{k % 300}", 1_000_000 + 7 * k * 1_000_000, f"C{k}", k % 90, None) for k in range(3000)]
+    rows += [(f"ip{k % 300}", 2_000_000 + 70 * k * 1_000_000, "", None, "unblock" if k % 3 else "block") for k in range(200)]
+    rows += [(None, 5_000_000, "nobody", 1, None)]
+    held = spark.createDataFrame(rows, "ip string, us bigint, uid string, score int, action string").select("ip", F.timestamp_micros("us").alias("ts"), "uid", "score", "action")
+    last = spark.createDataFrame([("end", 10**12)], "ip string, us bigint").select("ip", F.timestamp_micros("us").alias("ts"), F.lit("").alias("uid"), F.lit(0).alias("score"), F.lit(None).cast("string").alias("action"))
+    settings = Settings(block_seconds=900)
+    alerts = lambda df: df.filter("action is null").select("ip", "ts", "uid", "score")
+    acts = lambda df: df.filter("action is not null").select("ip", "ts", "action")
+    states = []
+    for number, part in enumerate([held, last]):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(held.schema).parquet(str(tmp_path / "in"))
+        out = ledger_stream(alerts(stream), acts(stream), settings, delay_seconds=60, buckets=4)
+        query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        states += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(states) <= 4
+    columns = ["ip", "start_us", "expiry_us", "end_us", "score", "source", "ended_by"]
+    got = spark.read.parquet(str(tmp_path / "out")).filter("ip <> 'end'").select(columns).collect()
+    expected = block_ledger(alerts(held), acts(held), settings).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected)) and len({r.ip for r in got}) == 300
+
+
+def test_stream_ledger_settles_addresses_whose_times_are_far_apart():
+    import pandas as pd
+
+    from tidewatch.streaming.ledger import _settle
+
+    rows = pd.DataFrame([(f"ip{k}", t, 9, 0) for k in range(20) for t in (k, k + 5, k + 2**58)], columns=["ip", "t", "score", "kind"])
+    done, still = _settle(rows, rows.iloc[:0], 10, 2**58 + 25)
+    assert sorted(zip(done["ip"], done["start_us"])) == sorted([(f"ip{k}", k) for k in range(20)] + [(f"ip{k}", k + 2**58) for k in range(16)])
+    assert sorted(still["t"]) == [k + 2**58 for k in range(16, 20)]
