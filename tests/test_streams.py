@@ -290,3 +290,32 @@ def test_stream_ledger_settles_addresses_whose_times_are_far_apart():
     done, still = _settle(rows, rows.iloc[:0], 10, 2**58 + 25)
     assert sorted(zip(done["ip"], done["start_us"])) == sorted([(f"ip{k}", k) for k in range(20)] + [(f"ip{k}", k + 2**58) for k in range(16)])
     assert sorted(still["t"]) == [k + 2**58 for k in range(16, 20)]
+
+
+def test_live_detectors_see_each_flow_once_and_no_empty_batch(spark, sf, tmp_path):
+    met, calls = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    class Counting(DetectorSet):
+        def transform_ordered(self, ordered, start=None, lead=None):
+            calls.append(1)
+            scored, after, tail = super().transform_ordered(ordered, start, lead)
+            return scored.mapInArrow(counted, scored.schema), after, tail
+
+    flows = inputs.flows(spark, sf)
+    job = LiveScoring(str(tmp_path / "live"), threat_table(spark), Counting())
+    job.process(flows, 0)
+    total = flows.count()
+    assert met.value == total and len(calls) == 1
+    table = lambda name, batch: spark.read.parquet(str(tmp_path / f"live/{name}/batch={batch}"))
+    job.process(flows.limit(0), 1)
+    assert len(calls) == 1
+    for name in ("baseline", "open_blocks"):
+        assert sorted(map(str, table(name, 1).collect())) == sorted(map(str, table(name, 0).collect()))
+    job.process(flows, 2)
+    assert len(calls) == 2 and table("baseline", 2).first()["n"] == 2 * total
+    assert spark.read.parquet(str(tmp_path / "live/traffic")).count() == 2 * total
