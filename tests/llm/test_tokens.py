@@ -1,5 +1,6 @@
 """Token files, alignment of tokenizers and spelling variants against plain versions."""
 
+import os
 import random
 import zlib
 
@@ -198,3 +199,20 @@ def test_near_pairs_by_brute_force():
             else:
                 want = {(a, b) for a in u for b in v if a < b and sum(p != q for p, q in zip(a, b, strict=True)) == 1 and a[:head] == b[:head]}
             assert {tuple(sorted(p)) for p in got} == {tuple(sorted(p)) for p in want} and len(got) == len(x)
+
+
+def test_alignment_tokenizes_on_its_own_core_only():
+    """Threads for every core of the machine, in every worker, cost memory and time."""
+    import subprocess
+    import sys
+
+    code = """
+import os, public_tokenizers
+from tidewatch.llm.alignment import TokenPairs
+before = len(os.listdir("/proc/self/task"))
+pairs = TokenPairs(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), 1000)
+pairs.of([f"text {k} of many words, {k * k} in all" for k in range(500)])
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.pathsep.join([os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), *sys.path])}
+    assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout.strip() == "0"

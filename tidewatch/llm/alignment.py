@@ -1,6 +1,6 @@
 """Alignment of the tokens of two tokenizers over the same bytes, and how often their tokens meet in the whole corpus.
 
-Documents go through Arrow in slices of about a megabyte:
+Documents go through Arrow in slices of about half a megabyte:
 
 1. Both tokenizers give a list of ids per document. The lists are flattened beside the index of the document they came from, and
    cumulative sums of the tokens' byte lengths, less their value where a document begins, give the byte where each token ends.
@@ -22,6 +22,7 @@ are not used.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import stored_table
 from tidewatch.llm.words import chunks, text_bytes
 
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 19
 _LONG = 1 << 32
 _UNIT = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
 _OTHER_SPACE = re.compile(r"[^\S \n\t]")
@@ -64,6 +65,8 @@ class TokenPairs:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        # a task has one core: without this the tokenizers library starts a thread for each core of the machine in every worker
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.a, self.b, self.most = Tokenizer.from_file(a_path), SentencePieceProcessor(model_file=b_path), most
         self.a.encode_special_tokens = True
         byte_of = _byte_of()
@@ -283,7 +286,7 @@ def token_pair_counts(blocks: DataFrame) -> DataFrame:
     return totals.withColumn("best", F.col("total") == F.max("total").over(of_b))
 
 
-def align_tokens(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = 8 << 20, held_units: int = 150_000) -> DataFrame:
+def align_tokens(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = 4 << 20, held_units: int = 150_000) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256. A is a byte-level file of
     the tokenizers library, B a sentencepiece model. ``held_units`` bounds what a worker remembers, ``block_bytes`` what it works on."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
