@@ -216,3 +216,19 @@ print(len(os.listdir("/proc/self/task")) - before)
 """
     env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.pathsep.join([os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), *sys.path])}
     assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, check=True).stdout.strip() == "0"
+
+
+class _NotWalked(dict):
+    def keys(self):
+        raise AssertionError("what is held must be looked up, not gone through")
+
+
+def test_tokenizers_look_held_words_up():
+    texts = ["The end. the END, Äpfel! äpfel ÄPFEL... don't x1, ... (a) a", "the end?! The a, x1 ÄPFEL"]
+    words, pairs = WordIds(tokenizer(), most=4), alignment.TokenPairs(*_paths(), most=4)
+    plain, plain_pairs = WordIds(tokenizer()).tokenizer, alignment.TokenPairs(*_paths(), most=4)
+    for _ in range(3):
+        words.held, pairs.held = _NotWalked(words.held), _NotWalked(pairs.held)
+        got = words.of([t.encode("utf-8") for t in texts])
+        assert got == [np.array(plain.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert [list(x) for x in zip(*pairs.of(texts))] == [list(x) for x in plain_pairs._plain(texts)]

@@ -116,7 +116,9 @@ class TokenPairs:
         whole = [not self.unit_wise or _OTHER_SPACE.search(t) is not None for t in texts]
         split = [[] if w or not t else _UNIT.findall(" " + t) for t, w in zip(texts, whole, strict=True)]
         held, once, fresh = self.held, {}, []
-        for u in set().union(*split) - held.keys():
+        for u in set().union(*split):  # a difference with the keys would go through all that is held
+            if u in held:
+                continue
             if u in self.old:
                 held[u] = self.old[u]
             else:

@@ -79,35 +79,44 @@ class WordIds:
 
     def _learn(self, words: set[bytes]) -> None:
         held, old = self.held, self.old
-        words -= held.keys()
-        bases: dict[bytes, bytes] = {}
         wanted: set[bytes] = set()
-        for w in words:
-            if w in old:
-                held[w] = old[w]
+        lowered: list[tuple[bytes, bytes]] = []
+        cut: list[tuple[bytes, bytes, bytes]] = []
+        known = old.get
+        for w in words:  # a difference with the keys would go through all that is held
+            if w in held:
+                continue
+            own = known(w)
+            if own is not None:
+                held[w] = own
                 continue
             base = w.rstrip(_MARKS)  # marks after letters are a token run of their own
-            if base.isalpha():
-                base = base.lower()
-            elif not base or not base.decode("utf-8").isalpha():
-                base = w
-            bases[w] = base
-            wanted.add(base)
-            if len(base) < len(w):
-                wanted.add(w[len(base) :])
+            if base == w:
+                if w.isalpha() and not w.islower():
+                    base = w.lower()
+                    lowered.append((w, base))
+                wanted.add(base)
+            elif base.isalpha() or base and base.decode("utf-8").isalpha():
+                marks, base = w[len(base) :], base.lower() if base.isalpha() else base
+                cut.append((w, base, marks))
+                wanted.add(base)
+                wanted.add(marks)
+            else:
+                wanted.add(w)
         fresh = []
         for w in wanted:
-            if w not in held:
-                if w in old:
-                    held[w] = old[w]
-                else:
-                    fresh.append(w)
+            if w in held:
+                continue
+            own = known(w)
+            if own is not None:
+                held[w] = own
+            else:
+                fresh.append(w)
         held.update(zip(fresh, self._encoded(fresh), strict=True))
-        for w, base in bases.items():
-            if len(base) < len(w):
-                held[w] = held[base] + held[w[len(base) :]]
-            elif base != w:
-                held[w] = held[base]
+        for w, base in lowered:
+            held[w] = held[base]
+        for w, base, marks in cut:
+            held[w] = held[base] + held[marks]
 
     def forget(self) -> None:
         """Drop the less recent half."""
