@@ -101,6 +101,33 @@ def test_forest_of_large_and_small_nodes(spark, rows, monkeypatch, large):
     assert right > 0.9 * rows.count()
 
 
+def test_large_pure_nodes_are_not_gathered(spark, monkeypatch):
+    """A large node with one class only is a leaf: none of its rows goes to a task that grows subtrees. Its children's sizes come with the split:
+    one pass over the data for each level of large nodes."""
+    from tidewatch.detectors import forest
+
+    monkeypatch.setattr(forest, "_ROWS", 100)
+    passes, grown, drawn = [], [], forest._Grower._drawn
+    monkeypatch.setattr(forest._Grower, "_drawn", lambda self, wanted: passes.append(wanted) or drawn(self, wanted))
+    monkeypatch.setattr(forest._Grower, "write_leaves", lambda self, *a, own=forest._Grower.write_leaves: grown.append(self) or own(self, *a))
+    rows = spark.range(0, 4000, 1, 2).select((F.col("id") % 4).cast("double").alias("kind"), F.when(F.col("id") % 4 == 0, "Bot").otherwise("Benign").alias("Attack"))
+    model = forest.AttackForest(Settings(rf_trees=3, rf_depth=5), ("kind",)).fit(rows)
+    assert len(passes) == 2 and passes[1] == {0: set(), 1: set(), 2: set()}  # the roots, and a wave in which nothing is left
+    assert sorted(grown[0].leaves) == [(t, node) for t in range(3) for node in (1, 2)]
+    got = model.transform(rows).groupBy("Attack", "attack_label", "random_forest_score").count().collect()
+    assert sorted(map(tuple, got)) == [("Benign", "Benign", 0.0, 3000), ("Bot", "Bot", 1.0, 1000)]
+
+
+def test_drawn_times_are_poisson():
+    from tidewatch.detectors import forest
+
+    times = forest._times(np.random.default_rng(3), 4_000_000)
+    for k, share in enumerate([0.36787944, 0.36787944, 0.18393972, 0.06131324, 0.01532831, 0.00306566, 0.00051094]):
+        assert abs((times == k).mean() - share) < 6 * (share / len(times)) ** 0.5
+    assert times.max() > 8 and times.mean() == pytest.approx(1, abs=0.003)
+
+
+
 def test_own_reconstruction(rows, detectors):
     """A caller's function replaces the linear one; a perfect one leaves no error."""
     from dataclasses import replace
