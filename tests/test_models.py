@@ -157,3 +157,15 @@ def test_components_from_lagged_products_equal_those_of_all_windows(spark):
     w = of(True)
     errors = ((w - w @ found @ found.T) ** 2).mean(axis=1)
     assert model.threshold == pytest.approx(np.percentile(errors, 95), rel=1e-9)
+
+
+def test_features_are_computed_on_all_cores(spark, tmp_path):
+    """Events in one partition are dealt out before the features, which cost the time, are computed; no row is lost."""
+    events = spark.range(0, 500, 1, 1).selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as ts", "id % 7 as user_id", "'view' as event_type", "id / 10.0D as value",
+        "concat('{\"k\": ', id % 50, '}') as props",
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    rows = inputs.netflow(spark, str(tmp_path))
+    sizes = rows.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert sum(sizes) == 500 and sum(n > 0 for n in sizes) == spark.sparkContext.defaultParallelism > 1
