@@ -15,7 +15,7 @@ from tidewatch.llm import common, fingerprint, licenses, neardup, queries
 from tidewatch.llm.language import Languages, identified, judged, train
 from tidewatch.llm.mixing import assigned, mixed
 from tidewatch.llm.packing import _capacities, deal, pack
-from tidewatch.llm.scoring import Shape, score_texts, tenth_held_out
+from tidewatch.llm.scoring import Shape, Tree, score_texts, tenth_held_out
 from tidewatch.llm.words import shingle_hashes, text_bytes, word_hashes
 
 np.seterr(over="ignore")
@@ -132,6 +132,24 @@ def test_the_model_beats_the_base_on_held_out_texts(spark, sf):
     assert r["s"] > r["b"]
 
 
+def test_history_reaches_the_words_of_a_class(spark):
+    """Both words have one ending, so one class, and one count: only the word before tells them apart."""
+    texts = [f"{a} {b}ing" for a, b in (("left", "walk"), ("right", "talk"))] * 400
+    docs = spark.createDataFrame([*enumerate(texts), (-1, "left walking"), (-2, "left talking")], "doc_id long, text string")
+    rows = score_texts(docs, F.col("doc_id") < 0, Shape(rows=1 << 10, own_classes=0, ending_classes=4, word_rows=1 << 10)).filter("held_out").collect()
+    of = {r["doc_id"]: r for r in rows}
+    assert abs(of[-1]["base_score"] - of[-2]["base_score"]) < 1e-9 and of[-1]["score"] > of[-2]["score"] + 0.5
+
+
+def test_choices_without_history_give_the_counts():
+    counts, group = np.arange(1.0, 301.0), np.array([0] * 250 + [1] * 49 + [2])
+    tree = Tree.of(counts, group)
+    logs = tree.bias - np.log(np.exp(tree.bias).sum(axis=1, keepdims=True))
+    for k in range(300):
+        way = slice(tree.first[k], tree.first[k] + tree.depth[k])
+        assert math.isclose(math.exp(logs[tree.nodes[way], tree.branches[way]].sum()), counts[k] / counts[group == group[k]].sum(), rel_tol=1e-4)
+
+
 # ---- fingerprints
 
 
