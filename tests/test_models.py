@@ -1,5 +1,7 @@
 """Detectors: bounds, repeatability, an outlier that stands out, save and load."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +60,20 @@ def test_isolation_is_repeatable_and_finds_an_outlier(rows):
     assert one.transform(odd).first()["isolation_forest_score"] > median + 0.1
 
 
+def test_training_uses_every_training_row(rows, monkeypatch):
+    """The classifier is fitted on all rows that are not held out, however many there are: no setting makes it a sample."""
+    from tidewatch.detectors import ensemble
+    from tidewatch.plans.train import train
+
+    seen, fit = [], ensemble.AttackForest.fit
+    monkeypatch.setattr(ensemble.AttackForest, "fit", lambda self, training, *a, **k: seen.append(training.count()) or fit(self, training, *a, **k))
+    cut = {"classifier_rows": 50} if hasattr(QUICK, "classifier_rows") else {}
+    done = train(rows, replace(QUICK, rf_trees=2, rf_depth=2, **cut), order=None, with_sequence=False, key=("uid",))
+    held_out = done.test.count()
+    assert seen == [done.train.count()] and seen[0] + held_out == rows.count() and held_out > 0
+    assert "_u" not in done.train.columns + done.test.columns
+
+
 def test_attack_rows_score_higher(rows, detectors):
     scored = detectors.forest.transform(rows).groupBy("Label").agg(F.avg("random_forest_score").alias("s"))
     by = {r.Label: r.s for r in scored.collect()}
@@ -130,8 +146,6 @@ def test_drawn_times_are_poisson():
 
 def test_own_reconstruction(rows, detectors):
     """A caller's function replaces the linear one; a perfect one leaves no error."""
-    from dataclasses import replace
-
     from tidewatch.operators.ordered import ordered_blocks
 
     perfect = replace(detectors.sequence, rebuild=lambda w: w)

@@ -64,8 +64,7 @@ class Settings:
     ewma_z: float = 3.5
     ewma_warmup: int = 30
 
-    # training: the anomaly detectors see all benign rows; the classifier a hash sample of about so many labelled rows
-    classifier_rows: int = 5_000_000
+    # training: the anomaly detectors see all benign rows, the classifier all rows
     test_fraction: float = 0.2
     sequence_validation_fraction: float = 0.1
 

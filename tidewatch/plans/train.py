@@ -40,13 +40,11 @@ def train(
     with_sequence: bool = True,
     key: tuple[str, ...] = (),
 ) -> Training:
-    """Anomaly detectors see all benign training rows, the classifier about ``classifier_rows`` of the labelled ones."""
+    """Anomaly detectors see all benign training rows, the classifier all training rows."""
     data = prepare(rows, settings, key)
-    train_rows, test_rows = data.filter(F.col("_u") >= settings.test_fraction), data.filter(F.col("_u") < settings.test_fraction).drop("_u")
-    kept = settings.test_fraction + (1 - settings.test_fraction) * min(1.0, settings.classifier_rows / max(train_rows.count(), 1))
-    labelled = train_rows.filter(F.col("_u") < kept).drop("_u")
-    detectors = fit_detectors(train_rows.drop("_u"), settings, order, with_sequence, labelled)
+    train_rows, test_rows = (data.filter(part).drop("_u") for part in (F.col("_u") >= settings.test_fraction, F.col("_u") < settings.test_fraction))
+    detectors = fit_detectors(train_rows, settings, order, with_sequence)
     if save_to:
         spark: SparkSession = rows.sparkSession
         detectors.save(spark, save_to)
-    return Training(detectors, train_rows.drop("_u"), test_rows)
+    return Training(detectors, train_rows, test_rows)
