@@ -183,3 +183,45 @@ def test_features_are_computed_on_all_cores(spark, tmp_path):
     rows = inputs.netflow(spark, str(tmp_path))
     sizes = rows.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
     assert sum(sizes) == 500 and sum(n > 0 for n in sizes) == spark.sparkContext.defaultParallelism > 1
+
+
+def test_packed_bins_and_joint_histograms():
+    """Bins come back from few bytes a row, and one histogram of several features gives the counts of each of them."""
+    from tidewatch.detectors import forest
+
+    draw, sizes, classes = np.random.default_rng(8), [1, 32, 2, 5, 1, 32, 16, 3, 2, 9], 5
+    packed = forest._Packed([list(range(n - 1)) for n in sizes])
+    bins = np.column_stack([draw.integers(0, n, 3000) for n in sizes]).astype(np.uint8)
+    bytes_ = packed.pack(bins)
+    assert packed.width == len(bytes_) <= 4 and all((packed.column(bytes_, f) == bins[:, f]).all() for f in range(len(sizes)))
+    assert forest._Packed([[], []]).pack(bins[:, :2] * 0).shape == (1, 3000)
+    label, times, chosen = draw.integers(0, classes, 3000).astype(np.uint16), draw.integers(1, 4, 3000).astype(float), np.array([1, 0, 3, 5, 2, 6])
+    groups = forest._joint(chosen, sizes, classes)
+    assert sorted(j for g in groups for j in g) == [0, 2, 3, 4, 5] and len(groups) < 5
+    found = forest._single(groups, chosen, sizes, forest._counted(groups, chosen, sizes, lambda f: bins[:, f], label, times, classes), classes)
+    for j, f in enumerate(chosen):
+        plain = np.zeros((32, classes))
+        np.add.at(plain, (bins[:, f], label), times * (sizes[f] > 1))
+        assert (found[j] == plain).all()
+
+
+@pytest.mark.parametrize("features", [1, 7])
+def test_nodes_one_by_one_and_many_at_a_time(monkeypatch, features):
+    """Subtrees grown one node at a time, level by level, or first so and then so: leaves hold the class weights of their rows; with one feature, which leaves
+    nothing to chance, all predict alike. A column of one high bin is no matter."""
+    from tidewatch.detectors import forest
+
+    draw, n, weights = np.random.default_rng(9), 6000, np.array([0.5, 2.0, 7.0])
+    bins = np.column_stack([draw.integers(0, 32, n), np.full(n, 31), *[draw.integers(0, k, n) for k in (2, 3, 5, 9, 16)]])[:, :features].astype(np.uint8)
+    label, times, seen = ((bins[:, 0] // 3 + (draw.random(n) < 0.2)) % 3).astype(np.uint16), draw.integers(1, 4, n).astype(np.uint8), []
+    for few in (1, 500, 10**6):
+        monkeypatch.setattr(forest, "_FEW", few)
+        tree, gain = forest._grow(np.ascontiguousarray(bins.T), label, times, weights, 9, np.random.default_rng(1))
+        leaf = forest._route({k: v.astype(np.int64) for k, v in tree.items()}, bins)
+        held = np.zeros((len(tree["below"]), 3))
+        np.add.at(held, (leaf, label), times * weights[label])
+        ends = np.flatnonzero(tree["below"] == np.arange(len(tree["below"])))
+        assert set(leaf) == set(ends) and np.allclose(tree["votes"][ends] / 2**40, held[ends] / held[ends].sum(axis=1, keepdims=True), atol=1e-9)
+        assert gain[0] > 0 and (features == 1 or gain[1] == 0)
+        seen.append(tree["votes"][leaf])
+    assert features > 1 or all((v == seen[0]).all() for v in seen)

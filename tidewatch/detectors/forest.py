@@ -3,7 +3,8 @@
 Values are binned once. Nodes of more than about ``_ROWS`` rows are split by histograms summed over all tasks, which also tell how
 large the children are; what lies below is grown by one task per subtree, which gets the rows of its node. A large node that is
 pure or at the full depth is a leaf already and its rows go nowhere. So the data is gone over once for each level of large nodes and
-once for each wave of trees, not once for every few deep nodes. Trees are a stored table; only their leaves of that kind pass through the driver.
+once for each wave of trees, not once for every few deep nodes. Rows travel as few bytes: features of few bins share one. One
+histogram counts several features of a node at once, small nodes of a subtree are split many at a time. Trees are a stored table; only their leaves of that kind pass through the driver.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ _SHARE = 1 - math.exp(-1)  # drawn rows for each draw
 _BELOW = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])  # chance of k draws of a row at most
 _TIMES = np.searchsorted(_BELOW, np.arange(1 << 16) / (1 << 16), side="right").astype(np.uint8)
 _UNSURE = np.searchsorted(_BELOW, (np.arange(1 << 16) + 1) / (1 << 16), side="right") != _TIMES
+_CELLS = 8192  # of a histogram of several features
+_FEW_CELLS = 1 << 16  # of the histograms of such nodes that are made at once
+_FEW = 4096  # nodes of fewer rows are split many at a time
+_BUFFER_BYTES = 32_000_000  # rows that a task holds for subtrees before it sends them on
 _WAVE_BYTES = 4_000_000_000  # trees grown at once: as many as their drawn rows take
 _ONE = 1 << 40  # votes are whole numbers, so that their sums don't depend on the order
 _GROUPS, _CHUNK = 8, 250_000  # scoring: groups of trees, rows that meet one of them in one task
@@ -104,8 +109,74 @@ def _times(rng: np.random.Generator, n: int) -> np.ndarray:
     return times
 
 
+class _Packed:
+    """Bins of all features in few bytes a row: features of few bins share a byte, those without a threshold take none."""
+
+    def __init__(self, cuts: list[list[float]]):
+        self.sizes = [len(t) + 1 for t in cuts]
+        filled: list[int] = []  # by byte: the number of its values
+        self.place = []  # by feature: byte, divisor, number of bins
+        for size in self.sizes:
+            at = next((k for k, n in enumerate(filled) if n * size <= 256), len(filled)) if size > 1 else 0
+            if at == len(filled):
+                filled.append(1)
+            self.place.append((at, filled[at] if size > 1 else 1, size))
+            filled[at] *= size
+        self.width = len(filled)
+        self.tables = [(np.arange(256) // d % n).astype(np.uint8) for _, d, n in self.place]
+
+    def pack(self, bins: np.ndarray) -> np.ndarray:
+        """Bytes by row from bins by row and feature."""
+        packed = np.zeros((self.width, len(bins)), np.uint8)
+        for f, (at, divisor, size) in enumerate(self.place):
+            if size > 1:
+                packed[at] += bins[:, f] * np.uint8(divisor)
+        return packed
+
+    def column(self, packed: np.ndarray, feature: int) -> np.ndarray:
+        return self.tables[feature].take(packed[self.place[feature][0]])
+
+
+def _joint(chosen: np.ndarray, sizes: list[int], classes: int) -> list[list[int]]:
+    """Places in ``chosen`` in groups that one histogram counts; features of one bin are left out, they can't split."""
+    groups: list[list[int]] = []
+    cells: list[int] = []
+    for j in sorted((j for j, f in enumerate(chosen) if sizes[f] > 1), key=lambda j: -sizes[chosen[j]]):
+        size = sizes[chosen[j]]
+        at = next((k for k, n in enumerate(cells) if n * size <= _CELLS), len(cells))
+        if at == len(cells):
+            groups.append([]), cells.append(classes)
+        groups[at].append(j)
+        cells[at] *= size
+    return groups
+
+
+def _counted(groups: list[list[int]], chosen: np.ndarray, sizes: list[int], column, label: np.ndarray, times: np.ndarray, classes: int) -> list[np.ndarray]:
+    """Per group the draws by the bins of its features and by class."""
+    out = []
+    for group in groups:
+        key = column(chosen[group[0]]).astype(np.uint32)
+        for j in group[1:]:
+            key *= np.uint32(sizes[chosen[j]])
+            key += column(chosen[j])
+        key *= np.uint32(classes)
+        key += label
+        out.append(np.bincount(key, times, math.prod([sizes[chosen[j]] for j in group]) * classes))
+    return out
+
+
+def _single(groups: list[list[int]], chosen: np.ndarray, sizes: list[int], counted: list[np.ndarray], classes: int) -> np.ndarray:
+    """Draws by place in ``chosen``, bin and class."""
+    out = np.zeros((len(chosen), _BINS, classes))
+    for group, counts in zip(groups, counted, strict=True):
+        cube = counts.reshape([sizes[chosen[j]] for j in group] + [classes])
+        for axis, j in enumerate(group):
+            out[j, : sizes[chosen[j]]] = cube.sum(axis=tuple(k for k in range(len(group)) if k != axis))
+    return out
+
+
 def _parts(top: dict[str, list], wanted: set[int]) -> Iterator:
-    """A function that tells for columns of bins and some rows which of them lie in each wanted node; other nodes are left out early."""
+    """A function that tells for a function from a feature to its column of bins, and some rows, which of them lie in each wanted node; other nodes are left out early."""
     feature, cut, below = top["feature"], top["cut"], top["below"]
     above = [0] * len(below)
     for node, child in enumerate(below):
@@ -117,7 +188,7 @@ def _parts(top: dict[str, list], wanted: set[int]) -> Iterator:
             kept.add(node)
             node = above[node]
 
-    def of(columns: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def of(column, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         todo = [(0, rows)]
         while todo:
             node, here = todo.pop()
@@ -125,7 +196,7 @@ def _parts(top: dict[str, list], wanted: set[int]) -> Iterator:
             if node in wanted:
                 yield node, here
             elif child != node:
-                high = columns[feature[node]][here] > cut[node]
+                high = column(feature[node])[here] > cut[node]
                 todo += [(c, here[side]) for c, side in ((child, ~high), (child + 1, high)) if c in kept]
 
     return of
@@ -143,17 +214,20 @@ def _route(tree: dict[str, np.ndarray], bins: np.ndarray) -> np.ndarray:
 
 def _best_splits(counts: np.ndarray, chosen: np.ndarray, histogram) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per node the gain (weight times loss of impurity), feature and bin of the best split. ``histogram``: per place in ``chosen``
-    the class weights by node and bin."""
-    squares = lambda x: (x**2).sum(axis=-1) / np.maximum(x.sum(axis=-1), 1e-300)
+    the class weights by class, node and bin; None where no node can be split."""
+    squares = lambda x, total: np.square(x).sum(axis=0) / np.maximum(total, 1e-300)
     n = np.arange(len(counts))
     gain, feature, cut = np.zeros(len(counts)), np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
     for j in range(chosen.shape[1]):
         h = histogram(j)
-        filled = h.sum(axis=-1) > 0
-        low = h.cumsum(axis=1)
-        split = np.logical_or.accumulate(filled, axis=1)[:, :-1] & np.logical_or.accumulate(filled[:, ::-1], axis=1)[:, ::-1][:, 1:]
-        high = np.maximum(low[:, -1:] - low, 0)
-        value = np.where(split, (squares(low) + squares(high))[:, :-1] - squares(low[:, -1])[:, None], 0)
+        if h is None:
+            continue
+        low = h.cumsum(axis=2)
+        all_, low = low[:, :, -1:], low[:, :, :-1]
+        whole, part = all_.sum(axis=0), low.sum(axis=0)
+        split = (part > 0) & (part < whole)
+        high = np.maximum(all_ - low, 0)
+        value = np.where(split, squares(low, part) + squares(high, high.sum(axis=0)) - squares(all_, whole), 0)
         best = value.argmax(axis=1)
         better = value[n, best] > gain
         gain, feature, cut = np.where(better, value[n, best], gain), np.where(better, chosen[:, j], feature), np.where(better, best, cut)
@@ -169,41 +243,98 @@ def _votes(counts: np.ndarray) -> np.ndarray:
     return np.floor(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-300) * _ONE).astype(np.int64)
 
 
-def _grow(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, classes: int, depth: int, rng: np.random.Generator) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """A tree over the rows, level by level, and the gain of each feature."""
-    features, cuts, below, counts = ([] for _ in range(4))
-    importance = np.zeros(bins.shape[1])
-    at, first = np.zeros(len(bins), np.int64), 0  # the node of each row within its level, the number of the level's first node
+def _grow(columns: np.ndarray, label: np.ndarray, times: np.ndarray, weights: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """A tree over the rows, and the gain of each feature. Large nodes are split one by one; those of few rows level by level, all at once."""
+    width, classes = len(columns), len(weights)
+    sizes = [int(c.max()) + 1 if len(c) and c.max() > c.min() else 1 for c in columns]
+    label, times = label.astype(np.uint8 if classes <= 256 else np.uint16), times.astype(np.float64)
+    importance = np.zeros(width)
+    feature, cut, below, counts = [0], [255], [0], [np.bincount(label, times, classes) * weights]
+    pending, few = [(0, np.arange(len(label), dtype=np.int32), depth)], []
+    while pending:
+        node, rows, left = pending.pop()
+        if left <= 0 or (counts[node] > 0).sum() <= 1:
+            continue
+        if len(rows) < _FEW:
+            few.append((node, rows, left))
+            continue
+        chosen = _chosen(rng, 1, width)[0]
+        groups = _joint(chosen, sizes, classes)
+        # so many rows at a time that what is made of them stays in the cache
+        sums = [0] * len(groups)
+        for part in (rows[k : k + 65536] for k in range(0, len(rows), 65536)):
+            found = _counted(groups, chosen, sizes, lambda f: columns[f].take(part), label.take(part), times.take(part), classes)  # noqa: B023
+            sums = [x + y for x, y in zip(sums, found, strict=True)]
+        draws = _single(groups, chosen, sizes, sums, classes)
+        h = (draws * weights)[:, None]
+        gain, best, edge = _best_splits(counts[node][None], chosen[None], lambda j: np.moveaxis(h[j], -1, 0) if sizes[chosen[j]] > 1 else None)  # noqa: B023
+        if gain[0] <= 0:
+            continue
+        f, c, child = int(best[0]), int(edge[0]), len(below)
+        split = h[int(np.flatnonzero(chosen == f)[0]), 0]
+        importance[f] += gain[0]
+        feature[node], cut[node], below[node] = f, c, child
+        feature += [0, 0]
+        cut += [255, 255]
+        below += [child, child + 1]
+        counts += [split[: c + 1].sum(axis=0), split[c + 1 :].sum(axis=0)]
+        high = columns[f].take(rows) > c
+        pending += [(child, rows[~high], left - 1), (child + 1, rows[high], left - 1)]
+    arrays = [np.array(feature), np.array(cut), np.array(below), np.array(counts)]
+    if few:
+        arrays = _grow_few(columns, np.array(sizes), label, times, weights, arrays, few, importance, rng)
+    return {"feature": arrays[0].astype(np.int16), "cut": arrays[1].astype(np.uint8), "below": arrays[2].astype(np.int32), "votes": _votes(arrays[3])}, importance
+
+
+def _grow_few(columns: np.ndarray, bins_of: np.ndarray, label: np.ndarray, times: np.ndarray, weights: np.ndarray, arrays: list[np.ndarray], few: list[tuple], importance: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
+    """Grow on the nodes of few rows, one level of all of them at a time. Adds to ``importance``; returns the arrays of the whole tree."""
+    classes, by_class, parts = len(weights), weights[:, None, None], [[a] for a in arrays]
+    feature, cut, below, _ = arrays
+    own, left = np.array([node for node, *_ in few]), np.array([depth for *_, depth in few])
+    first, sizes = len(below), np.array([len(rows) for _, rows, _ in few])
+    rows = np.concatenate([r for _, r, _ in few])
     # rows lie in the order of their nodes, so each level reads them from front to back
-    level = np.bincount(label, weight, classes)[None, :]
-    width = max(1, 1_000_000 // (_BINS * classes))
-    while len(level):
-        n, own = len(level), np.arange(first, first + len(level))
-        gain, feature, cut = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        mixed = np.flatnonzero((level > 0).sum(axis=1) > 1) if depth > 0 else np.zeros(0, np.int64)
-        edges, flat = np.searchsorted(at, np.arange(n + 1)), bins.ravel()
-        for some in (mixed[k : k + width] for k in range(0, len(mixed), width)):
-            sizes = edges[some + 1] - edges[some]
-            rows = np.arange(int(sizes.sum())) + np.repeat(edges[some] - (np.cumsum(sizes) - sizes), sizes)
-            chosen = _chosen(rng, len(some), bins.shape[1])
-            tail, w, size = np.repeat(np.arange(len(some)) * (_BINS * classes), sizes) + label[rows], weight[rows], len(some) * _BINS * classes
-            start = rows * bins.shape[1]
-            histogram = lambda j: np.bincount(tail + flat[start + np.repeat(chosen[:, j], sizes)] * np.int64(classes), w, size).reshape(len(some), _BINS, classes)  # noqa: B023, E731
-            gain[some], feature[some], cut[some] = _best_splits(level[some], chosen, histogram)
+    bins, label, times = np.ascontiguousarray(columns[:, rows].T), label[rows].astype(np.int32), times[rows]
+    bins[:, bins_of == 1] = 0  # never split
+    while len(rows):
+        n, width = len(own), bins.shape[1]
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        level = np.bincount(np.repeat(np.arange(n, dtype=np.int32) * np.int32(classes), sizes) + label, times, n * classes).reshape(-1, classes) * weights
+        gain, best, edge = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        mixed = np.flatnonzero(((level > 0).sum(axis=1) > 1) & (left > 0))
+        flat, step = bins.ravel(), max(1, _FEW_CELLS // (_BINS * classes))
+        for some in (mixed[k : k + step] for k in range(0, len(mixed), step)):
+            many, chosen = sizes[some], _chosen(rng, len(some), width)
+            chosen = np.take_along_axis(chosen, np.argsort(-bins_of[chosen], axis=1, kind="stable"), axis=1)
+            most = bins_of[chosen].max(axis=0)  # features of many bins come first, so that the others need small histograms
+            at = np.arange(int(many.sum())) + np.repeat(edges[some] - (np.cumsum(many) - many), many)
+            place, lab, w, start = np.repeat(np.arange(len(some), dtype=np.int32), many), label[at] * np.int32(len(some)), times[at], at * width
+
+            def histogram(j: int) -> np.ndarray | None:
+                if most[j] == 1:  # noqa: B023
+                    return None
+                values = flat.take(start + np.repeat(chosen[:, j], many))  # noqa: B023
+                cells = (lab + place) * np.int32(most[j]) + values  # noqa: B023
+                return np.bincount(cells, w, classes * len(some) * most[j]).reshape(classes, len(some), most[j]) * by_class  # noqa: B023
+
+            gain[some], best[some], edge[some] = _best_splits(level[some], chosen, histogram)
         split = gain > 0
-        np.add.at(importance, feature[split], gain[split])
-        child = np.where(split, first + n + 2 * (np.cumsum(split) - 1), own)
-        features.append(np.where(split, feature, 0)), cuts.append(np.where(split, cut, 255)), below.append(child), counts.append(level)
+        np.add.at(importance, best[split], gain[split])
+        child = np.where(split, first + 2 * (np.cumsum(split) - 1), own)
+        if own[0] < len(arrays[2]):  # the nodes that are there already
+            feature[own], cut[own], below[own] = np.where(split, best, 0), np.where(split, edge, 255), child
+        else:
+            for kept, new in zip(parts, (np.where(split, best, 0), np.where(split, edge, 255), child, level), strict=True):
+                kept.append(new)
+        at = np.repeat(np.arange(n), sizes)
         stays = np.flatnonzero(split[at])
         at = at[stays]
-        at = child[at] - (first + n) + (flat[stays * bins.shape[1] + feature[at]] > cut[at])
-        first, depth, n = first + n, depth - 1, 2 * int(split.sum())
-        order = np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")  # of 16 bits: a radix sort
-        stays, at = stays[order], at[order]
-        bins, label, weight = bins[stays], label[stays], weight[stays]
-        level = np.bincount(at * classes + label, weight, n * classes).reshape(-1, classes)
-    arrays = {"feature": np.concatenate(features).astype(np.int16), "cut": np.concatenate(cuts).astype(np.uint8), "below": np.concatenate(below).astype(np.int32)}
-    return arrays | {"votes": _votes(np.concatenate(counts))}, importance
+        at = child[at] - first + (flat.take(stays * width + best[at]) > edge[at])
+        n = 2 * int(split.sum())
+        own, left, first, sizes = first + np.arange(n), np.repeat(left[split] - 1, 2), first + n, np.bincount(at, minlength=n)
+        rows = stays[np.argsort(at.astype(np.uint16) if n <= 1 << 16 else at, kind="stable")]  # of 16 bits: a radix sort
+        bins, label, times = bins[rows], label[rows], times[rows]
+    return [np.concatenate(kept) for kept in parts]
 
 
 _KINDS = {"feature": np.int16, "cut": np.uint8, "below": np.int32, "votes": np.int64}
@@ -309,20 +440,21 @@ class AttackForest:
         if not rows.filter(F.col("label_id").isNull()).isEmpty():
             raise ValueError(f"{label} is missing in some rows, or not among the given labels")
         cuts = _thresholds(rows, names)
+        packed = _Packed(cuts)
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     known = batch.column("label_id").to_numpy(zero_copy_only=False).astype(np.int16)
-                    yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bins": [_binned(batch, names, cuts).tobytes()], "labels": [known.tobytes()]})
+                    yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bins": [packed.pack(_binned(batch, names, cuts)).tobytes()], "labels": [known.tobytes()]})
 
         data = stored_table(spread(rows).mapInArrow(blocks, "rows bigint, bins binary, labels binary"), "binned")
         total = data.agg(F.sum("rows")).first()[0] or 0
         if total == 0:
             raise ValueError("no labelled rows to fit on")
-        grower = _Grower(s, names, weights, classes, [{"feature": [0], "cut": [255], "below": [0]} for _ in range(s.rf_trees)], [[0] for _ in range(s.rf_trees)], np.zeros((s.rf_trees, len(names))), {})
+        grower = _Grower(s, packed, weights, classes, [{"feature": [0], "cut": [255], "below": [0]} for _ in range(s.rf_trees)], [[0] for _ in range(s.rf_trees)], np.zeros((s.rf_trees, len(names))), {})
         grower.split_large(data, total)
-        per_wave = max(1, int(_WAVE_BYTES / (total * _SHARE * (len(names) + 3))))
+        per_wave = max(1, int(_WAVE_BYTES / (total * _SHARE * (packed.width + 3))))
         path = None
         for wave in (range(k, min(k + per_wave, s.rf_trees)) for k in range(0, s.rf_trees, per_wave)):
             path = grower.grow_wave(data, wave, path)
@@ -343,7 +475,7 @@ class _Grower:
     gains; of the top's nodes that are leaves of the whole tree the class weights."""
 
     settings: Settings
-    features: list[str]
+    packed: _Packed
     weights: np.ndarray
     classes: int
     tops: list[dict[str, list]]
@@ -352,20 +484,27 @@ class _Grower:
     leaves: dict[tuple[int, int], np.ndarray]
 
     def _drawn(self, wanted: dict[int, set[int]]):
-        """A function from a block to its drawn rows in the wanted nodes of each tree: tree, node, bins by column, labels, rows, how often. The draw
-        depends on the block's content."""
-        width, seed, many = len(self.features), self.settings.seed, len(self.tops) > 1
+        """A function from a block to its drawn rows in the wanted nodes of each tree: tree, node, packed bins, a function from a feature to its column,
+        labels, rows, how often. The draw depends on the block's content."""
+        packed, seed, many = self.packed, self.settings.seed, len(self.tops) > 1
         parts = {t: _parts(self.tops[t], nodes) for t, nodes in wanted.items()}
 
         def blocks(batch: pa.RecordBatch):
             for bins, known in zip(batch.column("bins").to_pylist(), batch.column("labels").to_pylist(), strict=True):
                 content = zlib.crc32(known, zlib.crc32(bins))
-                x, y = np.frombuffer(bins, np.uint8).reshape(-1, width), np.frombuffer(known, np.int16)
-                columns = np.ascontiguousarray(x.T)
+                y = np.frombuffer(known, np.uint16)
+                x = np.frombuffer(bins, np.uint8).reshape(packed.width, len(y))
+                held: dict[int, np.ndarray] = {}
+
+                def column(feature: int, x=x, held=held) -> np.ndarray:
+                    if feature not in held:
+                        held[feature] = packed.column(x, feature)
+                    return held[feature]
+
                 for t, of in parts.items():
-                    times = _times(np.random.default_rng([seed, t, content]), len(x)) if many else np.ones(len(x), np.uint8)
-                    for node, rows in of(columns, np.flatnonzero(times)):
-                        yield t, node, x, columns, y, rows, times[rows]
+                    times = _times(np.random.default_rng([seed, t, content]), len(y)) if many else np.ones(len(y), np.uint8)
+                    for node, rows in of(column, np.flatnonzero(times)):
+                        yield t, node, x, column, y, rows, times[rows]
 
         return blocks
 
@@ -376,26 +515,31 @@ class _Grower:
             by_tree: dict[int, set[int]] = {}
             for t, node in sorted(large):
                 by_tree.setdefault(t, set()).add(node)
-            chosen = {(t, node): _chosen(np.random.default_rng([self.settings.seed, 1, t, node]), 1, len(self.features))[0] for t, node in large}
-            drawn, weights, classes = self._drawn(by_tree), self.weights, self.classes
-            cells = _BINS * classes
+            chosen = {(t, node): _chosen(np.random.default_rng([self.settings.seed, 1, t, node]), 1, len(self.packed.sizes))[0] for t, node in large}
+            drawn, weights, classes, sizes = self._drawn(by_tree), self.weights, self.classes, self.packed.sizes
+            groups = {key: _joint(some, sizes, classes) for key, some in chosen.items()}
 
             def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                sums = {}
+                sums: dict[tuple[int, int], list[np.ndarray]] = {}
                 for batch in batches:
-                    for t, node, _, columns, y, rows, times in drawn(batch):  # noqa: B023
-                        label, w = y[rows].astype(np.int64), times.astype(np.float64)
-                        part = np.concatenate([np.bincount(columns[f][rows] * np.int64(classes) + label, w, cells) for f in chosen[t, node]])  # noqa: B023
-                        sums[t, node] = sums[t, node] + part if (t, node) in sums else part
+                    for t, node, _, column, y, rows, times in drawn(batch):  # noqa: B023
+                        key = (t, node)
+                        part = _counted(groups[key], chosen[key], sizes, lambda f: column(f).take(rows), y.take(rows), times.astype(np.float64), classes)  # noqa: B023
+                        if key in sums:
+                            for total, new in zip(sums[key], part, strict=True):
+                                total += new
+                        else:
+                            sums[key] = part
                 for (t, node), part in sums.items():
-                    yield pa.RecordBatch.from_pydict({"tree": pa.array([t], pa.int32()), "node": pa.array([node], pa.int32()), "sums": [part.tobytes()]})
+                    whole = _single(groups[t, node], chosen[t, node], sizes, part, classes)  # noqa: B023
+                    yield pa.RecordBatch.from_pydict({"tree": pa.array([t], pa.int32()), "node": pa.array([node], pa.int32()), "sums": [whole.tobytes()]})
 
             def best(key, rows: pd.DataFrame) -> pd.DataFrame:
                 t, node = (int(v) for v in key)
                 # draws are whole numbers, so their sums don't depend on the order
                 draws = np.sum([np.frombuffer(v, np.float64) for v in rows["sums"]], axis=0).reshape(-1, 1, _BINS, classes)
                 h = draws * weights
-                gain, feature, cut = _best_splits(h[0].sum(axis=1), chosen[t, node][None, :], lambda j: h[j])  # noqa: B023
+                gain, feature, cut = _best_splits(h[0].sum(axis=1), chosen[t, node][None, :], lambda j: np.moveaxis(h[j], -1, 0))  # noqa: B023
                 split = draws[int(np.flatnonzero(chosen[t, node] == feature[0])[0]) if gain[0] > 0 else 0, 0]  # noqa: B023
                 low, high = split[: int(cut[0]) + 1].sum(axis=0), split[int(cut[0]) + 1 :].sum(axis=0)
                 return pd.DataFrame([(t, node, float(gain[0]), int(feature[0]), int(cut[0]), low.tolist(), high.tolist())], columns=["tree", "node", "gain", "feature", "cut", "low", "high"])
@@ -425,29 +569,46 @@ class _Grower:
         """Add the large nodes that are leaves already, a few a tree, to the table at ``path``."""
         one = {"feature": [0], "cut": [255], "below": [0]}
         plain = [bytearray(np.array(v, _KINDS[n]).tobytes()) for n, v in one.items()]
-        rows = [(t, part, *plain, bytearray(_votes(counts[None, :]).tobytes()), [0.0] * len(self.features)) for (t, part), counts in sorted(self.leaves.items(), key=lambda r: r[0])]
+        rows = [(t, part, *plain, bytearray(_votes(counts[None, :]).tobytes()), [0.0] * len(self.packed.sizes)) for (t, part), counts in sorted(self.leaves.items(), key=lambda r: r[0])]
         if rows:
             spark.createDataFrame(rows, _TREES).coalesce(1).write.mode("append").parquet(path)
 
     def grow_wave(self, data: DataFrame, wave: range, path: str | None) -> str:
         """Send the rows of each subtree to one task, which grows it; add the subtrees to the table at ``path``."""
         ends = {t: {node for node, child in enumerate(self.tops[t]["below"]) if node == child and (t, node) not in self.leaves} for t in wave}
-        drawn, weights, classes, settings, depths = self._drawn(ends), self.weights, self.classes, self.settings, self.depths
+        drawn, weights, packed, settings, depths = self._drawn(ends), self.weights, self.packed, self.settings, self.depths
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, int], list] = {}
+            size = 0
+
+            def sent() -> pa.RecordBatch:
+                joined = [(t, node, *(b"".join(v) for v in zip(*found, strict=True))) for (t, node), found in held.items()]
+                columns = zip(*joined, strict=True)
+                return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["tree", "part", "bins", "labels", "times"])
+
             for batch in batches:
                 for t, node, x, _, y, rows, times in drawn(batch):
                     if len(rows):
-                        yield pa.RecordBatch.from_pydict(
-                            {"tree": pa.array([t], pa.int32()), "part": pa.array([node], pa.int32()), "bins": [x[rows].tobytes()], "labels": [y[rows].tobytes()], "times": [times.tobytes()]}
-                        )
+                        # rows of bytes, so that blocks can be joined end to end
+                        found = np.ascontiguousarray(x[:, rows].T).tobytes(), y[rows].tobytes(), times.tobytes()
+                        held.setdefault((t, node), []).append(found)
+                        size += sum(map(len, found))
+                    if size > _BUFFER_BYTES:
+                        yield sent()
+                        held.clear()
+                        size = 0
+            if held:
+                yield sent()
 
         def grow(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
             t, part = (k.as_py() for k in key)
-            whole = sorted(zip(*(rows.column(c).to_pylist() for c in ("bins", "labels", "times")), strict=True))  # in one order, so that reruns agree
-            x, y, times = (np.frombuffer(b"".join(v), kind) for v, kind in zip(zip(*whole, strict=True), (np.uint8, np.int16, np.uint8), strict=True))
-            y = y.astype(np.int64)
-            tree, gain = _grow(x.reshape(len(y), -1), y, times * weights[y], classes, settings.rf_depth - depths[t][part], np.random.default_rng([settings.seed, 2, t, part]))
+            # draws are whole numbers, so the order of the rows doesn't matter
+            x, y, times = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("bins", np.uint8), ("labels", np.uint16), ("times", np.uint8)))
+            x = np.ascontiguousarray(x.reshape(len(y), -1).T)
+            columns = np.stack([packed.column(x, f) for f in range(len(packed.sizes))])
+            tree, gain = _grow(columns, y, times, weights, settings.rf_depth - depths[t][part], np.random.default_rng([settings.seed, 2, t, part]))
             named = {"tree": pa.array([t], pa.int32()), "part": pa.array([part], pa.int32()), **{n: [tree[n].tobytes()] for n in _KINDS}}
             return pa.table(named | {"importance": pa.array([gain.tolist()], pa.list_(pa.float64()))})
 
