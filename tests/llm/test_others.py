@@ -19,6 +19,7 @@ from compare import connect, differences  # noqa: E402
 
 from tidewatch.llm import embeddings, urls, warc  # noqa: E402
 from tidewatch.llm.queries import URL_RULES, llm_queries  # noqa: E402
+from tidewatch.sources.storage import scratch_path, shared_dir  # noqa: E402
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in llm_queries().items() if sql])
@@ -71,6 +72,24 @@ def test_vectors_of_one_id_or_none_are_linked_on_their_own(spark):
     assert found([(None, v), (None, near_v), (5, None)]) == sorted([(None, 1, None, True)] * 2 + [(5, 0, 5, True)], key=str)
 
 
+def test_vectors_are_stored_once_whatever_the_cells(spark):
+    """Vectors that pivots can't tell apart reach every cell; none is written once for each cell or block. Few vectors of many labels share blocks."""
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(3000, 64)).astype(np.float32)
+    x[1500:1600] = x[:100] + draw.normal(size=(100, 64)) * 0.05
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    close = (u @ u.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+    for label in ([k % 500 for k in range(3000)], [0] * 3000):
+        near = close & (np.array(label)[:, None] == np.array(label)[None, :])
+        df = spark.createDataFrame([(i, v, k) for i, (v, k) in enumerate(zip(x.tolist(), label, strict=True))], "vec_id long, embedding array<float>, label int")
+        df.write.parquet(source := scratch_path(spark, "vectors"))
+        before = set(os.listdir(shared_dir(spark)))
+        found = {r["vec_id"]: r["n_links"] for r in embeddings.cosine_links(spark.read.parquet(source), cell_vectors=100).collect()}
+        assert found == dict(enumerate(near.sum(axis=1).tolist())) and near.sum() >= 200
+    new = [os.path.join(d, f) for n in set(os.listdir(shared_dir(spark))) - before for d, _, files in os.walk(os.path.join(shared_dir(spark), n)) for f in files]
+    assert sum(map(os.path.getsize, new)) < 3 * x.nbytes
+
+
 # ---- urls
 
 URLS = [
