@@ -225,3 +225,23 @@ def test_nodes_one_by_one_and_many_at_a_time(monkeypatch, features):
         assert gain[0] > 0 and (features == 1 or gain[1] == 0)
         seen.append(tree["votes"][leaf])
     assert features > 1 or all((v == seen[0]).all() for v in seen)
+
+
+def test_rows_go_down_a_tree_some_at_a_time(monkeypatch):
+    """Rows of several parts, trees deeper than the steps between which rows at their leaf are left out, a tree of one leaf, no rows."""
+    from tidewatch.detectors import forest
+
+    draw = np.random.default_rng(12)
+    bins, label = draw.integers(0, 32, (1000, 4)).astype(np.uint8), draw.integers(0, 2, 1000).astype(np.uint16)
+    tree, _ = forest._grow(np.ascontiguousarray(bins.T), label, np.ones(1000, np.uint8), np.ones(2), 8, np.random.default_rng(1))
+    monkeypatch.setattr(forest, "_ROUTED", 300)
+
+    def walk(row):
+        node = 0
+        while tree["below"][node] != node:
+            node = tree["below"][node] + int(row[tree["feature"][node]] > tree["cut"][node])
+        return node
+
+    assert forest._route(tree, bins).tolist() == [walk(r) for r in bins]
+    one = {"feature": np.array([0]), "cut": np.array([255]), "below": np.array([0])}
+    assert forest._route(one, bins[:7]).tolist() == [0] * 7 and len(forest._route(tree, bins[:0])) == 0
